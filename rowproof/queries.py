@@ -1,0 +1,9 @@
+"""The engine's queries over the standard tables, with their oracle SQL."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
