@@ -1,0 +1,10 @@
+"""Operators for preparing training corpora.  Nothing outside this folder imports it.
+
+Functions that run on executors are shipped by value, so a cluster needs no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
