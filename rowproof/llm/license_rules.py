@@ -10,7 +10,7 @@ from __future__ import annotations
 # The base phrases and their labels.
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 
-#: (label, keyword that any match must hold, pattern of the name).
+#: (label, keyword that any match must hold at the start of a word, pattern of the name).
 NAMES = [
     ("gpl-1.0", "gpl", r"gpl v?1(?: 0)?(?: only| or later)?"),
     ("gpl-2.0", "gpl", r"gpl v?2(?: 0)?(?: only| or later)?"),
@@ -27,14 +27,17 @@ NAMES = [
     ("gfdl", "free documentation", r"gnu free documentation license(?: version \d(?: \d)?)?"),
     ("apache-1.1", "apache", r"apache (?:software )?license (?:v|version )1(?: 1)?"),
     ("apache-2.0", "apache", r"apache (?:software )?(?:license )?(?:v|version )?2(?: 0)?"),
-    ("mit-0", "mit", r"mit 0|mit no attribution"),
+    ("mit-0", "mit 0", r"mit 0"),
+    ("mit-0", "mit no attribution", r"mit no attribution"),
     ("mit-x11", "x11", r"(?:mit )?x11 (?:license|style)"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|free ?bsd)(?: license)?"),
+    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|free bsd)(?: license)?"),
+    ("bsd-2-clause", "freebsd", r"freebsd(?: license)?"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: license)?"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: license)?"),
-    ("bsd-0-clause", "bsd", r"0bsd|(?:bsd 0 clause|zero clause bsd)(?: license)?"),
+    ("bsd-0-clause", "bsd", r"(?:bsd 0 clause|zero clause bsd)(?: license)?"),
+    ("bsd-0-clause", "0bsd", r"0bsd(?: license)?"),
     ("bsd", "bsd", r"bsd (?:style )?license"),
-    ("isc", "isc", r"isc license"),
+    ("isc", "isc license", r"isc license"),
     ("mpl-1.1", "mpl", r"mpl v?1 [01]"),
     ("mpl-2.0", "mpl", r"mpl v?2(?: 0)?"),
     ("mpl-1.1", "mozilla", r"mozilla public license (?:v|version )?1 [01]"),
@@ -82,7 +85,7 @@ NAMES = [
     ("etalab", "etalab", r"(?:licence )?etalab(?: 2 0)?"),
     ("dl-de", "datenlizenz", r"datenlizenz deutschland"),
     ("ofl-1.1", "open font", r"(?:sil )?open font license(?: (?:v|version )?1 1)?"),
-    ("ofl-1.1", "ofl", r"ofl 1 [01]"),
+    ("ofl-1.1", "ofl 1", r"ofl 1 [01]"),
     ("psf-2.0", "python", r"python software foundation license(?: version 2)?"),
     ("python-2.0", "python", r"python license(?: 2 0)?"),
     ("ruby", "ruby", r"ruby license"),
@@ -91,7 +94,7 @@ NAMES = [
     ("postgresql", "postgresql", r"postgresql licen[cs]e"),
     ("w3c", "w3c", r"w3c (?:software )?(?:notice and )?license"),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa (?:open source )?license"),
-    ("vim", "vim", r"vim license"),
+    ("vim", "vim license", r"vim license"),
     ("zpl-2.1", "zope", r"zope public license(?: 2 [01])?"),
     ("ms-pl", "microsoft", r"microsoft public license"),
     ("ms-rl", "microsoft", r"microsoft reciprocal license"),
@@ -105,10 +108,11 @@ NAMES = [
     ("elastic-2.0", "elastic", r"elastic license(?: (?:v|version )?2(?: 0)?)?"),
     ("polyform", "polyform", r"polyform (?:noncommercial|small business|strict|shield|perimeter) license"),
     ("commons-clause", "commons clause", r"commons clause(?: license condition)?"),
-    ("openrail", "rail", r"(?:big ?science |big ?code |creativeml )?open ?rail(?: [ms])?(?: license)?"),
+    ("openrail", "openrail", r"(?:big ?science |big ?code |creativeml )?openrail(?: [ms])?(?: license)?"),
+    ("openrail", "open rail", r"(?:big ?science |big ?code |creativeml )?open rail(?: [ms])?(?: license)?"),
     ("hpnd", "historical", r"historical permission notice and disclaimer"),
-    ("curl", "curl", r"curl license"),
-    ("ntp", "ntp", r"ntp license"),
+    ("curl", "curl license", r"curl license"),
+    ("ntp", "ntp license", r"ntp license"),
     ("beerware", "beerware", r"beerware(?: license)?"),
     ("upl-1.0", "universal permissive", r"universal permissive license(?: 1 0)?"),
     ("mulan", "mulan", r"mulan (?:psl|permissive software license)(?: v?[12])?"),

@@ -1,5 +1,7 @@
 """License scan with ordered signature rules, in DataFrame expressions only.
 
+Keywords stand at the start of a word and are plain lower-case letters, digits and blanks.
+
 1. Every text becomes its words joined by single spaces (ASCII letters in any case, digits, all non-ASCII).
 2. Keyword prefilter: one alternation of the rules' keywords decides whether a text needs rules at all, and
    then a rule runs only if the text holds its keyword.
@@ -33,8 +35,19 @@ def spaced(text: str | Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), text_or_empty(text), F.lit(" ")), SEPARATORS, " ")
 
 
+def one_of(words: list[str]) -> str:
+    """A pattern for any of the words, factored by their common beginnings."""
+    if "" in words:
+        return ""  # a shorter word ends here
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[0], []).append(w[1:])
+    parts = [h + one_of(rest) for h, rest in sorted(heads.items())]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def _rule_array(table: list[tuple[str, int, float, str, str]]) -> Column:
-    one = [F.struct(F.lit(lb).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("confidence"), F.lit(k).alias("keyword"), F.lit(rf"(?<= )(?:{r})(?= )").alias("pattern")) for lb, p, c, k, r in table]
+    one = [F.struct(F.lit(lb).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("confidence"), F.lit(f" {k}").alias("keyword"), F.lit(rf"(?<= )(?:{r})(?= )").alias("pattern")) for lb, p, c, k, r in table]
     return F.array(*one)
 
 
@@ -68,9 +81,7 @@ def _suppressed(found: Column) -> Column:
 def license_scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), table: list[tuple[str, int, float, str, str]] | None = None) -> DataFrame:
     """keep columns, n_words, base (struct array of base places), found (kept detections with offsets)."""
     table = rules() if table is None else table
-    keywords = sorted({k for _, _, _, k, _ in table})
-    least = [k for k in keywords if not any(o != k and o in k for o in keywords)]
-    gate = "(?i)" + "|".join(least)
+    gate = "(?i) " + one_of(sorted({k for _, _, _, k, _ in table}))
     rows = docs.select(*keep, spaced(text_col).alias("_s"))
     # the rest runs on the few texts with a keyword; these are lower-cased there
     rows = rows.withColumn("_low", F.when(F.col("_s").rlike(gate), F.translate("_s", UPPER, LOWER)))
