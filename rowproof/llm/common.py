@@ -52,8 +52,8 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, str]]:
-    """(label, text) of at most per_class rows of each class outside the held-out fold.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, per_class: int, clip: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
+    """(label, text, id) of at most per_class rows of each class outside the held-out fold, clip characters of each.
 
     The rows are those with the smallest md5 of their id: a bounded sample that does not hang on row order.
     Rows without label are left out, and a document labelled twice has its largest label.
@@ -62,7 +62,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     order = F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary"))
     picked = [seen.where(F.col("_y") == y).orderBy(order).limit(per_class) for y in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]))  # at most 2 x per_class rows of two integers
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t")).join(chosen, "_id").dropDuplicates(["_id"])
+    rows = docs.select(F.col(id_col).alias("_id"), F.substring(text_or_empty(text_col), 1, clip).alias("_t")).join(chosen, "_id").dropDuplicates(["_id"])
     return sorted((r["_y"], r["_t"], r["_id"]) for r in rows.toLocalIterator())  # bounded by the two limits
 
 

@@ -62,7 +62,7 @@ def _difference(text: str | None, good: zstandard.ZstdCompressor, bad: zstandard
 
 
 def _trained(texts: list[str]) -> bytes:
-    pieces = [p for t in texts for p in (t[:CLIP].encode("utf-8", "surrogatepass"),) if p]
+    pieces = [p for t in texts for p in (t.encode("utf-8", "surrogatepass"),) if p]
     samples = [p[k : k + PIECE] for p in pieces for k in range(0, len(p), PIECE)]
     total = sum(map(len, samples))
     try:
@@ -108,7 +108,7 @@ def fit_quality(sample: list[tuple], shares: tuple[int, int] | None = None) -> C
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0, per_class: int = PER_CLASS, label: str = "quality") -> CompressionModel:
-    sample = labelled_sample(docs, labels, label, parts, held_out, per_class)
+    sample = labelled_sample(docs, labels, label, parts, held_out, per_class, CLIP)
     counts = {r["y"]: r["n"] for r in labels.where(fold("doc_id", parts) != held_out).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).where("y in (0, 1)").collect()}
     return fit_quality(sample, (counts.get(0, 0), counts.get(1, 0)))
 

@@ -5,7 +5,7 @@ are lower-cased words and their prefixes of 4, 5 and 6 letters (so that inflecte
 Of the 2**20 hashed terms, the machine keeps the WIDTH ones that a chi-square test ties most to the label in
 the training texts; pairs of those carry what single weights miss, such as an insult beside a group's name.
 
-Fitted on a bounded sample (PER_CLASS texts a class, a documented bound of the fit only) with AdaGrad on
+Fitted on a bounded sample (PER_CLASS texts a class, CLIP characters of each: documented bounds of the fit only) with AdaGrad on
 numpy; scoring reads whole texts.  Edge cases: null counts as empty; texts without kept terms get the
 machine's base rate; without labels of both classes that is the smoothed share of the one there is.
 """
@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from .common import labelled_sample, map_texts
 
-PER_CLASS, BITS, WIDTH, FACTORS, EPOCHS = 6000, 20, 2048, 4, 30
+PER_CLASS, CLIP, BITS, WIDTH, FACTORS, EPOCHS = 4000, 16_000, 20, 2048, 4, 20
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 PREFIXES = (4, 5, 6)
 
@@ -76,19 +75,32 @@ def fit_machine(sample: list[tuple], width: int = WIDTH, seed: int = 7) -> Facto
     base = math.log((up + 1) / (n - up + 1))
     if up == 0 or up == n:
         return FactorizationMachine({}, base, np.zeros(0), np.zeros((0, FACTORS)))
-    terms = [{t for w in words_of(r[1]) for t in hashed_terms(w)} for r in sample]
-    seen, bad = Counter(t for ts in terms for t in ts), Counter(t for ts, label in zip(terms, y) if label for t in ts)
-    scored = []
-    for t, df in seen.items():
-        if df >= 3:
-            a = bad[t]
-            e = df * up / n
-            if a > e:  # a sign of toxicity; signs of its absence are the base rate's part
-                scored.append(((a - e) ** 2 / e * n / (n - up), t))
+    memo: dict[str, tuple[int, ...]] = {}
+
+    def terms_of(text: str | None) -> np.ndarray:
+        got: set[int] = set()
+        for w in words_of(text):
+            t = memo.get(w)
+            if t is None:
+                t = hashed_terms(w)
+                if len(memo) < 200_000:
+                    memo[w] = t
+            got.update(t)
+        return np.fromiter(sorted(got), np.int32, len(got))
+
+    terms = [terms_of(r[1]) for r in sample]  # four bytes a term
+    seen, bad = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for ts, label in zip(terms, y):
+        seen[ts] += 1
+        if label:
+            bad[ts] += 1
+    e = seen * up / n
+    signs = np.flatnonzero((seen >= 3) & (bad > e))  # signs of toxicity; those of its absence are the base rate's part
+    scored = [((bad[t] - e[t]) ** 2 / e[t] * n / (n - up), int(t)) for t in signs.tolist()]
     scored = sorted(scored, key=lambda s: (-s[0], s[1]))[:width]
     slots = {t: i for i, (s, t) in enumerate(scored) if s > 6.63}
     m = len(slots)
-    rows = [sorted(slots[t] for t in ts if t in slots) for ts in terms]
+    rows = [[slots[t] for t in ts.tolist() if t in slots] for ts in terms]
     rng = np.random.default_rng(seed)
     fm = FactorizationMachine(slots, base, np.zeros(m), rng.normal(0, 0.01, (m, FACTORS)))
     gw, gv, gb = np.full(m, 1e-6), np.full((m, FACTORS), 1e-6), 1e-6
@@ -114,7 +126,7 @@ def fit_machine(sample: list[tuple], width: int = WIDTH, seed: int = 7) -> Facto
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out: int = 1, per_class: int = PER_CLASS, label: str = "toxic") -> FactorizationMachine:
-    return fit_machine(labelled_sample(docs, labels, label, parts, held_out, per_class))
+    return fit_machine(labelled_sample(docs, labels, label, parts, held_out, per_class, CLIP))
 
 
 def score_toxicity(docs: DataFrame, machine: FactorizationMachine, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
