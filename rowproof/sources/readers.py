@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +31,14 @@ def read_documents(spark: SparkSession, root: str, parse: Callable | None = None
     """path, text: UTF-8, else GBK; other formats through parse (iterator of pandas frames) or as ''."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(root)
     plain = F.col("path").rlike(r"(?i)\.(txt|md)$")
-    utf8 = F.when(F.expr("is_valid_utf8(cast(content as string))"), F.expr("cast(content as string)"))
-    text = F.coalesce(utf8, F.decode("content", "GBK"))
-    out = files.where(plain).select("path", text.alias("text"))
+    valid = F.expr("is_valid_utf8(cast(content as string))")
+    out = files.where(plain & valid).select("path", F.expr("cast(content as string)").alias("text"))
+
+    def gbk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame({"path": p["path"], "text": [bytes(c).decode("gbk", "replace") for c in p["content"]]})
+
+    out = out.unionByName(files.where(plain & ~valid).select("path", "content").mapInPandas(gbk, "path string, text string"))
     other = files.where(~plain)
     made = other.select("path", "content").mapInPandas(parse, "path string, text string") if parse else other.select("path", F.lit("").alias("text"))
     return out.unionByName(made)
