@@ -51,6 +51,8 @@ LABELLED = [
     (0, 0, 60, 0.0, 8, 0.0, 70, 0.0, 1), (0, 0, 90, 0.1, 70, 0.0, 60, 0.0, 1), (0, 0, 8, 0.0, 3, 1.0, 60, 0.0, 1), (0, 0, 12, 0.0, 80, 0.0, 40, 0.0, 1),
     (0, 0, 40, 0.0, 40, 0.0, 2, 1.0, 1), (0, 0, 25, 0.0, 25, 0.0, 30, 0.0, 1), (0, 0, 200, 0.2, 2, 1.0, 3, 1.0, 1), (0, 0, 18, 0.0, 0, 0.0, 22, 0.0, 1),
     (0, 0, 3, 1.0, 2, 1.0, 4, 1.0, 0), (0, 0, 2, 1.0, 60, 0.0, 3, 1.0, 0), (0, 0, 10, 0.9, 4, 1.0, 5, 1.0, 0), (0, 0, 40, 0.8, 5, 1.0, 3, 1.0, 0),
+    (0, 0, 1, 1.0, 0, 0.0, 36, 0.0, 0), (0, 0, 2, 1.0, 0, 0.0, 90, 0.0, 0), (0, 0, 3, 1.0, 70, 0.0, 60, 0.0, 0), (0, 0, 5, 0.8, 40, 0.0, 50, 0.0, 0), (0, 0, 12, 0.75, 0, 0.0, 0, 0.0, 0), (0, 0, 30, 0.9, 60, 0.0, 60, 0.0, 0),
+    (0, 0, 36, 0.0, 36, 0.0, 0, 0.0, 1), (0, 0, 20, 0.0, 60, 0.0, 0, 0.0, 1), (0, 0, 50, 0.1, 0, 0.0, 0, 0.0, 1), (0, 0, 70, 0.0, 90, 0.0, 0, 0.0, 1), (0, 0, 45, 0.0, 1, 1.0, 50, 0.0, 1), (0, 0, 15, 0.0, 40, 0.0, 60, 0.0, 1), (0, 0, 30, 0.3, 30, 0.0, 30, 0.0, 1),
     (0, 0, 1, 0.0, 3, 1.0, 2, 1.0, 0), (0, 0, 4, 0.5, 80, 0.0, 3, 1.0, 0), (0, 0, 15, 0.7, 12, 0.9, 60, 0.0, 0), (0, 0, 6, 0.6, 6, 0.6, 8, 0.7, 0),
 ]
 FEATURES = ("boilerplate", "main", "words", "density", "words_before", "density_before", "words_after", "density_after")

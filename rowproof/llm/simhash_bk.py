@@ -190,7 +190,8 @@ def components(edges: DataFrame, name: str = "star", most_rounds: int = 60) -> D
         edges = written(small, f"{name}-small")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("b")).first()
         if before is not None and now == before and now[0] == now[2]:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            roots = edges.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("root"))
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots)
         before = now
     raise RuntimeError("components did not settle")
 

@@ -1,0 +1,191 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from rowproof.llm import decontam, exact_dedup, html_blocks, license_scan, mixing, pii_crf, quality_zstd, simhash_bk, toxicity_fm, url_reputation
+
+LONG = "word " * 60_000
+ROWS = [(1, "Alpha beta  gamma delta", "a"), (2, "Alpha beta\ngamma delta", None), (2, "Alpha beta\ngamma delta", None), (3, None, "a"), (4, "", "b"), (None, "Alpha beta gamma delta", "b"), (5, LONG, "a"), (6, " ", "c")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    # clashing names: columns that the operators use themselves
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
+    return df.selectExpr("doc_id", "text", "source", "'x' AS score", "1 AS len", "'y' AS host", "2 AS sha", "3 AS node", "'z' AS base", "4 AS tokens", "5 AS id")
+
+
+def test_exact_dedup(docs):
+    got = exact_dedup.exact_dedup(docs, digest=True).collect()
+    assert len(got) == len(ROWS)
+    alpha = [r for r in got if r["group_size"] == 4]
+    assert len(alpha) == 4 and {r["keep_id"] for r in alpha} == {1} and sum(r["kept"] for r in alpha) == 1
+    empty = [r for r in got if r["group_size"] == 2]
+    assert {r["id"] for r in empty} == {3, 4} and {r["keep_id"] for r in empty} == {3}
+    kept = exact_dedup.keep_first(docs.select("doc_id", "text", "source"))
+    assert sorted((r["doc_id"] for r in kept.collect())) == [1, 3, 5, 6]
+    assert exact_dedup.exact_dedup(docs.limit(0)).collect() == []
+
+
+def test_keep_first_keeps_one_of_repeated_winners(spark):
+    df = spark.createDataFrame([(7, "same"), (7, "same"), (8, "same")], "doc_id long, text string")
+    assert [tuple(r) for r in exact_dedup.keep_first(df).collect()] == [(7, "same")]
+
+
+def test_simhash(docs):
+    got = simhash_bk.near_duplicates(docs).collect()
+    assert len(got) == len(ROWS)
+    by = {(r["id"], r["fp0"]): r["component"] for r in got}
+    assert {c for (i, fp), c in by.items() if fp == 0} == {3}
+    assert simhash_bk.near_duplicates(docs.limit(0)).collect() == []
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=40, unique=True), st.integers(0, 8))
+def test_tree_links_span_all_links(base, radius):
+    members = sorted({x ^ (1 << k) ^ (1 << (k * 7 % 64)) for x in base for k in range(4)} | set(base))
+    parent = {m: m for m in members}
+
+    def find(p, x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for a, b in simhash_bk.tree_links(members, radius):
+        assert (a ^ b).bit_count() <= radius
+        parent[find(parent, a)] = find(parent, b)
+    brute = {m: m for m in members}
+    for i, a in enumerate(members):
+        for b in members[:i]:
+            if (a ^ b).bit_count() <= radius:
+                brute[find(brute, a)] = find(brute, b)
+    pairs = [(a, b) for a in members for b in members]
+    assert all((find(parent, a) == find(parent, b)) == (find(brute, a) == find(brute, b)) for a, b in pairs)
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 105), (100, 105)]
+    got = {r["node"]: r["root"] for r in simhash_bk.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    want = {i: 0 for i in range(41)} | {100: 100, 101: 100, 105: 100}
+    assert got == want
+
+
+def test_license_scan(docs, spark):
+    got = license_scan.license_digest(license_scan.license_scan(docs)).collect()
+    assert sorted(r["n_words"] for r in got) == [0, 0, 0, 4, 4, 4, 4, 60_000]
+    df = spark.createDataFrame([(1, "CC BY-SA 4.0, cc by cc-by; MIT License. SPDX-License-Identifier: Apache-2.0"), (2, "xcc by mitlicense")], "doc_id long, text string")
+    one, two = license_scan.license_digest(license_scan.license_scan(df)).orderBy("doc_id").collect()
+    assert (one["n_base"], one["first_word"], one["last_word"], one["base_labels"]) == (4, 0, 9, "cc-by,mit")
+    assert one["labels"] == "apache-2.0,cc-by,cc-by-sa,mit" and one["score"] == 1.0
+    assert (two["n_base"], two["labels"]) == (0, "")
+    assert license_scan.license_scan(docs.limit(0)).collect() == []
+
+
+def test_url_filter(spark):
+    urls = [(1, None), (2, "no scheme"), (3, "HTTP://WWW.Example.COM/en/7?x#y"), (4, "https://bad.example.co.uk/a"), (4, "https://bad.example.co.uk/a"), (5, "x://h?q"), (6, "")]
+    pages = spark.createDataFrame(urls, "page_id long, url string").selectExpr("*", "1 AS host", "2 AS n", "3 AS rule")
+    outcomes = spark.createDataFrame([(f"https://bad.example.co.uk/{i}", 1) for i in range(60)] + [(f"https://good.example.com/{i}", 0) for i in range(60)], "url string, bad int")
+    rules = [("block", "com/en/"), ("allow", "example.com/en/7")]
+    got = {r["page_id"]: r for r in url_reputation.url_filter(pages, outcomes, rules, keep=("page_id",)).collect()}
+    assert (got[1]["host"], got[2]["path"], got[6]["host"]) == ("", "", "")
+    assert (got[3]["host"], got[3]["path"], got[3]["rule"], got[3]["verdict"]) == ("www.example.com", "/en/7", "example.com/en/7", "allow")
+    assert got[4]["verdict"] == "block" and got[4]["rule"] is None and got[5]["host"] == "h"
+    assert len(url_reputation.url_filter(pages, outcomes.limit(0), rules, keep=("page_id",)).collect()) == 7
+    assert url_reputation.url_filter(pages.limit(0), outcomes.limit(0), rules, keep=("page_id",)).collect() == []
+
+
+def test_html():
+    tree = html_blocks.grow_tree(list(html_blocks.LABELLED))
+    page = """<html><head><title>T</title><style>x</style></head><body><header><h1>Site</h1></header><nav><a href='/'>Home</a></nav>
+    <div class="cookie-notice">We use cookies, a great many of them, on every page of this site for all kinds of reasons.</div>
+    <main><article><header><h1>Head&amp;line</h1></header><p>One  two<br>three</p><p>Be.<p>More <a href=x>linked</a> text here
+    <aside>Sidebar text</aside><form><label>Mail</label><input></form><script>if (a < b) { document.write("<p>no</p>"); }</script>
+    <section id="comments"><p>I really liked this long article about everything, thanks so much for writing it all down.</p></section></article></main>
+    <div class='ad banner'>Buy now</div><footer>&copy; me</footer></body>"""
+    assert html_blocks.main_text(page, tree) == "Head&line\n\nOne two three\n\nBe.\n\nMore linked text here"
+    assert html_blocks.main_text(None, tree) == "" and html_blocks.main_text("<p", tree) == "" and html_blocks.main_text("<!-- open", tree) == ""
+    plain = "<p>" + "This is a paragraph of a page without any article element in it at all, with plenty of words. " * 2 + "</p>"
+    assert html_blocks.main_text(f"<ul><li><a>Menu</a></li></ul>{plain}{plain}", tree).count("paragraph") == 4
+
+
+def test_html_frame(spark):
+    df = spark.createDataFrame([(None, "u", None), (1, None, "<article><p>Hi</p></article>")], "page_id long, url string, html string").selectExpr("*", "'t' AS text")
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_blocks.extract_main_text(df).collect()) == [(0, "", 0), (1, "Hi", 2)]
+
+
+def test_classifiers_without_labels(docs, spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = quality_zstd.train_quality(docs, none)
+    assert {round(r["score"], 6) for r in quality_zstd.score_quality(docs, model).collect()} == {0.5}
+    machine = toxicity_fm.train_toxicity(docs, none)
+    assert {round(r["score"], 6) for r in toxicity_fm.score_toxicity(docs, machine).collect()} == {0.5}
+    one = spark.createDataFrame([(1, None, 1), (1, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert len(toxicity_fm.score_toxicity(docs, toxicity_fm.train_toxicity(docs, one)).collect()) == len(ROWS)
+
+
+def test_machine_learns_pairs():
+    """Neither word alone is toxic, both together are: no sum of single weights can say so."""
+    sample = [(int(a and b), " ".join(w for w, on in (("alpha", a), ("omega", b)) if on) + f" filler{i % 5}") for i in range(400) for a, b in [(i % 2, i // 2 % 2)]]
+    fm = toxicity_fm.fit_machine(sample)
+    both, a, b, neither = fm.scores(["alpha omega", "alpha", "omega", None])
+    assert both > 0.7 > 0.5 > max(a, b, neither)
+
+
+def test_compression_model_separates():
+    good = [(1, f"The quiet river runs past the old mill number {i} and the people walk home at dusk.") for i in range(300)]
+    bad = [(0, f"BUY!! NOW!! {i} $$$ CHEAP*** PILLS%%% WIN!! WIN!! {i * 7} ###") for i in range(300)]
+    m = quality_zstd.fit_quality(good + bad)
+    hi, lo, empty = m.scores(["The people walk past the mill at dusk.", "WIN!! CHEAP*** PILLS%%% NOW!!", None])
+    assert hi > 0.7 and lo < 0.3 and 0 < empty < 1
+
+
+def test_decontamination(docs, spark):
+    item = "the quick brown fox jumps over the lazy dog while seven bright birds watch from a tall old tree"
+    edited = item.replace("lazy", "sleepy").replace("bright ", "").replace("old", "ancient")
+    bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (4, "two words")], "item_id long, text string")
+    extra = spark.createDataFrame([(10, f"intro text {item.upper()} outro"), (11, f"some {edited} more"), (12, "the dog and the tree and the fox"), (13, "here are two words")], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(extra).selectExpr("*", "1 AS leaks", "2 AS found")
+    got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in decontam.decontaminate(both, bench).collect()}
+    assert got[10] == [1, 1] and got[11] == [1, 1] and got[12] == [] and got[13] == [4] and got[5] == []
+    assert len(decontam.decontaminate(docs, bench.limit(0)).collect()) == len(ROWS)
+    assert decontam.decontaminate(docs.limit(0), bench).collect() == []
+
+
+def test_mixing(docs):
+    got = mixing.mix_sources(docs, budget=200_000).collect()
+    assert {r["source"] for r in got} <= {"", "a", "b"} and got
+    assert mixing.mix_sources(docs.limit(0)).collect() == []
+
+
+def test_skip_chain_spreads_labels():
+    sample = [f"Call +1 (853) 555-{i:04d} or mail user{i}@mail.example.com from 10.0.{i}.7 with 4111111111111111" for i in range(200)]
+    field = pii_crf.fit_field(sample)
+    text = "Please call +1-853-555-7168 today. " + "Filler words without digits. " * 20 + "Once more: 1-853-555-7168."
+    base, added = pii_crf.all_spans(text, field)
+    assert [text[a:b] for _, a, b in base] == ["+1-853-555-7168"]
+    assert [(pii_crf.KINDS[k], text[a:b]) for k, a, b in added] == [("phone", "1-853-555-7168")]
+    assert pii_crf.all_spans(None, field) == ([], []) and pii_crf.all_spans("", field) == ([], [])
+    assert pii_crf.redact(text, base + added).count("[phone]") == 2
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="a1@.+-( )9%é\n", max_size=60))
+def test_base_spans_equal_the_patterns(text):
+    from test_contracts import base_spans
+
+    got = [(pii_crf.KINDS[k], a, b) for k, a, b in pii_crf.base_spans(text)]
+    assert got == base_spans(text)
+
+
+def test_base_spans_are_linear():
+    for text in ("a" * 200_000, "1" * 200_000, "a@" * 100_000, "+1 " * 60_000, "1.1." * 50_000, "1-" * 100_000):
+        pii_crf.base_spans(text)
+
+
+def test_personal_data(docs):
+    field = pii_crf.train_field(docs)
+    got = pii_crf.find_personal_data(docs, field).collect()
+    assert len(got) == len(ROWS) and all(r["base"] == [] for r in got)
+    assert pii_crf.find_personal_data(docs.limit(0), field).collect() == []
