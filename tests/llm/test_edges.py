@@ -134,11 +134,23 @@ def test_machine_learns_pairs():
 
 
 def test_compression_model_separates():
-    good = [(1, f"The quiet river runs past the old mill number {i} and the people walk home at dusk.") for i in range(300)]
-    bad = [(0, f"BUY!! NOW!! {i} $$$ CHEAP*** PILLS%%% WIN!! WIN!! {i * 7} ###") for i in range(300)]
-    m = quality_zstd.fit_quality(good + bad)
-    hi, lo, empty = m.scores(["The people walk past the mill at dusk.", "WIN!! CHEAP*** PILLS%%% NOW!!", None])
-    assert hi > 0.7 and lo < 0.3 and 0 < empty < 1
+    """Prose against symbols, shouting and repetition, on texts that the fit has not seen."""
+    import random
+
+    rng = random.Random(1)
+    syllables = ["ta", "ren", "mo", "lis", "ve", "der", "an", "ko", "str", "ing"]
+    words = ["".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(800)]
+    prose = lambda: [rng.choice(words) for _ in range(rng.randint(20, 300))]
+    noise = [lambda ws: [w + rng.choice(["%%%", "***", "$$$"]) for w in ws], lambda ws: [w.upper() + "!!" for w in ws], lambda ws: [w for w in ws[:10] for _ in range(12)]]
+
+    def sample(n):
+        return [(1, " ".join(prose())) for _ in range(n)] + [(0, " ".join(noise[i % 3](prose()))) for i in range(n)]
+
+    m = quality_zstd.fit_quality(sample(200))
+    test = sample(60)
+    right = sum((s >= 0.5) == bool(y) for s, (y, _) in zip(m.scores([t for _, t in test]), test))
+    assert right >= 0.95 * len(test)
+    assert 0 < m.scores([None])[0] < 1
 
 
 def test_decontamination(docs, spark):
