@@ -183,3 +183,17 @@ def map_extract(docs: DataFrame, extract, schema: str) -> DataFrame:
         yield from extract(parts)
 
     return docs.mapInPandas(run, schema)
+
+
+def split_long(docs: DataFrame, id_col: str, text_col: str = "text", words: int = BATCH_WORDS, chars: int = BATCH_CHARS) -> DataFrame:
+    """id, part, text: documents over a limit in parts of whole paragraphs, others as they are."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    @F.pandas_udf("array<string>")
+    def parts(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_paragraphs(t, words, chars) or [""])
+
+    long = (word_estimate(text) > words) | (F.length(text) > chars)
+    rows = docs.select(F.col(id_col), text.alias("_t"), long.alias("_long"))
+    cut = rows.where("_long").select(id_col, F.posexplode(parts("_t")).alias("part", "text"))
+    return rows.where("not _long").select(id_col, F.lit(0).alias("part"), F.col("_t").alias("text")).unionByName(cut)

@@ -190,3 +190,19 @@ def best_snapshot(log: DataFrame) -> DataFrame:
     final = F.col("stage") == "final"
     order = F.struct(final.cast("int").alias("a"), F.when(final, 0).otherwise(F.col("rows_count")).alias("b"), F.when(final, 0).otherwise(F.coalesce(F.try_element_at(rank, F.col("stage")), F.lit(-9))).alias("c"), F.col("created_at").alias("d"))
     return some.groupBy("tbl").agg(F.max_by(F.struct("stage", "rows_count", "created_at"), order).alias("s")).select("tbl", "s.*")
+
+
+def kind_scores(counts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Scores of entity tables and of relation tables; counts by grp, kinds: grp, kind."""
+    sums = counts.join(kinds, "grp").groupBy("kind").agg(*(F.sum(c).alias(c) for c in ("correct", "generated", "expected")))
+    return sums.select("kind", "correct", "generated", "expected", *prf(F.col("correct"), F.col("generated"), F.col("expected")))
+
+
+def merge_outputs(frames: list[DataFrame]) -> DataFrame:
+    """Outputs of several documents as one table, equal rows once."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).distinct()
+
+
+def first_rows(df: DataFrame, order: str, n: int = 5) -> DataFrame:
+    """A report's sample: the first n rows."""
+    return df.orderBy(order).limit(n)

@@ -129,3 +129,19 @@ def repair_loop(rows: DataFrame, check: Callable[[DataFrame], DataFrame], names:
     if every is None:
         every = suggest(left, rows, names).withColumn("round", F.lit(0)).limit(0)
     return rows, left, every
+
+
+def lookup_rows(rows: DataFrame, ids: DataFrame, tuple_id: str = "tuple_id") -> DataFrame:
+    """Rows by id, tolerant of square brackets around the asked ids; ids: tuple_id."""
+    asked = ids.select(F.regexp_replace(F.trim("tuple_id"), r"^\[+|\]+$", "").alias("_asked")).distinct()
+    return rows.join(asked, F.regexp_replace(F.trim(F.col(tuple_id).cast("string")), r"^\[+|\]+$", "") == F.col("_asked"), "left_semi")
+
+
+def not_yet_fixed(v: DataFrame, history: DataFrame) -> DataFrame:
+    """Violations whose cell is not in the history of fixes: those that may still be tried."""
+    return v.join(history.select("tuple_id", "attr").distinct(), ["tuple_id", "attr"], "left_anti")
+
+
+def first_fixes(fixes: DataFrame, n: int | None = None) -> DataFrame:
+    """The first n fixes in order (a limit that some callers set per round); all of them by default."""
+    return fixes if n is None else fixes.orderBy("ord", "id").limit(n)

@@ -267,3 +267,28 @@ def _keys(c: Column, gram: int) -> Column:
     full = F.lower(strip(c))
     cut = lambda x, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))
     return F.array_distinct(F.concat(cut(full, gram), cut(core, 2)))
+
+
+def entity_consistency(tables: dict[str, DataFrame], field: str, tuple_id: str = "tuple_id") -> DataFrame:
+    """Values of a shared field that are similar to another one but not the longest form of their group.
+
+    Groups are stars: a value belongs to the longest (then smallest) value similar to it.
+    """
+    values = shared_values(tables, field).select("value").distinct()
+    pairs = similar_pairs(values, values)
+    better = pairs.where((F.length("b") > F.length("a")) | ((F.length("b") == F.length("a")) & (F.col("b") < F.col("a"))))
+    canon = better.groupBy("a").agg(F.min_by("b", F.struct((-F.length("b")).alias("n"), "b")).alias("canon"))
+    out = None
+    for name, df in tables.items():
+        if field in df.columns:
+            hit = df.join(canon, F.col(field).cast("string") == F.col("a"))
+            one = violations(hit, name, F.col(tuple_id), field, "VALUE", "VALUE_ENTITY", "warn", "another spelling of the same entity", F.col("canon"))
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def audit(df: DataFrame, ask, table: str) -> DataFrame:
+    """A model's audit as a pluggable step: ask maps pandas frames of rows to frames of (tuple_id, attr,
+    constraint_type, severity, description, suggested_fix)."""
+    made = df.mapInPandas(ask, "tuple_id string, attr string, constraint_type string, severity string, description string, suggested_fix string")
+    return violations(made, table, F.col("tuple_id"), F.col("attr"), "LOGIC", "MODEL_AUDIT", "warn", F.col("description"), F.col("suggested_fix"))

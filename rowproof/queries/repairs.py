@@ -171,7 +171,7 @@ def affected_anchors(spark, d):
 
 # History
 
-LOG = "SELECT concat('run-', CAST(user_id % 5 AS STRING)) AS run_id, concat('t', CAST(user_id % 7 AS STRING)) AS tbl, CASE event_type WHEN 'click' THEN 'extraction' WHEN 'view' THEN 'verification' WHEN 'purchase' THEN 'fixing' ELSE 'final' END AS stage, CASE WHEN event_id % 10 = 0 THEN 'Batch验证 1' ELSE '' END AS description, CAST(value * 100 AS BIGINT) AS rows_count, ts AS created_at, event_id FROM {events}"
+LOG = "SELECT concat('run-', CAST(user_id % 5 AS STRING)) AS run_id, concat('t', CAST(user_id % 7 AS STRING)) AS tbl, CASE event_type WHEN 'click' THEN 'extraction' WHEN 'view' THEN 'verification' WHEN 'purchase' THEN 'fixing' ELSE 'final' END AS stage, CASE WHEN event_id % 10 = 0 THEN 'Batch验证 1' ELSE '' END AS description, CAST(floor(value * 100) AS BIGINT) AS rows_count, ts AS created_at, event_id FROM {events}"
 
 
 @query(f"SELECT run_id, tbl, stage, arg_max(event_id, created_at) AS event_id FROM ({LOG}) q GROUP BY ALL")
