@@ -173,7 +173,7 @@ def filter_documents(docs: DataFrame, name: str, include: list[str] = (), exclud
 def entity_chunks(spans: DataFrame, most: int = 10, chars: int = 800) -> DataFrame:
     """entity, chunk, n: the first chunks of an entity, each cut to a length (a report feature)."""
     w = Window.partitionBy("entity").orderBy("ord")
-    return spans.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).select("entity", F.substring("chunk", 1, chars).alias("chunk"), "n")
+    return spans.withColumn("n", F.row_number().over(w).cast("long")).where(F.col("n") <= most).select("entity", F.substring("chunk", 1, chars).alias("chunk"), "n")
 
 
 def map_extract(docs: DataFrame, extract, schema: str) -> DataFrame:

@@ -52,14 +52,18 @@ def duck(sql: str, **more: str) -> str:
     return out
 
 
-def query(oracle: str | None = None, name: str | None = None):
-    """Registers a function (spark, sf_dir) -> DataFrame under its name, with its oracle."""
+def query(oracle: str | None = None, name: str | None = None, **casts: str):
+    """Registers a function (spark, sf_dir) -> DataFrame under its name, with its oracle.
+
+    casts: SQL types of columns whose sums DuckDB would widen.
+    """
 
     def add(f):
         key = name or f.__name__
         QUERIES[key] = f
         if oracle is not None:
-            ORACLES[key] = duck(oracle, ORD=DIRTY_ORDERS, CUS=DIRTY_CUSTOMER, LIN=LINES)
+            sql = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in casts.items())}) FROM ({oracle}) typed" if casts else oracle
+            ORACLES[key] = duck(sql, ORD=DIRTY_ORDERS, CUS=DIRTY_CUSTOMER, LIN=LINES)
         return f
 
     return add

@@ -41,7 +41,7 @@ def eval_row_match(spark, d):
 
 
 @query(f"""SELECT sum(4 - (CASE WHEN _seq < 0 THEN 1 ELSE 0 END)) AS expected, (SELECT sum(4 - (CASE WHEN c_nationkey IS NULL THEN 1 ELSE 0 END)) FROM ({MADE}) m) AS generated,
-(SELECT sum(1 + (CASE WHEN x2 IS NULL THEN 0 ELSE 1 END) + (CASE WHEN CAST(b1 AS DOUBLE) = CAST(b2 AS DOUBLE) THEN 1 ELSE 0 END) + (CASE WHEN s1 = s2 THEN 1 ELSE 0 END)) FROM ({PAIRS}) p) AS correct FROM ({GOLD}) g""")
+(SELECT sum(1 + (CASE WHEN x2 IS NULL THEN 0 ELSE 1 END) + (CASE WHEN CAST(b1 AS DOUBLE) = CAST(b2 AS DOUBLE) THEN 1 ELSE 0 END) + (CASE WHEN s1 = s2 THEN 1 ELSE 0 END)) FROM ({PAIRS}) p) AS correct FROM ({GOLD}) g""", expected="BIGINT", generated="BIGINT", correct="BIGINT")
 def eval_cell_metrics(spark, d):
     g, m, match = _matched(spark, d, 10**6)
     return E.cell_counts(g, m, match, FIELDS).select("expected", "generated", "correct")
@@ -60,7 +60,7 @@ _SIDE = lambda s: f"SELECT tbl, attr, lower(trim(value)) AS v, count(*) AS n FRO
 
 @query(f"""WITH g AS ({_SIDE(CELLS('customer', GOLD))}), m AS ({_SIDE(CELLS('customer', MADE))}), s AS (SELECT tbl, coalesce(g.n, 0) AS e, coalesce(m.n, 0) AS k, least(coalesce(g.n, 0), coalesce(m.n, 0)) AS c FROM g FULL JOIN m USING (tbl, attr, v)),
 t AS (SELECT tbl, sum(e) AS expected, sum(k) AS generated, sum(c) AS correct FROM s GROUP BY ROLLUP (tbl))
-SELECT tbl, expected, generated, correct, round(100 * correct / generated, 4) AS precision, round(100 * correct / expected, 4) AS recall, round(2 * (100 * correct / generated) * (100 * correct / expected) / (100 * correct / generated + 100 * correct / expected), 4) AS f1 FROM t""")
+SELECT tbl, expected, generated, correct, round(100 * correct / generated, 4) AS precision, round(100 * correct / expected, 4) AS recall, round(2 * (100 * correct / generated) * (100 * correct / expected) / (100 * correct / generated + 100 * correct / expected), 4) AS f1 FROM t""", expected="BIGINT", generated="BIGINT", correct="BIGINT")
 def eval_multiset(spark, d):
     return E.multiset_scores(frame(spark, d, CELLS("customer", GOLD)), frame(spark, d, CELLS("customer", MADE)))
 
@@ -86,7 +86,7 @@ def eval_quality_level(spark, d):
 
 @query(f"""WITH c AS (SELECT c_mktsegment AS grp, count(*) AS expected, count(*) FILTER (c_custkey % 3 <> 0) AS generated, count(*) FILTER (c_custkey % 6 = 1) AS correct FROM customer GROUP BY 1),
 t AS (SELECT grp, sum(correct) AS correct, sum(generated) AS generated, sum(expected) AS expected FROM c GROUP BY ROLLUP (grp))
-SELECT grp, correct, generated, expected, round(100 * correct / generated, 4) AS precision, round(100 * correct / expected, 4) AS recall, round(2 * (100 * correct / generated) * (100 * correct / expected) / (100 * correct / generated + 100 * correct / expected), 4) AS f1 FROM t""")
+SELECT grp, correct, generated, expected, round(100 * correct / generated, 4) AS precision, round(100 * correct / expected, 4) AS recall, round(2 * (100 * correct / generated) * (100 * correct / expected) / (100 * correct / generated + 100 * correct / expected), 4) AS f1 FROM t""", expected="BIGINT", generated="BIGINT", correct="BIGINT")
 def eval_table_scores(spark, d):
     c = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("grp")).agg(F.count("*").alias("expected"), F.count_if(F.col("c_custkey") % 3 != 0).alias("generated"), F.count_if(F.col("c_custkey") % 6 == 1).alias("correct"))
     return E.table_scores(c)
@@ -109,7 +109,7 @@ def value_type(spark, d):
     return v.select("v", V.value_type(F.col("v")).alias("kind"))
 
 
-@query("SELECT CAST(n AS STRING) AS case, CASE WHEN n % 3 = 0 THEN 87.5 WHEN n % 3 = 1 THEN 100.0 ELSE 62.0 END AS score FROM (SELECT n_nationkey AS n FROM nation) q".replace("AS case", 'AS "case"'))
+@query("SELECT CAST(n AS STRING) AS case, CASE WHEN n % 3 = 0 THEN 87.5 WHEN n % 3 = 1 THEN 100.0 ELSE 62.0 END AS score FROM (SELECT n_nationkey AS n FROM nation) q".replace("AS case", 'AS "case"'), score="DOUBLE")
 def parse_rating(spark, d):
     n = F.col("n_nationkey")
     text = F.when(n % 3 == 0, "Evaluation evidence: fine\nRating: [[87.5]]").when(n % 3 == 1, '{"overall_score": 170}').otherwise("大约 62 分")
