@@ -60,7 +60,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, without later copies: of equal texts the row with the smallest id stays.
 
-    Rows go by their id and full hash to the winners', so the text moves once and a hot text is spread by id.
+    Rows meet the list of lost ones by id and full hash: the text moves once, at every size alike (the list
+    grows with the data, so it is never broadcast), and a hot text is spread by id.
     """
     sha = F.unhex(F.sha2(normalised(text_col), 256))
     marks = exact_dedup(df, id_col, text_col)
@@ -68,7 +69,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     won = marks.where("kept and group_size > 1").select(F.col("id").alias("_i"), F.col("sha").alias("_s"))
     twice = written(lost.join(won, lost["_i"].eqNullSafe(won["_i"]) & (lost["_s"] == won["_s"]), "left_semi"), "dedup-twice")
     rows = df.withColumn("_sha", sha)
-    kept = rows.join(lost, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")), "left_anti")
+    kept = rows.join(lost.hint("merge"), F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")), "left_anti")
     if twice.head(1):  # whole repeated rows: one of each comes back
         again = rows.join(F.broadcast(twice) if twice.count() <= 500_000 else twice, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")), "left_semi")
         kept = kept.unionByName(again.dropDuplicates([id_col, "_sha"]))
