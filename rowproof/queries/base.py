@@ -10,7 +10,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# The standard tables are clean; dirt is derived from keys, in SQL that both engines read.
+# The standard tables are clean; dirt, and second batches, are derived from keys, in SQL that both engines read.
+# Every query runs over whole tables.
 DIRTY_ORDERS = """
 SELECT concat('t-', CAST(o_orderkey AS STRING)) AS tuple_id, o_orderkey AS _seq, CAST(o_orderkey AS STRING) AS o_orderkey,
   CAST(o_custkey + CASE WHEN o_orderkey % 97 = 0 THEN 10000000 ELSE 0 END AS STRING) AS o_custkey,

@@ -13,7 +13,7 @@ from ..plans.schema import parse_schema
 from .base import frame, query, table
 from .verification import customers, orders
 
-SPELLED = "SELECT CAST(p_partkey AS STRING) AS tuple_id, CASE WHEN p_partkey % 4 = 0 THEN concat(p_name, ' Corp.') WHEN p_partkey % 9 = 0 THEN concat(p_name, ' Inc.') ELSE p_name END AS maker FROM {part} WHERE p_partkey % 3 = 0"
+SPELLED = "SELECT CAST(p_partkey AS STRING) AS tuple_id, CASE WHEN p_partkey % 4 = 0 THEN concat(p_name, ' Corp.') WHEN p_partkey % 9 = 0 THEN concat(p_name, ' Inc.') ELSE p_name END AS maker FROM {part}"
 
 
 @query(f"""WITH r AS ({SPELLED}), v AS (SELECT DISTINCT maker AS x, trim(replace(replace(maker, 'Corp.', ''), 'Inc.', '')) AS core FROM r),
@@ -43,10 +43,9 @@ def eval_kind_scores(spark, d):
     return E.kind_scores(c, kinds).select("kind", "correct", "generated", "expected")
 
 
-@query("SELECT p_brand, p_type FROM part WHERE p_partkey % 2 = 0 UNION SELECT p_brand, p_type FROM part WHERE p_partkey % 3 = 0")
+@query("SELECT c_nationkey AS k, 'c' AS src FROM customer UNION SELECT s_nationkey, 's' FROM supplier")
 def eval_merge_outputs(spark, d):
-    p = table(spark, d, "part")
-    return E.merge_outputs([p.where("p_partkey % 2 = 0").select("p_brand", "p_type"), p.where("p_partkey % 3 = 0").select("p_type", "p_brand")])
+    return E.merge_outputs([table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.lit("c").alias("src")), table(spark, d, "supplier").select(F.lit("s").alias("src"), F.col("s_nationkey").alias("k"))])
 
 
 TYPED = parse_schema({"table_name": "orders", "columns": {"o_orderkey": "INT", "o_totalprice": "float", "o_orderdate": "date", "o_open": "boolean", "o_orderpriority": "TEXT"}}).tables[0]

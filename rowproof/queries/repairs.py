@@ -116,7 +116,7 @@ def dedup_exact(spark, d):
     return M.dedup_rows(table(spark, d, "part").select("p_name", "p_type"))
 
 
-SPARSE = "SELECT concat('t-', CAST(p_partkey AS STRING)) AS tuple_id, p_partkey AS _seq, p_name AS a, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS b, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 3 = 1 THEN '' END AS c FROM {part} WHERE p_partkey < 1500"
+SPARSE = "SELECT concat('t-', CAST(p_partkey AS STRING)) AS tuple_id, p_partkey AS _seq, p_name AS a, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS b, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 3 = 1 THEN '' END AS c FROM {part}"
 _EQ = lambda x: f"(nullif(p.{x}, '') IS NULL OR p.{x} = q.{x})"
 _CNT = lambda t: "+".join(f"(CASE WHEN nullif({t}.{x}, '') IS NULL THEN 0 ELSE 1 END)" for x in "abc")
 
@@ -126,10 +126,9 @@ def dedup_subset(spark, d):
     return M.dedup_subset(frame(spark, d, SPARSE), ["a", "b", "c"]).select("tuple_id")
 
 
-@query("SELECT p_type, p_brand, least(x, y) AS n FROM (SELECT p_type, p_brand, count(*) AS x FROM part WHERE p_partkey % 2 = 0 GROUP BY ALL) a JOIN (SELECT p_type, p_brand, count(*) AS y FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL) b USING (p_type, p_brand)")
+@query("SELECT k, least(x, y) AS n FROM (SELECT c_nationkey AS k, count(*) AS x FROM customer GROUP BY 1) a JOIN (SELECT s_nationkey AS k, count(*) AS y FROM supplier GROUP BY 1) b USING (k)")
 def multiset_intersection(spark, d):
-    p = table(spark, d, "part")
-    return M.multiset_intersection(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 3 = 0"), ["p_type", "p_brand"])
+    return M.multiset_intersection(table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), ["k"])
 
 
 @query("""SELECT tuple_id, CASE WHEN _seq % 4 = 0 THEN 'R' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN _seq % 4 = 0 THEN 'doc1|[Warm Start Fix] doc2' ELSE 'doc1' END AS ev FROM {ORD} t""")
