@@ -46,7 +46,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     rows = written(rows.select("id", "sha", F.coalesce("by_head", F.lit(False)).alias("again"), F.monotonically_increasing_id().alias("tag")), "dedup-rows")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag"))
     groups = written(rows.where("again").groupBy("sha").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1"), "dedup-groups")
-    out = rows.join(groups, "sha", "left")
+    out = rows.join(broadcast_if_small(groups), "sha", "left")
     single = F.col("n").isNull()
     return out.select(
         "id",

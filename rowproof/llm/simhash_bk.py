@@ -6,7 +6,8 @@ shard's tree (children keyed by their integer Hamming distance to the parent) is
 along edges within the radius of the distance to the node, before the member is added to it.  The tree is
 sent to the task that holds the shard's queries and to no other: sending every tree to every task would
 compare all with all.  A shard reports links that join two of its groups (a spanning forest), never all
-pairs; with BLOCKS grown by the count of fingerprints, a shard stays small at any size.
+pairs.  BLOCKS grows with the count of fingerprints, and a shard that is still too large (near copies that
+share most bits) is split by further agreeing bits, so no task ever holds more than SHARD of them.
 
 Components come from alternating large-star and small-star steps on joins and partial aggregates.  Copies
 were one fingerprint from the start.  Nothing of corpus size reaches the driver.
@@ -32,6 +33,8 @@ from .common import map_texts, written
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Hashes of a bottom sketch: the standard error of a similarity of 0.8 is 0.035, and none for shorter texts.
 SKETCH = 128
+#: Fingerprints in a shard beyond which it is split.
+SHARD = 4096
 #: radius -> (blocks, agree) up to so many distinct fingerprints, then the next wider choice.
 LAYOUTS = {4: ((6, 2, 1 << 27), (7, 3, 1 << 33), (8, 4, 1 << 62)), 6: ((8, 2, 1 << 22), (9, 3, 1 << 27), (10, 4, 1 << 62))}
 
@@ -160,44 +163,86 @@ def tree_links(members: list[int], radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(distinct: DataFrame, radius: int, blocks: int, agree: int) -> DataFrame:
-    """a, b (a < b): links that span, within every shard, its groups of fingerprints.  distinct: fp."""
-    masks = block_masks(blocks, agree)
-    keyed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("c", "k"))
-    dealt = keyed.repartition("c", "k").sortWithinPartitions("c", "k", "fp")
+def narrower(mask: int, radius: int) -> list[int]:
+    """Masks that each add one of radius + 1 parts of the free bits: a pair within the radius agrees in one."""
+    free = [b for b in range(64) if not (mask >> b) & 1]
+    cuts = [round(len(free) * k / (radius + 1)) for k in range(radius + 2)]
+    return [_signed((mask & (2**64 - 1)) | sum(1 << b for b in free[lo:hi])) for lo, hi in zip(cuts, cuts[1:])]
+
+
+def _shard_links(keyed: DataFrame, radius: int, most: int) -> DataFrame:
+    """a, b, mask of every shard's spanning links (mask null); members of shards over most as (fp, fp, mask).
+
+    keyed: fp, mask.  Rows stream through in order of shard, so a task holds one shard of at most that size.
+    """
+    dealt = keyed.withColumn("k", F.col("fp").bitwiseAND(F.col("mask"))).repartition("mask", "k").sortWithinPartitions("mask", "k", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = (1 << 64) - 1
         held = np.zeros((3, 0), np.int64)  # rows of the last shard, which may go on in the next batch
-        mask = (1 << 64) - 1
+        passed: tuple[int, int] | None = None  # the large shard that is being passed on
+
+        def packed(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()) if mask is None else pa.array(mask)], names=["a", "b", "mask"])
 
-        def shards(rows: np.ndarray) -> list[tuple[int, int]]:
-            c, k, fp = rows
-            cut = np.flatnonzero((c[1:] != c[:-1]) | (k[1:] != k[:-1])) + 1
-            edges = np.concatenate(([0], cut, [len(c)]))
-            out: list[tuple[int, int]] = []
+        def shards(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """rows: whole shards."""
+            nonlocal passed
+            m, k, fp = rows
+            cut = np.flatnonzero((m[1:] != m[:-1]) | (k[1:] != k[:-1])) + 1
+            edges = np.concatenate(([0], cut, [len(m)]))
             sizes = np.diff(edges)
+            found: list[tuple[int, int]] = []
             for i in np.flatnonzero(sizes > 1):
-                out += tree_links([int(x) & mask for x in fp[edges[i] : edges[i + 1]]], radius)
-            return out
-
-        def packed(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            pairs = np.array([(min(x), max(x)) for x in ((_signed(a), _signed(b)) for a, b in found)], np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                at = slice(edges[i], edges[i + 1])
+                if sizes[i] > most or passed == (m[at][0], k[at][0]):
+                    yield packed(fp[at], fp[at], m[at])
+                else:
+                    found += tree_links([int(x) & low for x in fp[at]], radius)
+            if found:
+                pairs = np.array([(min(x), max(x)) for x in ((_signed(a), _signed(b)) for a, b in found)], np.int64)
+                yield packed(pairs[:, 0], pairs[:, 1], None)
 
         for b in batches:
-            rows = np.concatenate([held, np.stack([b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("c", "k", "fp")])], axis=1)
+            rows = np.concatenate([held, np.stack([b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("mask", "k", "fp")])], axis=1)
             if rows.shape[1] == 0:
                 continue
-            last = rows[:2, -1:]
-            tail = np.flatnonzero((rows[:2] != last).any(0))
+            tail = np.flatnonzero((rows[:2] != rows[:2, -1:]).any(0))
             at = tail[-1] + 1 if len(tail) else 0
+            if at:
+                yield from shards(rows[:, :at])
+                passed = None if passed != tuple(rows[:2, -1]) else passed
             held = rows[:, at:]
-            if at and (found := shards(rows[:, :at])):
-                yield packed(found)
-        if held.shape[1] and (found := shards(held)):
-            yield packed(found)
+            if held.shape[1] > most or (passed == tuple(held[:2, 0]) and held.shape[1]):
+                passed = tuple(held[:2, 0].tolist())
+                yield packed(held[2], held[2], held[0])
+                held = held[:, :0]
+        if held.shape[1]:
+            yield from shards(held)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, mask long")
+
+
+def links(distinct: DataFrame, radius: int, blocks: int, agree: int, most: int = SHARD) -> DataFrame:
+    """a, b (a < b): links that span, within every shard, its groups of fingerprints.  distinct: fp.
+
+    The members of a shard of over most fingerprints go on to narrower shards, again and again if need be:
+    each step fixes more bits, so the steps end, and no link is lost.
+    """
+    if most < 2 ** (radius + 1):
+        raise ValueError("shards must have room for radius + 1 free bits, or splitting them would not end")
+    keyed = distinct.select("fp", F.explode(F.array(*(F.lit(m).cast("long") for m in block_masks(blocks, agree)))).alias("mask"))
+    found = None
+    while True:
+        out = written(_shard_links(keyed, radius, most), "simhash-links")
+        near = out.where("mask is null").select("a", "b")
+        found = near if found is None else found.union(near)
+        large = out.where("mask is not null")
+        masks = [r["mask"] for r in large.select("mask").distinct().toLocalIterator()]  # at most some thousand masks
+        if not masks:
+            return found.distinct()
+        parts = distinct.sparkSession.createDataFrame([(m, c) for m in masks for c in narrower(m, radius)], "mask long, part long")
+        keyed = large.select(F.col("a").alias("fp"), "mask").join(F.broadcast(parts), "mask").select("fp", F.col("part").alias("mask"))
 
 
 def components(edges: DataFrame, name: str = "star", most_rounds: int = 60) -> DataFrame:

@@ -65,6 +65,32 @@ def test_tree_links_span_all_links(base, radius):
     assert all((find(parent, a) == find(parent, b)) == (find(brute, a) == find(brute, b)) for a, b in pairs)
 
 
+def test_large_shards_are_split_without_loss(spark):
+    """One ball of near fingerprints, with shards limited to forty members: every link of brute force stays."""
+    import random
+
+    rng = random.Random(2)
+    ball = sorted({sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) ^ 0x5555 for _ in range(150)})
+    df = spark.createDataFrame([(simhash_bk._signed(x),) for x in ball], "fp long")
+    got = [(r["a"] & (2**64 - 1), r["b"] & (2**64 - 1)) for r in simhash_bk.links(df, 4, 6, 2, most=40).collect()]
+    parent = {x: x for x in ball}
+
+    def find(p, x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for a, b in got:
+        assert (a ^ b).bit_count() <= 4
+        parent[find(parent, a)] = find(parent, b)
+    brute = {x: x for x in ball}
+    for i, a in enumerate(ball):
+        for b in ball[:i]:
+            if (a ^ b).bit_count() <= 4:
+                brute[find(brute, a)] = find(brute, b)
+    assert all((find(parent, a) == find(parent, b)) == (find(brute, a) == find(brute, b)) for a in ball for b in ball)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 105), (100, 105)]
     got = {r["node"]: r["root"] for r in simhash_bk.components(spark.createDataFrame(chain, "a long, b long")).collect()}
