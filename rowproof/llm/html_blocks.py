@@ -19,7 +19,16 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:script|style|noscript|template|svg|iframe|textarea|select|title)\b.*?(?:</(?:script|style|noscript|template|svg|iframe|textarea|select|title)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*(?:>|\Z)", re.S | re.I)
+#: Comments, invisible elements with their content, declarations, tags with quoted values, other tags.  No part
+#: can run on over the whole rest of a page again and again, so the pass is linear.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b.*?(?:</\1\s*>|\Z)"
+    r"|<[!?][^>]*(?:>|\Z)"
+    r"|</?[a-zA-Z][^<>\"']*(?:(?:\"[^\"]{0,4096}\"|'[^']{0,4096}')[^<>\"']*)*>"
+    r"|</?[a-zA-Z][^<>]*(?:>|\Z)?",
+    re.S | re.I,
+)
 HIDDEN = re.compile(r"<(script|style|noscript|template|svg|iframe|textarea|select|title)\b", re.I)
 NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)")
 ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
