@@ -184,3 +184,41 @@ def test_stream_equals_batch(spark, tmp_path):
     q = verify_rows(spark.readStream.schema(df.schema).parquet(str(src)), s, "t", AS_OF).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r["id"] for r in spark.table("seen").collect()) == sorted(r["id"] for r in verify_rows(df, s, "t", AS_OF).collect())
+
+
+def _stream(spark, df, path):
+    df.write.parquet(str(path))
+    return spark.readStream.schema(df.schema).parquet(str(path))
+
+
+def _drain(stream, name, mode, path):
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(path)).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return stream.sparkSession.table(name).collect()
+
+
+def test_window_counts_on_a_stream(spark, tmp_path):
+    from rowproof.streaming.verify_stream import latest_stage, window_counts
+
+    rows = [(f"2024-01-01 {h:02d}:{m:02d}:00", "TYPE" if m % 2 else "VALUE", h * 60 + m) for h in range(3) for m in range(0, 60, 7)]
+    df = spark.createDataFrame(rows, "t string, constraint_type string, n long").withColumn("ts", F.col("t").cast("timestamp"))
+    src = _stream(spark, df.drop("t"), tmp_path / "in")
+    got = _drain(window_counts(src, "ts"), "windows", "complete", tmp_path / "c1")
+    want = window_counts(df, "ts").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and sum(r["n"] for r in got) == len(rows)
+    newest = _drain(latest_stage(src, ["constraint_type"], "ts"), "newest", "complete", tmp_path / "c2")
+    assert {r["constraint_type"]: r["n"] for r in newest} == {k: max(n for _, kk, n in rows if kk == k) for k in ("TYPE", "VALUE")}
+
+
+def test_stream_references_duplicates_and_batches(spark, tmp_path):
+    from rowproof.streaming.verify_stream import distinct_rows, merge_batches, verify_reference
+
+    df = spark.createDataFrame([(str(i), str(i % 5), "2024-01-01 00:00:00") for i in range(20)], "tuple_id string, k string, t string").withColumn("ts", F.col("t").cast("timestamp"))
+    src = _stream(spark, df, tmp_path / "in")
+    ref = spark.createDataFrame([("0",), ("1",)], "k string")
+    lost = _drain(verify_reference(src, "t", "k", ref, "k"), "lost", "append", tmp_path / "c1")
+    assert len(lost) == 12 and len(lost) == verify_reference(df, "t", "k", ref, "k").count()
+    assert len(_drain(distinct_rows(src, ["k"], "ts"), "once", "append", tmp_path / "c2")) == 5
+    seen = []
+    merge_batches(src, lambda batch, n: seen.append((n, batch.count())), str(tmp_path / "c3")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sum(n for _, n in seen) == 20
