@@ -165,16 +165,15 @@ def rare_seeds(items: Items, frequency: dict[int, int], share: float = SEED_SHAR
     return dict(owners)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, share: float = SEED_SHARE, least: int = LEAST_SEEDS) -> DataFrame:
-    """keep columns and leaks: array of (item_id, score, first_word, last_word), for every row of docs.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, share: float = SEED_SHARE, least: int = LEAST_SEEDS, to: str = "leaks") -> DataFrame:
+    """keep columns and leaks (named by to): array of (item_id, score, first_word, last_word), for every row of docs.
 
     benchmark: item_id, text.
     """
     sizes = benchmark.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     blocks = max(1, -(-int(sizes["chars"] or 0) // (6 * BLOCK_WORDS)))
-    out = docs.withColumn("_leaks", F.array().cast(FOUND)).select(*keep, F.col(text_col), "_leaks") if not sizes["n"] else None
-    if out is not None:
-        return out.select(*keep, F.col("_leaks").alias("leaks"))
+    if not sizes["n"]:
+        return docs.select(*keep, F.array().cast(FOUND).alias(to))
     rows = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("_t"), F.array().cast(FOUND).alias("_leaks"))
     for block in range(blocks):
         mine = benchmark.where(F.crc32(F.coalesce(F.col("item_id").cast("string"), F.lit("")).cast("binary")) % blocks == block)
@@ -187,4 +186,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         rows = map_texts(rows, "_t", tuple(c for c in rows.columns if c != "_t") if block == blocks - 1 else tuple(rows.columns), run, f"found {FOUND}")
         rows = rows.withColumn("_leaks", F.concat("_leaks", "found")).drop("found")
-    return rows.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), F.col("_leaks").alias("leaks"))
+    return rows.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), F.col("_leaks").alias(to))

@@ -31,18 +31,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     end, of all rows.
     """
     rows = df.select(F.col(id_col).alias("id"), normalised(text_col).alias("t")).withColumn("len", F.length("t"))
+    head, full = F.xxhash64(F.substring("t", 1, prefix)), F.unhex(F.sha2("t", 256))
+    # texts are never shuffled: where a list of keys is too long to broadcast, the next key is computed before the join
     lengths = written(rows.groupBy("len").count().where("count > 1").select("len", F.lit(True).alias("by_len")), "dedup-lengths")
-    lengths = broadcast_if_small(lengths)
-    prefixed = lambda d: d.withColumn("ph", F.when(F.col("by_len"), F.xxhash64(F.substring("t", 1, prefix))))
-    narrow = rows.select("len", "t").join(lengths, "len")
-    heads = narrow.select("len", F.xxhash64(F.substring("t", 1, prefix)).alias("ph")).groupBy("len", "ph").count().where("count > 1")
-    heads = written(heads.select("len", "ph", F.lit(True).alias("by_head")), "dedup-heads")
-    full = F.unhex(F.sha2("t", 256))
-    if heads.count() <= BROADCAST_ROWS:  # two numbers a row: some 10 MB of keys, and no text is shuffled
-        rows = prefixed(rows.join(lengths, "len", "left")).join(F.broadcast(heads), ["len", "ph"], "left")
-        rows = rows.withColumn("sha", full if digest else F.when(F.col("by_head"), full))
-    else:  # hash before the joins, so that these need no text
-        rows = rows.withColumn("sha", full).withColumn("ph", F.xxhash64(F.substring("t", 1, prefix))).drop("t").join(heads, ["len", "ph"], "left")
+    few = lengths.count() <= BROADCAST_ROWS
+    narrow = rows.join(F.broadcast(lengths), "len").select("len", head.alias("ph")) if few else rows.select("len", head.alias("ph")).join(lengths, "len")
+    heads = narrow.groupBy("len", "ph").count().where("count > 1").select("len", "ph", F.lit(True).alias("by_head"))
+    heads = written(heads, "dedup-heads")
+    if heads.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(lengths), "len", "left").withColumn("ph", F.when(F.col("by_len"), head)) if few else rows.withColumn("ph", head)
+        rows = rows.join(F.broadcast(heads), ["len", "ph"], "left").withColumn("sha", full if digest else F.when(F.col("by_head"), full))
+    else:
+        rows = rows.select("id", "len", head.alias("ph"), full.alias("sha")).join(heads, ["len", "ph"], "left")
     rows = written(rows.select("id", "sha", F.coalesce("by_head", F.lit(False)).alias("again"), F.monotonically_increasing_id().alias("tag")), "dedup-rows")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag"))
     groups = written(rows.where("again").groupBy("sha").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1"), "dedup-groups")

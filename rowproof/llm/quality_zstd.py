@@ -131,5 +131,6 @@ def train_quality(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out:
     return fit_quality(sample, (counts.get(0, 0), counts.get(1, 0)))
 
 
-def score_quality(docs: DataFrame, model: CompressionModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    return map_texts(docs, text_col, keep, lambda texts: {"score": model.scores(texts)}, "score double")
+def score_quality(docs: DataFrame, model: CompressionModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", to: str = "score") -> DataFrame:
+    """keep columns and the score, in a column named by to."""
+    return map_texts(docs, text_col, keep, lambda texts: {to: model.scores(texts)}, f"{to} double")

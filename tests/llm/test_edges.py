@@ -227,3 +227,44 @@ def test_personal_data(docs):
     got = pii_crf.find_personal_data(docs, field).collect()
     assert len(got) == len(ROWS) and all(r["base"] == [] for r in got)
     assert pii_crf.find_personal_data(docs.limit(0), field).collect() == []
+
+
+def test_pipeline_stages_on_odd_rows(docs, spark, sf):
+    """Clashing columns, nulls, repeats and a very long text go through every stage; empty tables stay empty."""
+    import corpus_pipeline
+
+    odd = docs.withColumnRenamed("id", "leaks").selectExpr("doc_id", "text", "source AS lang", "source", "5 AS n_chars", "score", "len", "sha", "node", "base", "tokens", "leaks")
+    for rows in (odd, odd.limit(0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, rows, sf)
+            n = out.count()
+            assert k == 4 or (n <= len(ROWS) and out.columns == odd.columns)
+            assert n > 0 or rows is not odd
+
+
+def test_stages_keep_what_they_should(spark, sf):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first()["text"]
+    near = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, near), (2, near.replace("w150", "changed")), (3, "something else " + " ".join(f"v{i}" for i in range(80))), (4, near), (5, f"before {item} after"), (6, "plain words only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = lambda d: sorted(r["doc_id"] for r in d.collect())
+    assert ids(corpus_pipeline.exact_dedup_stage(spark, df, sf)) == [1, 2, 3, 5, 6]
+    assert ids(corpus_pipeline.simhash_stage(spark, df, sf)) == [1, 3, 5, 6]
+    assert ids(corpus_pipeline.decontamination_stage(spark, df, sf)) == [1, 2, 3, 4, 6]
+
+
+def test_exact_dedup_beyond_its_broadcast_bounds(docs, monkeypatch):
+    want = sorted(map(str, exact_dedup.exact_dedup(docs, digest=True).collect()))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(exact_dedup, "broadcast_if_small", lambda d: d)
+    assert sorted(map(str, exact_dedup.exact_dedup(docs, digest=True).collect())) == want
+
+
+def test_decontamination_in_blocks(spark, sf, monkeypatch):
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    found = lambda: sorted((r["doc_id"], x["item_id"], x["score"]) for r in decontam.decontaminate(docs, bench).collect() for x in r["leaks"])
+    want = found()
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 200)
+    assert found() == want and want
