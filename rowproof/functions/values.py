@@ -16,7 +16,10 @@ HAN = r"[一-龥]"
 BOOLEAN_WORDS = ("true", "false", "1", "0", "yes", "no", "是", "否", "y", "n", "on", "off")
 TRUE_WORDS = ("true", "1", "yes", "是", "y", "on")
 DATE_SHAPES = (r"\d{4}-\d{2}-\d{2}", r"\d{4}/\d{2}/\d{2}", r"\d{2}/\d{2}/\d{4}", r"\d{2}-\d{2}-\d{4}", r"\d{8}")
-DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "d/M/yyyy", "M/d/yyyy", "yyyy-M-d H:m:s", "yyyy/M/d H:m:s", "yyyyMMdd")
+DATE_FORMATS = (
+    (r"\d{4}-\d{1,2}-\d{1,2}", ("yyyy-M-d",)), (r"\d{4}/\d{1,2}/\d{1,2}", ("yyyy/M/d",)), (r"\d{1,2}/\d{1,2}/\d{4}", ("d/M/yyyy", "M/d/yyyy")),
+    (r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}", ("yyyy-M-d H:m:s",)), (r"\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}", ("yyyy/M/d H:m:s",)), (r"\d{8}", ("yyyyMMdd",)),
+)
 PROMPT_WORDS = ("确认", "检查", "建议", "请", "是否", "或者", "可能", "需要", "应该", "必须", "注意", "提示", "警告", "说明", "参考", "数据源", "采集逻辑", "业务逻辑", "特定需求", "合理的", "问题", "错误", "修改", "更正", "调整")
 ENTITY_SUFFIXES = ("股份有限公司", "有限公司", "集团", "股份公司", "公司", "集团股份有限公司", "（集团）股份有限公司", "Co.,Ltd", "Inc.", "Corp.", "Ltd.", "大学", "学院", "研究所", "研究院", "中心")
 COMPANY_SUFFIXES = ("股份有限公司", "有限公司", "公司", "集团", "股份", "(集团)", "（集团）")
@@ -76,9 +79,18 @@ def decimal_scale(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """The first of the accepted formats that reads the text, without a time zone."""
+    """The first of the accepted formats that reads the text, without a time zone.
+
+    A shape guard picks the formats worth trying: a parser that fails raises inside, which is dear by the row.
+    """
     t = strip(c)
-    return F.coalesce(*(F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz") for f in DATE_FORMATS))
+    chain = None
+    for shape, formats in DATE_FORMATS:
+        read = [F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz") for f in formats]
+        read = F.coalesce(*read) if len(read) > 1 else read[0]
+        hit = t.rlike(f"^{shape}$")
+        chain = F.when(hit, read) if chain is None else chain.when(hit, read)
+    return chain
 
 
 def suggest_date(c: Column) -> Column:

@@ -12,6 +12,7 @@ from ..operators import checks as C
 from ..operators import setchecks as S
 from ..operators import verify as R
 from ..plans.schema import parse_schema
+from ..sources.numbering import spread
 from .base import DIRTY_CUSTOMER, DIRTY_ORDERS, LINES, frame, query, table
 
 AS_OF = dt.date(2001, 1, 1)
@@ -31,7 +32,7 @@ V_COLS = ("tuple_id", "attr", "rule_code", "severity", "suggested_fix")
 
 
 def orders(spark: SparkSession, d: str) -> DataFrame:
-    return frame(spark, d, DIRTY_ORDERS)
+    return spread(frame(spark, d, DIRTY_ORDERS))
 
 
 def customers(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Global row numbers without a single-task window."""
+"""Global row numbers without a single-task window, and spreading of inputs with few partitions."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,3 +18,13 @@ def with_row_number(df: DataFrame, order: str, name: str = "_row", buckets: int
     before = counts.withColumn("_off", F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     w = Window.partitionBy("_b").orderBy(F.col(order).asc_nulls_first(), F.xxhash64(*df.columns))
     return rows.join(F.broadcast(before.select("_b", "_off")), "_b").withColumn(name, F.row_number().over(w) - 1 + F.col("_off")).drop("_b", "_off")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows out where the source has far fewer partitions than the cluster has cores (one small file).
+
+    Row-local checks are bound by CPU.  Inputs of many files or row groups have partitions enough and are not
+    shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
