@@ -1 +1,10 @@
-"""rowproof: a Spark-native engine that verifies, repairs, merges and scores extracted tables."""
+"""rowproof: a Spark-native engine that verifies, repairs, merges and scores extracted tables.
+
+Functions that run on executors are shipped by value, so a cluster needs no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
