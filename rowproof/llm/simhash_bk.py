@@ -19,7 +19,8 @@ of it are null; repeated rows come out as often as they came in.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,11 +29,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
+from .common import broadcast_if_small, map_texts, written
 
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Hashes of a bottom sketch: the standard error of a similarity of 0.8 is 0.035, and none for shorter texts.
-SKETCH = 128
+#: Texts in which common shingles are counted, and shingles held as common: both only for the order of prefixes.
+SAMPLE, COMMON = 8000, 200_000
 #: Fingerprints in a shard beyond which it is split.
 SHARD = 4096
 #: radius -> (blocks, agree) up to so many distinct fingerprints, then the next wider choice.
@@ -80,45 +81,151 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def bottom_sketch(hashes: np.ndarray, size: int) -> bytes:
-    """The size smallest distinct hashes (32 bits of a mixed hash each), sorted."""
-    return np.unique((_mixed(hashes, 77) >> np.uint64(32)).astype(np.uint32))[:size].tobytes()
+def set_key(shingles: np.ndarray) -> int:
+    """One number of a shingle set (sorted, distinct): texts with equal sets are one node."""
+    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), 7))
 
 
-def similarity(a: bytes, b: bytes, size: int) -> float:
-    """Jaccard similarity of the shingle sets behind two sketches; exact where both sets fit their sketch."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    both = np.intersect1d(x, y, assume_unique=True)
-    union = np.union1d(x, y)[:size]
-    return len(np.intersect1d(both, union, assume_unique=True)) / len(union) if len(union) else 1.0
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Exact similarity of two shingle sets (sorted, distinct)."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / union if (union := len(x) + len(y) - both) else 1.0
 
 
-def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", words: int = 4, count: int = 1, sketch: int = 0) -> DataFrame:
-    """keep columns and fp0, fp1, ... (signed 64-bit); with sketch, the bottom sketch of that size."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", words: int = 4, count: int = 1, sets: bool = False) -> DataFrame:
+    """keep columns and fp0, fp1, ... (signed 64-bit); with sets, the key of the shingle set (node)."""
 
     def run(texts: list) -> dict[str, list]:
-        out: dict[str, list] = {f"fp{k}": [] for k in range(count)} | {"sketch": []}
+        out: dict[str, list] = {f"fp{k}": [] for k in range(count)} | {"node": []}
         for t in texts:
             h = shingle_hashes(t, words)
             for k in range(count):
                 out[f"fp{k}"].append(_signed(fingerprint(_mixed(h, k))))
-            out["sketch"].append(bottom_sketch(h, sketch) if sketch else None)
+            out["node"].append(set_key(np.unique(h)) if sets else None)
         return out
 
-    return map_texts(docs, text_col, keep, run, ", ".join(f"fp{k} long" for k in range(count)) + ", sketch binary")
+    return map_texts(docs, text_col, keep, run, ", ".join(f"fp{k} long" for k in range(count)) + ", node long")
 
 
-def similar_links(pairs: DataFrame, nodes: DataFrame, size: int, least: float) -> DataFrame:
-    """Those links (a, b) between nodes (node, sketch) whose sketches are at least so similar."""
-    s = nodes.select("node", "sketch")
-    both = pairs.join(s.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(s.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
+def similar_links(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Those links (a, b) whose texts' full shingle sets are at least so similar.  texts: node, text."""
+    t = lambda name, to: texts.select(F.col("node").alias(name), F.col("text").alias(to))
+    both = pairs.join(t("a", "x"), "a").join(t("b", "y"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = lambda v: np.unique(shingle_hashes(v.as_py(), words))
         for t in batches:
-            ok = [similarity(x.as_py(), y.as_py(), size) >= least for x, y in zip(t.column("x"), t.column("y"))]
-            yield pa.RecordBatch.from_arrays([t.column("a").filter(pa.array(ok)), t.column("b").filter(pa.array(ok))], names=["a", "b"])
+            ok = pa.array([jaccard(own(x), own(y)) >= least for x, y in zip(t.column("x"), t.column("y"))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column("a").filter(ok), t.column("b").filter(ok)], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a set in one global order (by count, then hash), so many that two sets with a
+    similarity of least or more always share one of theirs."""
+    n = len(shingles)
+    where = np.minimum(np.searchsorted(common, shingles), max(0, len(common) - 1))
+    seen = np.where(common[where] == shingles, counts[where], 0) if len(common) else np.zeros(n, np.int64)
+    return shingles[np.lexsort((shingles, seen))][: n - math.ceil(least * n - 1e-9) + 1 if n else 0]
+
+
+def common_shingles(docs: DataFrame, text_col: str, words: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of shingles found again and again in about SAMPLE texts.
+
+    They only come late in the order of prefix(); the links do not hang on them, but the time does.
+    """
+    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(max(1, n // SAMPLE))) == 0).select(F.col(text_col).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))], names=["h"])
+
+    often = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON)
+    rows = sorted((r["h"] & (2**64 - 1), r["n"]) for r in often.toLocalIterator())  # at most COMMON rows
+    return np.array([h for h, _ in rows], np.uint64), np.array([c for _, c in rows], np.int64)
+
+
+def _by_key(df: DataFrame, schema: str, run: Callable[[np.ndarray], list[np.ndarray] | None]) -> DataFrame:
+    """Applies run to the rows (columns x rows, the first column is the key) of each key; long columns only."""
+    cols = df.columns
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            edges = np.concatenate(([0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1, [rows.shape[1]]))
+            found = [got for i in np.flatnonzero(np.diff(edges) > 1) for got in run(rows[:, edges[i] : edges[i + 1]])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], names=names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in cols])
+            if held and held[-1][0, -1] != rows[0, 0]:
+                yield from done(np.concatenate(held, axis=1))
+                held = []
+            if rows[0, 0] != rows[0, -1]:
+                at = int(np.flatnonzero(rows[0] != rows[0, -1])[-1]) + 1
+                yield from done(np.concatenate([*held, rows[:, :at]], axis=1))
+                held, rows = [], rows[:, at:]
+            held.append(rows)
+        if held:
+            yield from done(np.concatenate(held, axis=1))
+
+    return df.repartition(cols[0]).sortWithinPartitions(*cols[:2]).mapInArrow(each, schema)
+
+
+def _may_join(sizes: np.ndarray, i: int, least: float) -> np.ndarray:
+    """Of the rows after i of a key (sizes: n << 32 | place), those whose set can be similar enough if this is the first shingle shared."""
+    n, at = sizes >> 32, sizes & 0xFFFFFFFF
+    rest = np.minimum(n[i] - at[i], n[i + 1 :] - at[i + 1 :])  # this shingle and all after it
+    small, big = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
+    return (small >= least * big - 1e-9) & (rest >= least / (1 + least) * (small + big) - 1e-9)
+
+
+def shared_prefixes(docs: DataFrame, text_col: str, words: int, least: float, n: int) -> DataFrame:
+    """key, node, size: sets that share a shingle of their prefixes with another; size is n << 32 | place in the order."""
+    common, counts = common_shingles(docs, text_col, words, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                own = np.unique(shingle_hashes(t.as_py(), words))
+                keys = prefix(own, common, counts, least)
+                if len(keys):
+                    sizes = (len(own) << 32) | np.arange(len(keys), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), set_key(own), np.int64)), pa.array(sizes)], names=["key", "node", "size"])
+
+    def several(rows: np.ndarray) -> list[np.ndarray]:
+        rows = rows[:, np.concatenate(([True], rows[1, 1:] != rows[1, :-1]))]  # a set's repeats are one node
+        return [rows] if rows.shape[1] > 1 else []
+
+    return _by_key(docs.select(F.col(text_col).alias("t")).mapInArrow(run, "key long, node long, size long"), "key long, node long, size long", several)
+
+
+def prefix_pairs(shared: DataFrame, roots: DataFrame, least: float, star: bool) -> DataFrame:
+    """a, b: pairs of nodes of different roots that share a prefix shingle and can be similar enough.
+
+    With star, only those with the first node of a key, which is enough for most of a large group.
+    """
+    rows = shared.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+
+    def pairs(rows: np.ndarray) -> list[np.ndarray]:
+        _, node, size, root = rows
+        if (root == root[0]).all():
+            return []
+        out = []
+        for i in range(1 if star else len(node) - 1):
+            other = node[i + 1 :][_may_join(size, i, least) & (root[i + 1 :] != root[i])]
+            if len(other):
+                out.append(np.stack([np.minimum(node[i], other), np.maximum(node[i], other)]))
+        return out
+
+    return _by_key(rows, "a long, b long", pairs).distinct()
 
 
 def block_masks(blocks: int, agree: int) -> list[int]:
@@ -276,39 +383,60 @@ def layout(radius: int, n: int) -> tuple[int, int]:
     return next((b, a) for b, a, most in LAYOUTS[radius] if n <= most)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, count: int = 1, least: float | None = None, sketch: int = SKETCH) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, count: int = 1, least: float | None = None) -> DataFrame:
     """One row per row of docs: id, fp0.., component (smallest id reachable by links).
 
-    With count > 1, fingerprints of independent hashes, two texts link if any of theirs do.  With least, a
-    link counts only if the shingle sets' Jaccard similarity, by bottom sketches, is at least that.
+    With count > 1, fingerprints of independent hashes, two texts link if any of theirs do.  With least, two
+    texts link if and only if the Jaccard similarity of their full shingle sets is at least that (see
+    similar_components).
     """
     names = [f"fp{k}" for k in range(count)]
-    fps = fingerprints(docs, (id_col,), text_col, words, count, sketch if least is not None else 0)
-    fps = written(fps.select(F.col(id_col).alias("id"), *names, "sketch"), "simhash-fps")
-    nodes = fps.groupBy(*names).agg(F.min("id").alias("m"), *([F.min("sketch").alias("sketch")] if least is not None else []))
-    # a node is one text class; its number is fp0 where that is unique, which with one fingerprint it always is
-    nodes = written(nodes.withColumn("node", F.col("fp0") if count == 1 else F.xxhash64(*names)), "simhash-nodes")
-    blocks, agree = layout(radius, nodes.count())
+    exact = least is not None
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    fps = written(fingerprints(rows, ("id", "text_hash"), "text", words, count, exact).select("id", "text_hash", *names, "node"), "simhash-fps")
+    key = ["node"] if exact else names
+    nodes = fps.groupBy(*key).agg(F.min("id").alias("m"), *([F.min(n).alias(n) for n in names] + [F.min("text_hash").alias("text_hash")] if exact else []))
+    # a node is one shingle set, else one text class; its number is fp0 where that is unique, which with one fingerprint it always is
+    nodes = written(nodes if exact else nodes.withColumn("node", F.col("fp0") if count == 1 else F.xxhash64(*names)), "simhash-nodes")
+    n = nodes.count()
+    blocks, agree = layout(radius, n)
     found = None
     for name in names:
         own = nodes.select(F.col(name).alias("fp")).distinct()
         near = links(own, radius, blocks, agree)
-        if count > 1:  # from fingerprints to nodes; nodes with one fingerprint in common are linked to its smallest
+        if count > 1 or exact:  # from fingerprints to nodes; nodes with one fingerprint in common are linked to its smallest
             at = written(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("node")), "simhash-at")
             near = near.join(at.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(at.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
             same = nodes.select(F.col(name).alias("fp"), F.col("node").alias("y")).join(at.select("fp", F.col("node").alias("x")), "fp")
             near = near.select("x", "y").union(same.select("x", "y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         found = near if found is None else found.union(near)
     found = found.distinct()
-    if least is not None:
-        found = similar_links(written(found, "simhash-found"), nodes, sketch, least)
-    roots = components(found, "simhash")
+    roots = similar_components(rows, nodes, written(found, "simhash-found"), words, least, n) if exact else components(found, "simhash")
     linked = written(nodes.select("node", "m").join(roots, "node"), "simhash-linked")
     first = linked.groupBy("root").agg(F.min("m").alias("c"))
     first = written(first, "simhash-first")
     named = linked.join(first, "root").select("node", "c")
-    smallest = written(nodes.join(named, "node", "left").select(*names, F.coalesce("c", "m").alias("component")), "simhash-components")
-    return fps.join(smallest, names, "left").select("id", *names, "component")
+    smallest = written(nodes.join(named, "node", "left").select(*key, F.coalesce("c", "m").alias("component")), "simhash-components")
+    return fps.join(smallest, key, "left").select("id", *names, "component")
+
+
+def similar_components(rows: DataFrame, nodes: DataFrame, found: DataFrame, words: int, least: float, n: int) -> DataFrame:
+    """node, root: components of all pairs of shingle sets with a similarity of at least least, by exact tests.
+
+    The fingerprints' links (found) are tested first and join most near copies.  What they miss shares a
+    shingle of the two prefixes: such pairs of different roots are tested too, first with one node of every
+    shared shingle, then all of those that are still in different components.  No pair is left out.
+    """
+    shared = written(shared_prefixes(rows, "text", words, least, n), "simhash-shared")
+    wanted = found.select(F.explode(F.array("a", "b")).alias("node")).union(shared.select("node")).distinct()
+    wanted = written(wanted.join(nodes.select("node", "text_hash"), "node").select("node", "text_hash"), "simhash-wanted")
+    texts = rows.select("text_hash", "text").join(broadcast_if_small(wanted), "text_hash").select("node", "text").dropDuplicates(["node"])
+    texts = written(texts, "simhash-texts")
+    good = written(similar_links(found, texts, words, least), "simhash-good")
+    for star in (True, False):
+        pairs = written(prefix_pairs(shared, components(good, "simhash"), least, star), "simhash-pairs")
+        good = good.union(written(similar_links(pairs, texts, words, least), "simhash-good"))
+    return components(good, "simhash")
 
 
 def hex_fingerprint(fp: Column) -> Column:

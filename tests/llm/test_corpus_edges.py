@@ -268,3 +268,50 @@ def test_decontamination_in_blocks(spark, sf, monkeypatch):
     want = found()
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 200)
     assert found() == want and want
+
+
+def _jaccard_groups(texts: list[str], words: int, least: float) -> list[int]:
+    """By brute force: the smallest row number of each text's component."""
+    sets = [{tuple(t.split()[i : i + words]) for i in range(len(t.split()) - words + 1)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= least * len(a | sets[j]) - 1e-12:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def _edited(words: list[str], n: int, rng) -> list[str]:
+    out = list(words)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = f"e{rng.randrange(10**9)}"
+    return out
+
+
+def _components(spark, texts: list[str]) -> list[int]:
+    import corpus_pipeline
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in simhash_bk.near_duplicates(df, **corpus_pipeline.NEAR).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_isolated_pairs_are_all_found(spark):
+    """Groups of two at similarities around 0.8, where fingerprints alone miss most."""
+    import random
+
+    rng, texts = random.Random(5), []
+    for k in range(240):
+        size, edits = ((104, 1 + k % 4), (404, 6 + k % 10), (24, k % 3))[k % 3]
+        base = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+        texts += [" ".join(base), " ".join(_edited(base, edits, rng))]
+    want = _jaccard_groups(texts, 5, 0.8)
+    assert 60 < sum(want[2 * k] == want[2 * k + 1] for k in range(240)) < 230
+    assert _components(spark, texts) == want
