@@ -315,3 +315,14 @@ def test_isolated_pairs_are_all_found(spark):
     want = _jaccard_groups(texts, 5, 0.8)
     assert 60 < sum(want[2 * k] == want[2 * k + 1] for k in range(240)) < 230
     assert _components(spark, texts) == want
+
+
+def test_families_near_the_threshold(spark):
+    """Links are verified before they join: a failing link never stands in for one that would hold."""
+    import random
+
+    rng, texts = random.Random(6), []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(204)]
+        texts += [" ".join(_edited(base, rng.randrange(1, 4), rng)) for _ in range(20)]
+    assert _components(spark, texts) == _jaccard_groups(texts, 5, 0.8)
