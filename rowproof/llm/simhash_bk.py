@@ -300,11 +300,13 @@ def _shard_links(keyed: DataFrame, radius: int, most: int) -> DataFrame:
             edges = np.concatenate(([0], cut, [len(m)]))
             sizes = np.diff(edges)
             found: list[tuple[int, int]] = []
-            for i in np.flatnonzero(sizes > 1):
+            alone = sizes == 1
+            alone[0] &= passed is None  # one row may be the rest of the shard that is being passed on
+            for i in np.flatnonzero(~alone):
                 at = slice(edges[i], edges[i + 1])
                 if sizes[i] > most or passed == (m[at][0], k[at][0]):
                     yield packed(fp[at], fp[at], m[at])
-                else:
+                elif sizes[i] > 1:
                     found += tree_links([int(x) & low for x in fp[at]], radius)
             if found:
                 pairs = np.array([(min(x), max(x)) for x in ((_signed(a), _signed(b)) for a, b in found)], np.int64)

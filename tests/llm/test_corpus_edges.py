@@ -326,3 +326,17 @@ def test_families_near_the_threshold(spark):
         base = [f"w{rng.randrange(10**9)}" for _ in range(204)]
         texts += [" ".join(_edited(base, rng.randrange(1, 4), rng)) for _ in range(20)]
     assert _components(spark, texts) == _jaccard_groups(texts, 5, 0.8)
+
+
+def test_large_shard_ends_with_one_row_in_the_next_batch(spark):
+    most, batch, parts = 40, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions"
+    before = {k: spark.conf.get(k) for k in (batch, parts)}
+    try:
+        spark.conf.set(batch, str(most + 1))
+        spark.conf.set(parts, "1")
+        rows = [(k << 4, 15) for k in range(most + 2)] + [(1 + (k << 4), 15) for k in range(3)]
+        got = simhash_bk._shard_links(spark.createDataFrame(rows, "fp long, mask long"), 4, most).where("mask is not null").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r["a"] for r in got) == [k << 4 for k in range(most + 2)]
