@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -14,6 +14,8 @@ from ..functions.empties import is_eval_null, is_llm_null
 
 #: Fixed value: at least this similar rows may be matched.
 LEAST_SIMILARITY = 0.3
+#: Tasks over which all pairs of a group are dealt.
+PARTS = 64
 
 
 def compare(expected: Column, generated: Column) -> Column:
@@ -62,20 +64,25 @@ def row_similarity(pairs: Sequence[tuple[Column, Column]]) -> Column:
 
 
 def score_matrix(gold: DataFrame, made: DataFrame, fields: Sequence[str], block: Sequence[str] = (), group: str | None = None) -> DataFrame:
-    """(grp, g, m, score) of pairs of rows (columns _seq and fields) that share a value of a block field.
+    """(grp, g, m, score) of all pairs of rows (columns _seq and fields) of a group.
 
-    Without block fields, rows that agree on any one field are compared: pairs that agree nowhere could match
-    only through loose similarity.
+    The greedy match is defined over all of them, and pairs that agree in no field may be similar enough: the
+    work is the product of both tables' rows, dealt over PARTS tasks a group.  With block, only pairs that share
+    a value of a block field, for tables whose rows are paired by a key.
     """
-    blocks = list(block) or list(fields)
     grp = (F.col(group) if group else F.lit("")).alias("grp")
     key = lambda c: F.lower(V.collapse_spaces(c.cast("string")))
+    own = lambda prefix: [grp, F.col("_seq").alias(prefix), *(F.col(f).cast("string").alias(f"{prefix}_{f}") for f in fields)]
 
     def keyed(df: DataFrame, prefix: str) -> DataFrame:
-        ks = F.array(*(F.when(~is_eval_null(F.col(b).cast("string")), F.struct(F.lit(i).alias("i"), key(F.col(b)).alias("k"))) for i, b in enumerate(blocks)))
-        return df.select(grp, F.col("_seq").alias(prefix), *(F.col(f).cast("string").alias(f"{prefix}_{f}") for f in fields), F.explode(F.filter(ks, lambda x: x.isNotNull())).alias("kk"))
-
-    pairs = keyed(gold, "g").join(keyed(made, "m"), ["grp", "kk"]).drop("kk").dropDuplicates(["grp", "g", "m"])
+        ks = F.array(*(F.when(~is_eval_null(F.col(b).cast("string")), F.struct(F.lit(i).alias("i"), key(F.col(b)).alias("k"))) for i, b in enumerate(block)))
+        return df.select(*own(prefix), F.explode(F.filter(ks, lambda x: x.isNotNull())).alias("kk"))
+
+    if block:
+        pairs = keyed(gold, "g").join(keyed(made, "m"), ["grp", "kk"]).drop("kk").dropDuplicates(["grp", "g", "m"])
+    else:
+        parts = made.select(*own("m"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        pairs = gold.select(*own("g"), F.pmod(F.xxhash64("_seq"), F.lit(PARTS)).cast("int").alias("part")).join(parts, ["grp", "part"]).drop("part")
     return pairs.select("grp", "g", "m", F.round(row_similarity([(F.col(f"g_{f}"), F.col(f"m_{f}")) for f in fields]), 9).alias("score"))
 
 
@@ -83,21 +90,26 @@ def greedy_match(scores: DataFrame, least: float = LEAST_SIMILARITY) -> DataFram
     """(grp, g, m, score): gold rows in order take their best unused made row; ties: the smallest.
 
     The walk is in order by definition, so a group (a case's table) is one task; only narrow rows of pairs
-    over the threshold get there.
+    over the threshold get there, sorted outside Python, which holds no more than the used rows of a group.
     """
 
-    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        out = []
-        for g, part in rows.sort_values(["g", "score", "m"], ascending=[True, False, True]).groupby("g", sort=True):
-            for m, s in zip(part["m"], part["score"]):
-                if m not in used:
-                    used.add(m)
-                    out.append((key[0], g, m, s))
-                    break
-        return pd.DataFrame(out, columns=["grp", "g", "m", "score"])
-
-    return scores.where(F.col("score") >= least).groupBy("grp").applyInPandas(walk, "grp string, g long, m long, score double")
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grp, used, done = None, set(), None  # done: the gold row that has its partner
+        first = True
+        for part in batches:
+            out = []
+            for row in part.itertuples(index=False, name=None):
+                if first or row[0] != grp:
+                    grp, used, done, first = row[0], set(), None, False
+                if row[1] != done and row[2] not in used:
+                    used.add(row[2])
+                    done = row[1]
+                    out.append(row)
+            yield pd.DataFrame(out, columns=["grp", "g", "m", "score"])
+
+    ordered = scores.where(F.col("score") >= least).select("grp", F.col("g").cast("long").alias("g"), F.col("m").cast("long").alias("m"), "score")
+    ordered = ordered.repartition("grp").sortWithinPartitions("grp", "g", F.desc("score"), "m")
+    return ordered.mapInPandas(walk, "grp string, g long, m long, score double")
 
 
 def cell_counts(gold: DataFrame, made: DataFrame, matches: DataFrame, fields: Sequence[str], group: str | None = None) -> DataFrame:

@@ -29,21 +29,21 @@ def eval_string_similarity(spark, d):
     return p.select("k", F.round(V.string_similarity(F.col("n1"), F.when(F.col("k") % 3 == 0, F.concat(F.lit("ab"), F.col("k").cast("string"))).when(F.col("k") % 2 == 0, F.concat("n2", F.lit(" Ltd"))).otherwise(F.col("n2"))), 6).alias("s"))
 
 
-def _matched(spark, d):
+def _matched(spark, d, block=()):
     g, m = frame(spark, d, GOLD), frame(spark, d, MADE)
-    return g, m, E.greedy_match(E.score_matrix(g, m, FIELDS, block=["c_name"]))
+    return g, m, E.greedy_match(E.score_matrix(g, m, FIELDS, block=block))
 
 
 @query()
 def eval_row_match(spark, d):
-    """Greedy matching of gold and made rows that share a name."""
+    """Greedy matching of all gold rows with all made rows."""
     return _matched(spark, d)[2]
 
 
 @query(f"""SELECT sum(4 - (CASE WHEN _seq < 0 THEN 1 ELSE 0 END)) AS expected, (SELECT sum(4 - (CASE WHEN c_nationkey IS NULL THEN 1 ELSE 0 END)) FROM ({MADE}) m) AS generated,
 (SELECT sum(1 + (CASE WHEN x2 IS NULL THEN 0 ELSE 1 END) + (CASE WHEN CAST(b1 AS DOUBLE) = CAST(b2 AS DOUBLE) THEN 1 ELSE 0 END) + (CASE WHEN s1 = s2 THEN 1 ELSE 0 END)) FROM ({PAIRS}) p) AS correct FROM ({GOLD}) g""", expected="BIGINT", generated="BIGINT", correct="BIGINT")
 def eval_cell_metrics(spark, d):
-    g, m, match = _matched(spark, d)
+    g, m, match = _matched(spark, d, block=["c_name"])  # the SQL pairs rows by their key
     return E.cell_counts(g, m, match, FIELDS).select("expected", "generated", "correct")
 
 

@@ -222,3 +222,24 @@ def test_stream_references_duplicates_and_batches(spark, tmp_path):
     seen = []
     merge_batches(src, lambda batch, n: seen.append((n, batch.count())), str(tmp_path / "c3")).trigger(availableNow=True).start().awaitTermination(120)
     assert sum(n for _, n in seen) == 20
+
+
+def test_greedy_match_equals_brute_force(spark):
+    """Names edited in every row, and missing rows, so that no field need agree."""
+    rng = random.Random(3)
+    fields = ["name", "town", "amount"]
+    name = lambda: "".join(rng.choice("abcdefgh ") for _ in range(12)).strip() or "x"
+    gold = [(i, name(), rng.choice(["north", "south", "eastern"]), str(rng.randrange(100, 900))) for i in range(25)]
+    made = [(i, n[:-1] + "z", t + "x", str(int(a) + 1)) for i, n, t, a in gold if i % 4]
+    schema = "_seq long, name string, town string, amount string"
+    g, m = spark.createDataFrame(gold, schema), spark.createDataFrame(made, schema)
+    pairs = g.select(F.col("_seq").alias("g"), *(F.col(f).alias(f"g_{f}") for f in fields)).crossJoin(m.select(F.col("_seq").alias("m"), *(F.col(f).alias(f"m_{f}") for f in fields)))
+    score = {(r["g"], r["m"]): r["s"] for r in pairs.select("g", "m", F.round(E.row_similarity([(F.col(f"g_{f}"), F.col(f"m_{f}")) for f in fields]), 9).alias("s")).collect()}
+    want, used = set(), set()
+    for i, *_ in gold:
+        free = [(-score[i, j], j) for j, *_ in made if j not in used and score[i, j] >= 0.3]
+        if free:
+            want.add((i, min(free)[1]))
+            used.add(min(free)[1])
+    got = {(r["g"], r["m"]) for r in E.greedy_match(E.score_matrix(g, m, fields)).collect()}
+    assert got == want and len(want) > 15
