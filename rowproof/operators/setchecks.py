@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.empties import is_blank, is_blank_or_nullword, strip
+from ..sources.shared import shared_table
 
 OUT = ("tbl", "tuple_id", "attr", "constraint_type", "rule_code", "severity", "description", "suggested_fix", "business_rule_id", "affected_tuple_ids")
 
@@ -193,10 +194,15 @@ def missing_transitive(e: DataFrame) -> DataFrame:
     return two.join(e.select(F.col("src").alias("a"), F.col("dst").alias("c")), ["a", "c"], "left_anti")
 
 
-def closure(e: DataFrame, view: str = "rowproof_edges") -> DataFrame:
-    """All (src, dst) with a path, by a recursive query."""
-    e.createOrReplaceTempView(view)
-    return e.sparkSession.sql(f"WITH RECURSIVE p(src, dst, n) AS (SELECT src, dst, 1 FROM {view} UNION ALL SELECT p.src, e.dst, n + 1 FROM p JOIN {view} e ON p.dst = e.src WHERE n < 50) SELECT DISTINCT src, dst FROM p")
+def closure(e: DataFrame) -> DataFrame:
+    """All (src, dst) with a path, to a fixed point: rounds join the new pairs with all, so paths double in length."""
+    known = new = shared_table(e.select("src", "dst").distinct(), "closure")
+    while new.head(1):
+        step = lambda x, y: x.select("src", F.col("dst").alias("via")).join(y.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
+        found = step(new, known).union(step(known, new)).distinct()
+        new = shared_table(found.join(known, ["src", "dst"], "left_anti"), "closure")
+        known = known.union(new)
+    return known
 
 
 def graph_violations(e: DataFrame, table: str = "MULTI_TABLE") -> DataFrame:

@@ -243,3 +243,9 @@ def test_greedy_match_equals_brute_force(spark):
             used.add(min(free)[1])
     got = {(r["g"], r["m"]) for r in E.greedy_match(E.score_matrix(g, m, fields)).collect()}
     assert got == want and len(want) > 15
+
+
+def test_closure_has_no_depth_cap(spark):
+    rows = [(str(i), str(i + 1)) for i in range(100)] + [("x", "y"), ("y", "z"), ("z", "x")]
+    got = {tuple(r) for r in S.closure(spark.createDataFrame(rows, "src string, dst string")).collect()}
+    assert got == {(str(i), str(j)) for i in range(101) for j in range(i + 1, 101)} | {(a, b) for a in "xyz" for b in "xyz"}
