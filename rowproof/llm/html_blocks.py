@@ -19,18 +19,19 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-#: Comments, invisible elements with their content, declarations, tags with quoted values, other tags.  No part
+#: Comments, svg elements closed at once, invisible elements with their content (custom elements are none), declarations, tags with quoted values, other tags.  No part
 #: can run on over the whole rest of a page again and again, so the pass is linear.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b.*?(?:</\1\s*>|\Z)"
+    r"|<svg(?=[\s/])[^<>\"']*(?:(?:\"[^\"]{0,4096}\"|'[^']{0,4096}')[^<>\"']*)*(?<=/)>"
+    r"|<(script|style|noscript|template|svg|iframe|textarea|select|title)(?=[\s>/]|\Z).*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|</?[a-zA-Z][^<>\"']*(?:(?:\"[^\"]{0,4096}\"|'[^']{0,4096}')[^<>\"']*)*>"
     r"|</?[a-zA-Z][^<>]*(?:>|\Z)?",
     re.S | re.I,
 )
-HIDDEN = re.compile(r"<(script|style|noscript|template|svg|iframe|textarea|select|title)\b", re.I)
-NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)")
+HIDDEN = re.compile(r"<(script|style|noscript|template|svg|iframe|textarea|select|title)(?=[\s>/]|\Z)", re.I)
+NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*(?:-[a-zA-Z0-9-]*)?)")
 ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDDEN_ATTR = re.compile(r"\shidden(?=[\s>=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -94,9 +95,10 @@ def tree_says(tree: tuple, row: tuple) -> float:
 
 
 def _kind(tag: str, raw: str, in_main: bool) -> int:
-    """1 boilerplate, 2 main, 0 neither."""
+    """1 boilerplate, 2 main, 3 boilerplate by a word of its class or id only, 0 neither."""
     if tag in BOILER_TAGS or (tag == "header" and not in_main):
         return 1
+    soft = False
     if "=" in raw or " hidden" in raw:
         if HIDDEN_ATTR.search(raw):
             return 1
@@ -106,27 +108,35 @@ def _kind(tag: str, raw: str, in_main: bool) -> int:
                 if value in BOILER_ROLES:
                     return 1
                 if value in ("main", "article"):
-                    return 2
+                    return 3 if soft and value == "article" else 2
             elif tag not in ("body", "html", "article", "main", "h1", "p") and m[1].lower() in ("class", "id") and not BOILER_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-                return 1
-    return 2 if tag in MAIN_TAGS else 0
+                soft = True
+    return 3 if soft else 2 if tag in MAIN_TAGS else 0
 
 
 def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, words in links, within boilerplate, within main) of each non-empty block, in page order."""
+    """(text, words, words in links, within boilerplate, within main) of each non-empty block, in page order.
+
+    A class or id word marks all that is inside as boilerplate ('page with-sidebar' too).  If that leaves no main
+    element of the page, the wrappers around the main element with most words are pardoned in main elements.
+    """
     out: list[tuple[str, int, int, bool, bool]] = []
+    wraps: list[tuple[int, ...] | None] = []  # of each block in a main element marked by words outside it only: the marked wrappers
     if not page:
         return out
     stack: list[tuple[str, int]] = []  # open block elements and their kind
     text: list[str] = []
-    linked = bad = good = link = 0
+    linked = bad = good = link = opened = 0
+    soft: list[int] = []  # numbers of the open wrappers that are marked by a word
+    outer: tuple[int, ...] = ()  # those around the outermost open main element
 
     def flush() -> None:
         nonlocal linked
         if text:
             words = "".join(text).split()
             if words:
-                out.append((" ".join(words), len(words), min(linked, len(words)), bad > 0, good > 0))
+                out.append((" ".join(words), len(words), min(linked, len(words)), bad > 0 or bool(soft), good > 0))
+                wraps.append(outer if good and not bad and len(soft) == len(outer) > 0 else None)
         text.clear()
         linked = 0
 
@@ -135,6 +145,8 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
         for _, kind in stack[n:]:
             bad -= kind == 1
             good -= kind == 2
+            if kind == 3:
+                soft.pop()
         del stack[n:]
 
     at = 0
@@ -174,10 +186,22 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
                 kind = _kind(tag, raw, good > 0)
                 stack.append((tag, kind))
                 bad += kind == 1
-                good += kind == 2
+                if kind == 2:
+                    outer = outer if good else tuple(soft)
+                    good += 1
+                elif kind == 3:
+                    opened += 1
+                    soft.append(opened)
     if at < len(page):
         text.append(entities.unescape(page[at:]))
     flush()
+    if any(wraps) and not any(main and not boiler for _, _, _, boiler, main in out):
+        words: dict[tuple[int, ...], int] = {}
+        for w, b in zip(wraps, out):
+            if w:
+                words[w] = words.get(w, 0) + b[1]
+        pardoned = set(max(words, key=words.get))
+        out = [(*b[:3], b[3] and not (w and pardoned.issuperset(w)), b[4]) for w, b in zip(wraps, out)]
     return out
 
 

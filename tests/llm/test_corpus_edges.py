@@ -340,3 +340,17 @@ def test_large_shard_ends_with_one_row_in_the_next_batch(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sorted(r["a"] for r in got) == [k << 4 for k in range(most + 2)]
+
+
+def test_html_keeps_articles_after_icons_and_in_marked_wrappers():
+    tree = html_blocks.grow_tree(list(html_blocks.LABELLED))
+    body = "<article><h1>Head</h1><p>" + "These are the words of an article that should stay. " * 5 + "</p></article>"
+    want = html_blocks.main_text(body, tree)
+    assert want.startswith("Head")
+    for icon in ('<svg class="i" viewBox="0 0 1 1"/>', "<svg/>", "<svg-icon name='x'></svg-icon>", "<select-box></select-box>", "<title-bar/>"):
+        assert html_blocks.main_text(icon + body, tree) == want, icon
+    assert html_blocks.main_text("<svg viewBox='0 0 1 1'><text>no</text></svg>" + body, tree) == want
+    for name in ("page with-sidebar", "no-comments", "form header"):
+        assert html_blocks.main_text(f"<div class='{name}'><p>Menu</p>{body}<div class='comments'><article><p>I liked it a lot.</p></article></div></div>", tree) == want, name
+    # where the page has another main element, marked wrappers stay boilerplate
+    assert html_blocks.main_text(f"{body}<div class='comments'><article><p>I liked it a lot, all of it.</p></article></div>", tree) == want
