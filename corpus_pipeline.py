@@ -17,7 +17,7 @@ from rowproof.llm.common import shared_dir, written
 #: Documents whose quality score is below this are rejected.
 LEAST_QUALITY = 0.3
 #: Near duplicates: shingles of five words and a similarity of 0.8 or more.  Candidates come from three
-#: independent fingerprints within 6 of 64 bits, as one within 4 would miss half of the pairs at 0.9.
+#: independent fingerprints within 6 of 64 bits and, complete for 0.8, from shared shingles of prefixes.
 NEAR = {"words": 5, "radius": 6, "count": 3, "least": 0.8}
 
 
@@ -34,11 +34,21 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
+    """One document of each group of near duplicates stays: the one with the smallest id.
+
+    A row is its id and the hash of its text, so of an id on several texts only the near copies go; of equal
+    ids the smaller hash stays, and a null id only where the whole group has null ids.  Whole repeated rows
+    (the stage before leaves none) all stay or all go.
+    """
     groups = simhash_bk.near_duplicates(docs, **NEAR)
-    lost = written(groups.where("id <> component").select(F.col("id").alias("doc_id")).distinct(), "pipeline-near")
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    groups = written(groups.select("root", row.alias("row")), "pipeline-groups")
+    first = groups.groupBy("root").agg(F.min("row").alias("first"))
+    lost = groups.join(first, "root").where("row.none <> first.none or not row.id <=> first.id or row.text_hash <> first.text_hash")
+    lost = written(lost.select(F.col("row.id").alias("_i"), F.col("row.text_hash").alias("_h")).distinct(), "pipeline-near")
     # the list grows with the data: it is shuffled, at every size alike
-    return docs.join(lost.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    return rows.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left_anti").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -390,7 +390,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     With count > 1, fingerprints of independent hashes, two texts link if any of theirs do.  With least, two
     texts link if and only if the Jaccard similarity of their full shingle sets is at least that (see
-    similar_components).
+    similar_components); text_hash and root, which names the group its smallest node), are added.
     """
     names = [f"fp{k}" for k in range(count)]
     exact = least is not None
@@ -417,9 +417,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = written(nodes.select("node", "m").join(roots, "node"), "simhash-linked")
     first = linked.groupBy("root").agg(F.min("m").alias("c"))
     first = written(first, "simhash-first")
-    named = linked.join(first, "root").select("node", "c")
-    smallest = written(nodes.join(named, "node", "left").select(*key, F.coalesce("c", "m").alias("component")), "simhash-components")
-    return fps.join(smallest, key, "left").select("id", *names, "component")
+    named = linked.join(first, "root").select("node", "root", "c")
+    smallest = written(nodes.join(named, "node", "left").select(*key, F.coalesce("c", "m").alias("component"), *([F.coalesce("root", "node").alias("root")] if exact else [])), "simhash-components")
+    return fps.join(smallest, key, "left").select("id", *names, "component", *(["text_hash", "root"] if exact else []))
 
 
 def similar_components(rows: DataFrame, nodes: DataFrame, found: DataFrame, words: int, least: float, n: int) -> DataFrame:

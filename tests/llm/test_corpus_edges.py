@@ -354,3 +354,15 @@ def test_html_keeps_articles_after_icons_and_in_marked_wrappers():
         assert html_blocks.main_text(f"<div class='{name}'><p>Menu</p>{body}<div class='comments'><article><p>I liked it a lot.</p></article></div></div>", tree) == want, name
     # where the page has another main element, marked wrappers stay boilerplate
     assert html_blocks.main_text(f"{body}<div class='comments'><article><p>I liked it a lot, all of it.</p></article></div>", tree) == want
+
+
+def test_simhash_stage_on_repeated_and_null_ids(spark, sf):
+    import corpus_pipeline
+
+    near = [" ".join([*(f"n{k}" for k in range(100)), f"end{i}"]) for i in range(6)]
+    nulls = [" ".join([*(f"m{k}" for k in range(100)), f"end{i}"]) for i in range(2)]
+    rows = [(1, near[0]), (2, near[1]), (2, "a clean text of its own with other words"), (1, near[2]), (None, near[3]), (None, nulls[0]), (None, nulls[1]), (None, "alone with a null id here")]
+    got = [tuple(r) for r in corpus_pipeline.simhash_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()]
+    assert len(got) == 4
+    assert sum(t in near and i == 1 for i, t in got) == 1 and rows[2] in got and rows[7] in got
+    assert sum(t in nulls for _, t in got) == 1
