@@ -2,7 +2,7 @@
 
 1. Corpus frequency: one pass counts, for every word n-gram of the benchmark, the documents that hold it.
 2. Seeds: every item keeps the rarest SEED_SHARE of its n-grams (rarity is relative to the item, so a passage
-   that a third of all documents share keeps its seeds).
+   that a third of all documents share keeps its seeds), a short item all of them.
 3. A second pass finds seeds in every whole text, clusters those of one item, and aligns the item with the
    text around each cluster: match +2, mismatch and gap -1, scored against the item's best possible score.
 Both passes are maps over documents.  What goes to the executors is the benchmark's own n-grams; a benchmark
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 NGRAM, SEED_SHARE, LEAST_SEEDS, THRESHOLD, BLOCK_WORDS = 3, 0.75, 2, 0.5, 200_000
+#: Items of fewer words keep all n-grams as seeds, and one of them is enough for an alignment.
+SHORT_WORDS = 28
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 FOUND = "array<struct<item_id:long,score:double,first_word:long,last_word:long>>"
 
@@ -53,6 +55,7 @@ class Items:
                 self.grams[g].append(k)
         self.short = [k for k, (_, ids) in enumerate(self.items) if len(ids) < n]
         self.sorted = np.array(sorted(self.grams), np.int64)
+        self.n_seeds: dict[int, int] = {}  # distinct seeds of each item, once rare_seeds has chosen them
 
     def _keys(self, ids: np.ndarray) -> np.ndarray:
         key = np.zeros(max(0, len(ids) - self.n + 1), np.int64)
@@ -116,7 +119,7 @@ def find_leaks(ids: np.ndarray, items: Items, seeds: np.ndarray, owners: dict[in
     for k, places in by_item.items():
         item_id, item = items.items[k]
         size, best = len(item), (0, 0, 0)
-        need = min(least, max(1, size - items.n + 1))
+        need = 1 if size < SHORT_WORDS else min(least, max(1, items.n_seeds.get(k, 1)))
         start = 0
         for i in range(1, len(places) + 1):
             if i < len(places) and places[i][0] - places[i - 1][0] <= size:
@@ -160,7 +163,9 @@ def rare_seeds(items: Items, frequency: dict[int, int], share: float = SEED_SHAR
     owners: dict[int, list[int]] = defaultdict(list)
     for k in sorted(own):
         ranked = sorted(own[k], key=lambda g: (frequency.get(g, 0), g))
-        for g in ranked[: max(1, round(share * len(ranked)))]:
+        chosen = ranked if len(items.items[k][1]) < SHORT_WORDS else ranked[: max(1, round(share * len(ranked)))]
+        items.n_seeds[k] = len(chosen)
+        for g in chosen:
             owners[g].append(k)
     return dict(owners)
 

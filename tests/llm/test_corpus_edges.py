@@ -366,3 +366,14 @@ def test_simhash_stage_on_repeated_and_null_ids(spark, sf):
     assert len(got) == 4
     assert sum(t in near and i == 1 for i, t in got) == 1 and rows[2] in got and rows[7] in got
     assert sum(t in nulls for _, t in got) == 1
+
+
+def test_decontamination_of_short_and_repetitive_items(spark):
+    item = [f"w{k}" for k in range(16)]
+    copy = [*item[:3], "x", *item[4:6], "x", *item[7:9], "x", *item[10:12], "x", *item[13:15], "x"]  # one trigram is left
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "so " * 6), (3, "na " * 40)], "item_id long, text string")
+    df = spark.createDataFrame([(1, " ".join(copy)), (2, "so " * 6), (3, "na " * 40), (4, "nothing of them")], "doc_id long, text string")
+    score, _ = decontam.align(*(decontam.Items([(0, " ".join(item))]).numbers(t) for t in (" ".join(item), " ".join(copy))))
+    assert score / 32 >= 0.5
+    got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in decontam.decontaminate(df, bench).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: []}
