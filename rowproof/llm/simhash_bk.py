@@ -435,10 +435,14 @@ def similar_components(rows: DataFrame, nodes: DataFrame, found: DataFrame, word
     texts = rows.select("text_hash", "text").join(broadcast_if_small(wanted), "text_hash").select("node", "text").dropDuplicates(["node"])
     texts = written(texts, "simhash-texts")
     good = written(similar_links(found, texts, words, least), "simhash-good")
+    roots = written(components(good, "simhash"), "simhash-roots")
     for star in (True, False):
-        pairs = written(prefix_pairs(shared, components(good, "simhash"), least, star), "simhash-pairs")
-        good = good.union(written(similar_links(pairs, texts, words, least), "simhash-good"))
-    return components(good, "simhash")
+        pairs = written(prefix_pairs(shared, roots, least, star), "simhash-pairs")
+        more = written(similar_links(pairs, texts, words, least), "simhash-good")
+        if more.head(1):
+            good = good.union(more)
+            roots = written(components(good, "simhash"), "simhash-roots")
+    return roots
 
 
 def hex_fingerprint(fp: Column) -> Column:
