@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,19 +20,47 @@ BROADCAST_ROWS = 500_000
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of a narrow table that share a file.
+ROWS_PER_FILE = 250_000
+
+_scratch: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is set only where the session names none."""
+    """The folder that all executors share; in local mode a temporary one where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="rowproof-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/rowproof"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, executors may be lost."""
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go to a folder of their own, which is removed at the end: by then their readers must have run."""
+    path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    try:
+        yield
+    finally:
+        _scratch.remove(path)
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it again: lineage ends there, executors may be lost.
+
+    rows: about how many rows there are, if known.  A table that is small for its partitions then takes few
+    files: two a core, or as many as keep ROWS_PER_FILE rows each.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch[-1] if _scratch else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // ROWS_PER_FILE))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

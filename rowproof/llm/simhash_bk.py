@@ -20,7 +20,7 @@ of it are null; repeated rows come out as often as they came in.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,8 +34,8 @@ from .common import broadcast_if_small, map_texts, written
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Texts in which common shingles are counted, and shingles held as common: both only for the order of prefixes.
 SAMPLE, COMMON = 8000, 200_000
-#: Fingerprints in a shard beyond which it is split.
-SHARD = 4096
+#: Fingerprints in a shard beyond which it is split; nodes that share a shingle beyond which they are dealt out; rows of a batch.
+SHARD, GROUP, BATCH = 4096, 4096, 65_536
 #: radius -> (blocks, agree) up to so many distinct fingerprints, then the next wider choice.
 LAYOUTS = {4: ((6, 2, 1 << 27), (7, 3, 1 << 33), (8, 4, 1 << 62)), 6: ((8, 2, 1 << 22), (9, 3, 1 << 27), (10, 4, 1 << 62))}
 
@@ -147,8 +147,11 @@ def common_shingles(docs: DataFrame, text_col: str, words: int, n: int) -> tuple
     return np.array([h for h, _ in rows], np.uint64), np.array([c for _, c in rows], np.int64)
 
 
-def _by_key(df: DataFrame, schema: str, run: Callable[[np.ndarray], list[np.ndarray] | None]) -> DataFrame:
-    """Applies run to the rows (columns x rows, the first column is the key) of each key; long columns only."""
+def _by_key(df: DataFrame, schema: str, run: Callable[[np.ndarray], Iterable[np.ndarray]]) -> DataFrame:
+    """Applies run to the rows (columns x rows, the first column is the key) of each key; long columns only.
+
+    What run yields goes out in batches of about BATCH rows, so no key's result is ever held as a whole.
+    """
     cols = df.columns
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -157,7 +160,15 @@ def _by_key(df: DataFrame, schema: str, run: Callable[[np.ndarray], list[np.ndar
 
         def done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             edges = np.concatenate(([0], np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1, [rows.shape[1]]))
-            found = [got for i in np.flatnonzero(np.diff(edges) > 1) for got in run(rows[:, edges[i] : edges[i + 1]])]
+            found: list[np.ndarray] = []
+            size = 0
+            for i in np.flatnonzero(np.diff(edges) > 1):
+                for got in run(rows[:, edges[i] : edges[i + 1]]):
+                    found.append(got)
+                    size += got.shape[1]
+                    if size >= BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], names=names)
+                        found, size = [], 0
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(found, axis=1)], names=names)
 
@@ -200,30 +211,43 @@ def shared_prefixes(docs: DataFrame, text_col: str, words: int, least: float, n:
                     sizes = (len(own) << 32) | np.arange(len(keys), dtype=np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), set_key(own), np.int64)), pa.array(sizes)], names=["key", "node", "size"])
 
-    def several(rows: np.ndarray) -> list[np.ndarray]:
-        rows = rows[:, np.concatenate(([True], rows[1, 1:] != rows[1, :-1]))]  # a set's repeats are one node
-        return [rows] if rows.shape[1] > 1 else []
+    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "key long, node long, size long").distinct()  # a set's repeats are one node
+    several = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return rows.join(several, "key", "left_semi")
 
-    return _by_key(docs.select(F.col(text_col).alias("t")).mapInArrow(run, "key long, node long, size long"), "key long, node long, size long", several)
+
+def _spread_keys(rows: DataFrame) -> DataFrame:
+    """part and the columns of rows, so that all nodes of a key that may pair share a part.
+
+    A key of over GROUP nodes is dealt into chunks, and a node goes to the parts of its chunk with each chunk:
+    every two nodes meet in one part, which holds no more than about two chunks.  side: the node's chunk.
+    """
+    hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key", F.ceil(F.col("n") / GROUP).cast("long").alias("chunks"))
+    rows = rows.join(hot, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("node"), "chunks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return rows.withColumn("part", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")))
 
 
 def prefix_pairs(shared: DataFrame, roots: DataFrame, least: float, star: bool) -> DataFrame:
     """a, b: pairs of nodes of different roots that share a prefix shingle and can be similar enough.
 
-    With star, only those with the first node of a key, which is enough for most of a large group.
+    With star, only those with the first node of a key's part, which is enough for most of a large group.
     """
     rows = shared.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    rows = _spread_keys(rows).select("part", "node", "key", "size", "root", "side")
 
-    def pairs(rows: np.ndarray) -> list[np.ndarray]:
-        _, node, size, root = rows
+    def pairs(rows: np.ndarray) -> Iterator[np.ndarray]:
+        _, node, key, size, root, side = rows
         if (root == root[0]).all():
-            return []
-        out = []
+            return
+        mixed = (side != side[0]).any()
         for i in range(1 if star else len(node) - 1):
-            other = node[i + 1 :][_may_join(size, i, least) & (root[i + 1 :] != root[i])]
-            if len(other):
-                out.append(np.stack([np.minimum(node[i], other), np.maximum(node[i], other)]))
-        return out
+            ok = _may_join(size, i, least) & (root[i + 1 :] != root[i]) & (key[i + 1 :] == key[i])
+            if mixed and not star:
+                ok &= side[i + 1 :] != side[i]  # those of one chunk meet in its own part
+            if len(other := node[i + 1 :][ok]):
+                yield np.stack([np.minimum(node[i], other), np.maximum(node[i], other)])
 
     return _by_key(rows, "a long, b long", pairs).distinct()
 
@@ -278,107 +302,108 @@ def narrower(mask: int, radius: int) -> list[int]:
 
 
 def _shard_links(keyed: DataFrame, radius: int, most: int) -> DataFrame:
-    """a, b, mask of every shard's spanning links (mask null); members of shards over most as (fp, fp, mask).
+    """f, a, b, mask of every shard's spanning links (mask null); members of shards over most as (f, fp, fp, mask).
 
-    keyed: fp, mask.  Rows stream through in order of shard, so a task holds one shard of at most that size.
+    keyed: f (which fingerprint), fp, mask.  Rows stream through in order of shard, so a task holds one shard of
+    at most that size.
     """
-    dealt = keyed.withColumn("k", F.col("fp").bitwiseAND(F.col("mask"))).repartition("mask", "k").sortWithinPartitions("mask", "k", "fp")
+    order = ("f", "mask", "k")
+    if "f" not in keyed.columns:
+        keyed = keyed.withColumn("f", F.lit(0).cast("long"))
+    dealt = keyed.withColumn("k", F.col("fp").bitwiseAND(F.col("mask"))).repartition(*order).sortWithinPartitions(*order, "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = (1 << 64) - 1
-        held = np.zeros((3, 0), np.int64)  # rows of the last shard, which may go on in the next batch
-        passed: tuple[int, int] | None = None  # the large shard that is being passed on
+        held = np.zeros((4, 0), np.int64)  # rows of the last shard, which may go on in the next batch
+        passed: tuple[int, int, int] | None = None  # the large shard that is being passed on
 
-        def packed(a: np.ndarray, b: np.ndarray, mask: np.ndarray | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()) if mask is None else pa.array(mask)], names=["a", "b", "mask"])
+        def packed(f: np.ndarray, a: np.ndarray, b: np.ndarray, mask: np.ndarray | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(f), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()) if mask is None else pa.array(mask)], names=["f", "a", "b", "mask"])
 
         def shards(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             """rows: whole shards."""
             nonlocal passed
-            m, k, fp = rows
-            cut = np.flatnonzero((m[1:] != m[:-1]) | (k[1:] != k[:-1])) + 1
+            f, m, _, fp = rows
+            cut = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(0)) + 1
             edges = np.concatenate(([0], cut, [len(m)]))
             sizes = np.diff(edges)
-            found: list[tuple[int, int]] = []
+            found: list[tuple[int, int, int]] = []
             alone = sizes == 1
             alone[0] &= passed is None  # one row may be the rest of the shard that is being passed on
             for i in np.flatnonzero(~alone):
                 at = slice(edges[i], edges[i + 1])
-                if sizes[i] > most or passed == (m[at][0], k[at][0]):
-                    yield packed(fp[at], fp[at], m[at])
+                if sizes[i] > most or passed == tuple(rows[:3, edges[i]].tolist()):
+                    yield packed(f[at], fp[at], fp[at], m[at])
                 elif sizes[i] > 1:
-                    found += tree_links([int(x) & low for x in fp[at]], radius)
+                    found += [(int(f[edges[i]]), *sorted((_signed(a), _signed(b)))) for a, b in tree_links([int(x) & low for x in fp[at]], radius)]
             if found:
-                pairs = np.array([(min(x), max(x)) for x in ((_signed(a), _signed(b)) for a, b in found)], np.int64)
-                yield packed(pairs[:, 0], pairs[:, 1], None)
+                yield packed(*np.array(found, np.int64).T, None)
 
         for b in batches:
-            rows = np.concatenate([held, np.stack([b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("mask", "k", "fp")])], axis=1)
+            rows = np.concatenate([held, np.stack([b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in (*order, "fp")])], axis=1)
             if rows.shape[1] == 0:
                 continue
-            tail = np.flatnonzero((rows[:2] != rows[:2, -1:]).any(0))
+            tail = np.flatnonzero((rows[:3] != rows[:3, -1:]).any(0))
             at = tail[-1] + 1 if len(tail) else 0
             if at:
                 yield from shards(rows[:, :at])
-                passed = None if passed != tuple(rows[:2, -1]) else passed
+                passed = None if passed != tuple(rows[:3, -1].tolist()) else passed
             held = rows[:, at:]
-            if held.shape[1] > most or (passed == tuple(held[:2, 0]) and held.shape[1]):
-                passed = tuple(held[:2, 0].tolist())
-                yield packed(held[2], held[2], held[0])
+            if held.shape[1] > most or (held.shape[1] and passed == tuple(held[:3, 0].tolist())):
+                passed = tuple(held[:3, 0].tolist())
+                yield packed(held[0], held[3], held[3], held[1])
                 held = held[:, :0]
         if held.shape[1]:
             yield from shards(held)
 
-    return dealt.mapInArrow(run, "a long, b long, mask long")
+    return dealt.select(*order, "fp").mapInArrow(run, "f long, a long, b long, mask long")
 
 
-def links(distinct: DataFrame, radius: int, blocks: int, agree: int, most: int = SHARD) -> DataFrame:
-    """a, b (a < b): links that span, within every shard, its groups of fingerprints.  distinct: fp.
+def links(distinct: DataFrame, radius: int, blocks: int, agree: int, most: int = SHARD, rows: int | None = None) -> DataFrame:
+    """f, a, b (a < b): links that span, within every shard, its groups of fingerprints.  distinct: f, fp.
 
-    The members of a shard of over most fingerprints go on to narrower shards, again and again if need be:
-    each step fixes more bits, so the steps end, and no link is lost.
+    f tells fingerprints of different hashes apart: all go through one pass.  The members of a shard of over
+    most fingerprints go on to narrower shards, again and again if need be: each step fixes more bits, so the
+    steps end, and no link is lost.  Without f there is one fingerprint.
     """
     if most < 2 ** (radius + 1):
         raise ValueError("shards must have room for radius + 1 free bits, or splitting them would not end")
-    keyed = distinct.select("fp", F.explode(F.array(*(F.lit(m).cast("long") for m in block_masks(blocks, agree)))).alias("mask"))
+    if "f" not in distinct.columns:
+        distinct = distinct.select(F.lit(0).cast("long").alias("f"), "fp")
+    keyed = distinct.select("f", "fp", F.explode(F.array(*(F.lit(m).cast("long") for m in block_masks(blocks, agree)))).alias("mask"))
     found = None
     while True:
-        out = written(_shard_links(keyed, radius, most), "simhash-links")
-        near = out.where("mask is null").select("a", "b")
+        out = written(_shard_links(keyed, radius, most), "simhash-links", rows)
+        near = out.where("mask is null").select("f", "a", "b")
         found = near if found is None else found.union(near)
         large = out.where("mask is not null")
         masks = [r["mask"] for r in large.select("mask").distinct().toLocalIterator()]  # at most some thousand masks
         if not masks:
             return found.distinct()
         parts = distinct.sparkSession.createDataFrame([(m, c) for m in masks for c in narrower(m, radius)], "mask long, part long")
-        keyed = large.select(F.col("a").alias("fp"), "mask").join(F.broadcast(parts), "mask").select("fp", F.col("part").alias("mask"))
+        keyed = large.select("f", F.col("a").alias("fp"), "mask").join(F.broadcast(parts), "mask").select("f", "fp", F.col("part").alias("mask"))
 
 
-def components(edges: DataFrame, name: str = "star", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "star", rows: int | None = None) -> DataFrame:
     """node, root (the smallest node of the component) for every node of edges (a, b with a < b).
 
-    Alternates large-star and small-star until nothing changes; every round is a written table.  Neighbours
+    Alternates large-star and small-star until nothing changes; every round is one written table.  Neighbours
     are never gathered: a node's smallest neighbour is a partial aggregate that is joined back.
     """
-    edges = written(edges.select("a", "b").where("a <> b"), f"{name}-links")
-    if not edges.head(1):
-        return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    edges = written(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges", rows)
     before = None
-    for _ in range(most_rounds):
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-low")
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        large = large.where("a <> b").distinct()
-        down = written(large.select(F.col("b").alias("u"), F.col("a").alias("v")), f"{name}-down")  # v < u
-        least = written(down.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
-        small = down.join(least, "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b").distinct()
-        edges = written(small, f"{name}-small")
+    while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("b")).first()
-        if before is not None and now == before and now[0] == now[2]:
+        if now == before and now[0] == now[2]:  # nothing changed, and every node hangs on its root alone
             roots = edges.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("root"))
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots)
         before = now
-    raise RuntimeError("components did not settle")
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        down = both.where("v > u").join(low, "u").where("m <> v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # v < u
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(least, "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b").distinct()
+        edges = written(small, f"{name}-edges", rows)
 
 
 def layout(radius: int, n: int) -> tuple[int, int]:
@@ -395,30 +420,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [f"fp{k}" for k in range(count)]
     exact = least is not None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    fps = written(fingerprints(rows, ("id", "text_hash"), "text", words, count, exact).select("id", "text_hash", *names, "node"), "simhash-fps")
+    n = docs.count()
+    fps = written(fingerprints(rows, ("id", "text_hash"), "text", words, count, exact).select("id", "text_hash", *names, "node"), "simhash-fps", n)
     key = ["node"] if exact else names
     nodes = fps.groupBy(*key).agg(F.min("id").alias("m"), *([F.min(n).alias(n) for n in names] + [F.min("text_hash").alias("text_hash")] if exact else []))
     # a node is one shingle set, else one text class; its number is fp0 where that is unique, which with one fingerprint it always is
-    nodes = written(nodes if exact else nodes.withColumn("node", F.col("fp0") if count == 1 else F.xxhash64(*names)), "simhash-nodes")
-    n = nodes.count()
+    nodes = written(nodes if exact else nodes.withColumn("node", F.col("fp0") if count == 1 else F.xxhash64(*names)), "simhash-nodes", n)
     blocks, agree = layout(radius, n)
-    found = None
-    for name in names:
-        own = nodes.select(F.col(name).alias("fp")).distinct()
-        near = links(own, radius, blocks, agree)
-        if count > 1 or exact:  # from fingerprints to nodes; nodes with one fingerprint in common are linked to its smallest
-            at = written(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("node")), "simhash-at")
-            near = near.join(at.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(at.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
-            same = nodes.select(F.col(name).alias("fp"), F.col("node").alias("y")).join(at.select("fp", F.col("node").alias("x")), "fp")
-            near = near.select("x", "y").union(same.select("x", "y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        found = near if found is None else found.union(near)
-    found = found.distinct()
-    roots = similar_components(rows, nodes, written(found, "simhash-found"), words, least, n) if exact else components(found, "simhash")
-    linked = written(nodes.select("node", "m").join(roots, "node"), "simhash-linked")
-    first = linked.groupBy("root").agg(F.min("m").alias("c"))
-    first = written(first, "simhash-first")
-    named = linked.join(first, "root").select("node", "root", "c")
-    smallest = written(nodes.join(named, "node", "left").select(*key, F.coalesce("c", "m").alias("component"), *([F.coalesce("root", "node").alias("root")] if exact else [])), "simhash-components")
+    long = nodes.select("node", F.posexplode(F.array(*names)).alias("f", "fp")).withColumn("f", F.col("f").cast("long"))
+    found = links(long.select("f", "fp").distinct(), radius, blocks, agree, rows=n)
+    if count == 1 and not exact:
+        found = found.select("a", "b")
+    else:  # from fingerprints to nodes; nodes with one fingerprint in common are linked to its smallest
+        at = long.groupBy("f", "fp").agg(F.min("node").alias("node"))
+        near = found.join(at.select("f", F.col("fp").alias("a"), F.col("node").alias("x")), ["f", "a"]).join(at.select("f", F.col("fp").alias("b"), F.col("node").alias("y")), ["f", "b"])
+        same = long.select("f", "fp", F.col("node").alias("y")).join(at.select("f", "fp", F.col("node").alias("x")), ["f", "fp"])
+        found = near.select("x", "y").union(same.select("x", "y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    roots = similar_components(rows, nodes, written(found, "simhash-found", n), words, least, n) if exact else components(found, "simhash", n)
+    linked = written(nodes.select("node", "m").join(roots, "node"), "simhash-linked", n)
+    named = linked.join(linked.groupBy("root").agg(F.min("m").alias("c")), "root").select("node", "root", "c")
+    smallest = nodes.join(named, "node", "left").select(*key, F.coalesce("c", "m").alias("component"), *([F.coalesce("root", "node").alias("root")] if exact else []))
     return fps.join(smallest, key, "left").select("id", *names, "component", *(["text_hash", "root"] if exact else []))
 
 
@@ -429,19 +450,19 @@ def similar_components(rows: DataFrame, nodes: DataFrame, found: DataFrame, word
     shingle of the two prefixes: such pairs of different roots are tested too, first with one node of every
     shared shingle, then all of those that are still in different components.  No pair is left out.
     """
-    shared = written(shared_prefixes(rows, "text", words, least, n), "simhash-shared")
+    shared = written(shared_prefixes(rows, "text", words, least, n), "simhash-shared", 8 * n)
     wanted = found.select(F.explode(F.array("a", "b")).alias("node")).union(shared.select("node")).distinct()
-    wanted = written(wanted.join(nodes.select("node", "text_hash"), "node").select("node", "text_hash"), "simhash-wanted")
+    wanted = written(wanted.join(nodes.select("node", "text_hash"), "node").select("node", "text_hash"), "simhash-wanted", n)
     texts = rows.select("text_hash", "text").join(broadcast_if_small(wanted), "text_hash").select("node", "text").dropDuplicates(["node"])
-    texts = written(texts, "simhash-texts")
-    good = written(similar_links(found, texts, words, least), "simhash-good")
-    roots = written(components(good, "simhash"), "simhash-roots")
+    texts = written(texts, "simhash-texts", 8 * n)
+    good = written(similar_links(found, texts, words, least), "simhash-good", n)
+    roots = written(components(good, "simhash", n), "simhash-roots", n)
     for star in (True, False):
-        pairs = written(prefix_pairs(shared, roots, least, star), "simhash-pairs")
-        more = written(similar_links(pairs, texts, words, least), "simhash-good")
+        pairs = prefix_pairs(shared, roots, least, star)
+        more = written(similar_links(pairs, texts, words, least), "simhash-good", n)
         if more.head(1):
             good = good.union(more)
-            roots = written(components(good, "simhash"), "simhash-roots")
+            roots = written(components(good, "simhash", n), "simhash-roots", n)
     return roots
 
 
