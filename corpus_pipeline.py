@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowproof.llm import decontam, exact_dedup, mixing, quality_zstd, simhash_bk
-from rowproof.llm.common import shared_dir, written
+from rowproof.llm.common import scratch, shared_dir, written
 
 #: Documents whose quality score is below this are rejected.
 LEAST_QUALITY = 0.3
@@ -42,10 +42,11 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     groups = simhash_bk.near_duplicates(docs, **NEAR)
     row = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
-    groups = written(groups.select("root", row.alias("row")), "pipeline-groups")
+    n = docs.count()
+    groups = written(groups.select("root", row.alias("row")), "pipeline-groups", n)
     first = groups.groupBy("root").agg(F.min("row").alias("first"))
     lost = groups.join(first, "root").where("row.none <> first.none or not row.id <=> first.id or row.text_hash <> first.text_hash")
-    lost = written(lost.select(F.col("row.id").alias("_i"), F.col("row.text_hash").alias("_h")).distinct(), "pipeline-near")
+    lost = written(lost.select(F.col("row.id").alias("_i"), F.col("row.text_hash").alias("_h")).distinct(), "pipeline-near", n)
     # the list grows with the data: it is shuffled, at every size alike
     rows = docs.withColumn("_hash", F.xxhash64("text"))
     return rows.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left_anti").select(docs.columns)
@@ -75,10 +76,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each result is written as Parquet and read again."""
+    """Applies STAGES to documents; each result is written as Parquet and read again.
+
+    What a stage writes on its way is removed once its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared_dir(spark)}/pipeline-{k}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
