@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: A side is broadcast only if a count has shown that it has at most so many (narrow) rows.
 BROADCAST_ROWS = 500_000
@@ -80,18 +80,30 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, per_class: int, clip: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
-    """(label, text, id) of at most per_class rows of each class outside the held-out fold, clip characters of each.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, held_out: int, per_class: int, chars: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
+    """(label, text, id) of whole labelled rows outside the held-out fold: at most per_class rows of each class.
 
-    The rows are those with the smallest md5 of their id: a bounded sample that does not hang on row order.
-    Rows without label are left out, and a document labelled twice has its largest label.
+    Rows come in the order of the md5 of their id, so the sample does not hang on row order, and while the
+    whole texts of a class fit into chars characters: a row that no longer fits is left out, never cut.  Rows
+    without label are left out; a document labelled twice has its largest label, and of an id on several texts
+    the one with the smallest hash counts.
     """
     seen = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1)").where(fold("_id", parts) != held_out).groupBy("_id").agg(F.max("_y").alias("_y"))
     order = F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary"))
-    picked = [seen.where(F.col("_y") == y).orderBy(order).limit(per_class) for y in (0, 1)]
-    chosen = F.broadcast(picked[0].union(picked[1]))  # at most 2 x per_class rows of two integers
-    rows = docs.select(F.col(id_col).alias("_id"), F.substring(text_or_empty(text_col), 1, clip).alias("_t")).join(chosen, "_id").dropDuplicates(["_id"])
-    return sorted((r["_y"], r["_t"], r["_id"]) for r in rows.toLocalIterator())  # bounded by the two limits
+    picked = [seen.where(F.col("_y") == y).select("_id", "_y", order.alias("_o")).orderBy("_o").limit(per_class) for y in (0, 1)]
+    chosen = F.broadcast(picked[0].union(picked[1]))  # at most 2 x per_class narrow rows
+    text = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
+    sized = text.join(chosen, "_id").groupBy("_id", "_y", "_o").agg(F.min(F.struct(F.xxhash64("_t").alias("h"), F.length("_t").alias("n"))).alias("x"))
+    fits, room = [], [chars, chars]
+    for r in sorted(sized.select("_o", "_id", "_y", "x.h", "x.n").collect()):  # the same rows, narrow
+        if r["n"] <= room[r["_y"]]:
+            room[r["_y"]] -= r["n"]
+            fits.append((r["_id"], r["_y"], r["h"]))
+    if not fits:
+        return []
+    fits_df = docs.sparkSession.createDataFrame(fits, StructType([StructField("_id", docs.schema[id_col].dataType), StructField("_y", IntegerType()), StructField("_h", LongType())]))
+    rows = text.join(F.broadcast(fits_df), "_id").where(F.xxhash64("_t") == F.col("_h")).dropDuplicates(["_id"])
+    return sorted((r["_y"], r["_t"], r["_id"]) for r in rows.toLocalIterator())  # bounded by chars
 
 
 def map_texts(df: DataFrame, text_col: str, keep: tuple[str, ...], run: Callable[[list], dict[str, list]], added: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Exact de-duplication by progressive refinement: length, then prefix hash, then full hash.
 
-Each step computes its (dearer) key only for rows whose group was still larger than one after the step
-before.  Only narrow rows are shuffled, never texts, and no group is gathered: groups are counted with
-partial aggregates, and their result goes back to the rows by a join that adaptive execution may split.
+One scan takes the length and the prefix hash of every text.  Rows whose length is unique are out; of the
+others those whose (length, prefix hash) is unique; only the rest meet by full hash, and only their texts
+are hashed in full, in a second scan.  Narrow rows are shuffled, and groups are counted with partial
+aggregates whose result goes back to the rows by a join that adaptive execution may split; no group is
+gathered.  Texts move only where more keys survive than a checked broadcast may hold: then one semi join
+brings the surviving texts, and no others, to their hash.
 
 Edge cases: null counts as the empty text, so all null and empty texts are copies of each other; of equal
 rows with the same id exactly one stays; a null id stays only if the whole group has null ids; an empty
-table gives an empty result; columns other than id and text are never looked at.
+table gives an empty result; columns other than id and text are never looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,26 +30,30 @@ def normalised(text: str | Column) -> Column:
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, digest: bool = False) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, sha.
 
-    sha is the full hash of rows that reached the last step; with digest=True, which reads every text to its
-    end, of all rows.
+    sha is the full hash of rows that reached the last step; with digest=True, which asks for the hash of all
+    rows, the first scan takes it along and the second falls away.
     """
-    rows = df.select(F.col(id_col).alias("id"), normalised(text_col).alias("t")).withColumn("len", F.length("t"))
+    rows = df.select(F.col(id_col).alias("id"), normalised(text_col).alias("t"))
     head, full = F.xxhash64(F.substring("t", 1, prefix)), F.unhex(F.sha2("t", 256))
-    # texts are never shuffled: where a list of keys is too long to broadcast, the next key is computed before the join
-    lengths = written(rows.groupBy("len").count().where("count > 1").select("len", F.lit(True).alias("by_len")), "dedup-lengths")
-    few = lengths.count() <= BROADCAST_ROWS
-    narrow = rows.join(F.broadcast(lengths), "len").select("len", head.alias("ph")) if few else rows.select("len", head.alias("ph")).join(lengths, "len")
-    heads = narrow.groupBy("len", "ph").count().where("count > 1").select("len", "ph", F.lit(True).alias("by_head"))
-    heads = written(heads, "dedup-heads")
-    if heads.count() <= BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(lengths), "len", "left").withColumn("ph", F.when(F.col("by_len"), head)) if few else rows.withColumn("ph", head)
-        rows = rows.join(F.broadcast(heads), ["len", "ph"], "left").withColumn("sha", full if digest else F.when(F.col("by_head"), full))
+    rows = rows.select("id", "t", F.length("t").alias("len"), head.alias("ph"))
+    narrow = rows.select("id", "len", "ph", *([full.alias("sha")] if digest else []), F.monotonically_increasing_id().alias("tag"))
+    narrow = written(narrow, "dedup-rows")
+    lengths = written(narrow.groupBy("len").count().where("count > 1").select("len"), "dedup-lengths")
+    heads = narrow.join(broadcast_if_small(lengths), "len", "left_semi").groupBy("len", "ph").count().where("count > 1")
+    heads = broadcast_if_small(written(heads.select("len", "ph"), "dedup-heads"))
+    if digest:
+        again = narrow.join(heads, ["len", "ph"], "left_semi").select("id", "sha", "tag")
     else:
-        rows = rows.select("id", "len", head.alias("ph"), full.alias("sha")).join(heads, ["len", "ph"], "left")
-    rows = written(rows.select("id", "sha", F.coalesce("by_head", F.lit(False)).alias("again"), F.monotonically_increasing_id().alias("tag")), "dedup-rows")
+        again = rows.join(heads, ["len", "ph"], "left_semi").select("id", full.alias("sha"), F.monotonically_increasing_id().alias("tag"))
+        again = written(again, "dedup-again")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag"))
-    groups = written(rows.where("again").groupBy("sha").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1"), "dedup-groups")
-    out = rows.join(broadcast_if_small(groups), "sha", "left")
+    groups = written(again.groupBy("sha").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1"), "dedup-groups")
+    if digest:  # all rows have their hash
+        out = narrow.join(broadcast_if_small(groups), "sha", "left")
+    else:
+        out = again.join(broadcast_if_small(groups), "sha", "left").select("id", "sha", "tag", "first", "n")
+        alone = narrow.join(heads, ["len", "ph"], "left_anti")
+        out = out.unionByName(alone.select("id", "tag"), allowMissingColumns=True)
     single = F.col("n").isNull()
     return out.select(
         "id",
@@ -60,17 +67,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, without later copies: of equal texts the row with the smallest id stays.
 
-    Rows meet the list of lost ones by id and full hash: the text moves once, at every size alike (the list
-    grows with the data, so it is never broadcast), and a hot text is spread by id.
+    Rows meet the list of lost ones by id, and only rows with a listed id are hashed to tell texts of one id
+    apart.  The text moves once, at every size alike (the list grows with the data, so it is never broadcast),
+    and a hot text is spread by id.  Null texts are empty ones, null ids meet null ids, whole repeated rows
+    leave one; an empty table stays empty.
     """
-    sha = F.unhex(F.sha2(normalised(text_col), 256))
     marks = exact_dedup(df, id_col, text_col)
-    lost = written(marks.where("not kept").select(F.col("id").alias("_i"), F.col("sha").alias("_s")).distinct(), "dedup-lost")
-    won = marks.where("kept and group_size > 1").select(F.col("id").alias("_i"), F.col("sha").alias("_s"))
-    twice = written(lost.join(won, lost["_i"].eqNullSafe(won["_i"]) & (lost["_s"] == won["_s"]), "left_semi"), "dedup-twice")
-    rows = df.withColumn("_sha", sha)
-    kept = rows.join(lost.hint("merge"), F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")), "left_anti")
+    lost = written(marks.where("not kept").select(F.col("id").alias("_lost_id"), F.col("sha").alias("_lost_sha")).distinct(), "dedup-lost")
+    won = marks.where("kept and group_size > 1").select(F.col("id").alias("_won_id"), F.col("sha").alias("_won_sha"))
+    twice = written(lost.join(won, lost["_lost_id"].eqNullSafe(won["_won_id"]) & (lost["_lost_sha"] == won["_won_sha"]), "left_semi"), "dedup-twice")
+    sha = F.unhex(F.sha2(normalised(df[text_col]), 256))
+    kept = df.join(lost.hint("merge"), df[id_col].eqNullSafe(lost["_lost_id"]) & (sha == lost["_lost_sha"]), "left_anti")
     if twice.head(1):  # whole repeated rows: one of each comes back
-        again = rows.join(F.broadcast(twice) if twice.count() <= 500_000 else twice, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_sha") == F.col("_s")), "left_semi")
-        kept = kept.unionByName(again.dropDuplicates([id_col, "_sha"]))
-    return kept.drop("_sha")
+        again = df.join(broadcast_if_small(twice), df[id_col].eqNullSafe(twice["_lost_id"]) & (sha == twice["_lost_sha"]), "left_semi")
+        kept = kept.unionByName(again.withColumn("_lost_sha", sha).dropDuplicates([id_col, "_lost_sha"]).drop("_lost_sha"))
+    return kept

@@ -8,7 +8,9 @@ documents permuted inside each.  Whole epochs come first; the last one stops whe
 whole blocks in order, then the documents of one block while they fit.
 
 Only narrow rows (id, source, tokens) are shuffled.  A source with a third of all rows is spread over its
-blocks, of which there are at most MAX_BLOCKS; per-source totals are partial aggregates.
+blocks of about BLOCK_TOKENS tokens; blocks are put in order in groups of about GROUP of them, and a running
+sum over the groups' totals, one row a group, gives each group its place.  Per-source totals are partial
+aggregates.
 
 Edge cases: a null source is the source ''; texts without words hold 0 tokens and ride along in whole
 blocks; with one source, or no tokens, weights are the shares; ties and null ids go in the order of hash,
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-ENTROPY, REPEATS, BLOCK_TOKENS, MAX_BLOCKS, SEED = 0.98, 4.0, 1 << 15, 4096, "mix"
+ENTROPY, REPEATS, BLOCK_TOKENS, GROUP, SEED = 0.98, 4.0, 1 << 15, 4096, "mix"
 
 
 def _hash(*parts: Column) -> Column:
@@ -86,17 +88,25 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     goal = F.floor(F.round(F.pow(F.col("tokens").cast("double"), F.lit(a)) / F.lit(z) * F.lit(float(budget)), 3)).cast("long")
     plan = some.select("source", F.col("tokens").alias("total"), goal.alias("goal"))
     plan = plan.withColumn("whole", F.floor(F.col("goal") / F.col("total")).cast("long")).withColumn("rest", F.col("goal") - F.col("whole") * F.col("total"))
-    plan = plan.withColumn("blocks", F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("total") / BLOCK_TOKENS)).cast("long"))
+    plan = plan.withColumn("blocks", F.ceil(F.col("total") / BLOCK_TOKENS).cast("long"))
     plan = written(plan, "mix-plan")  # one narrow row a source
 
-    part = F.conv(F.substring(_hash(F.lit(seed), F.col("id")), 1, 8), 16, 10).cast("long")
+    number = lambda h: F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
+    part = number(_hash(F.lit(seed), F.col("id")))
     dealt = rows.join(plan, "source").withColumn("part", part % F.col("blocks"))
-    blocks = dealt.groupBy("source", "part").agg(F.sum("tokens").alias("size"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
+    blocks = dealt.groupBy("source", "part").agg(F.sum("tokens").alias("size"), F.first("whole").alias("whole"), F.first("rest").alias("rest"), F.first("blocks").alias("blocks"))
     uses = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))))  # at most repeats + 1 a block
-    by_epoch = Window.partitionBy("source", "epoch").orderBy(_hash(F.lit(seed), F.col("source"), F.col("part"), F.col("epoch")), "part")
-    uses = uses.withColumn("block", F.row_number().over(by_epoch).cast("long"))
-    before = F.sum("size").over(by_epoch.rowsBetween(Window.unboundedPreceding, -1))
-    uses = uses.withColumn("room", F.when(F.col("epoch") < F.col("whole"), F.col("size")).otherwise(F.col("rest") - F.coalesce(before, F.lit(0)))).where("room > 0")
+    uses = uses.withColumn("order", _hash(F.lit(seed), F.col("source"), F.col("part"), F.col("epoch")))
+    # groups are ranges of the order: of about GROUP blocks each
+    uses = uses.withColumn("group", F.floor(number(F.col("order")) * F.ceil(F.col("blocks") / GROUP) / F.lit(1 << 32)).cast("long"))
+    uses = written(uses, "mix-order")
+    groups = uses.groupBy("source", "epoch", "group").agg(F.sum("size").alias("group_size"), F.count("*").alias("group_n"))
+    earlier = Window.partitionBy("source", "epoch").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("source", "epoch", "group", F.coalesce(F.sum("group_size").over(earlier), F.lit(0)).alias("size_before"), F.coalesce(F.sum("group_n").over(earlier), F.lit(0)).alias("n_before"))
+    in_group = Window.partitionBy("source", "epoch", "group").orderBy("order", "part")
+    uses = uses.join(groups, ["source", "epoch", "group"]).withColumn("block", (F.col("n_before") + F.row_number().over(in_group)).cast("long"))
+    before = F.col("size_before") + F.coalesce(F.sum("size").over(in_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    uses = uses.withColumn("room", F.when(F.col("epoch") < F.col("whole"), F.col("size")).otherwise(F.col("rest") - before)).where("room > 0")
     uses = written(uses.select("source", "part", "epoch", "block", "size", "room"), "mix-uses")
     placed = rows.join(plan.select("source", "blocks"), "source").withColumn("part", part % F.col("blocks")).join(uses, ["source", "part"])
     inside = Window.partitionBy("source", "part", "epoch").orderBy(_hash(F.lit(seed), F.col("id"), F.col("epoch")), "id", "tokens")

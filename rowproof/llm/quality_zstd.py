@@ -7,8 +7,8 @@ word by word but repeats itself.  A logistic curve over these, fitted on labelle
 dictionary, makes the score a calibrated probability.  Pieces keep the measures comparable between short and
 very long texts: a dictionary helps most at a text's start.
 
-The fit uses a bounded sample (PER_CLASS texts a class, CLIP characters of each: documented bounds of the fit
-only; scoring reads whole texts).  Edge cases: null counts as empty; empty texts get the average measures;
+The fit uses a bounded sample of whole labelled rows (PER_CLASS texts and SAMPLE_CHARS characters a class:
+documented bounds of the fit only; scoring reads all texts).  Edge cases: null counts as empty; empty texts get the average measures;
 without labels of both classes every score is the smoothed share of the class there is.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, labelled_sample, map_texts
 
-PER_CLASS, CLIP, PIECE, DICT_BYTES, LEVEL = 1500, 8000, 2048, 112_640, 3
+PER_CLASS, SAMPLE_CHARS, PIECE, DICT_BYTES, LEVEL = 1500, 12_000_000, 2048, 112_640, 3
 
 
 MEASURES = 5
@@ -126,7 +126,7 @@ def fit_quality(sample: list[tuple], shares: tuple[int, int] | None = None) -> C
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0, per_class: int = PER_CLASS, label: str = "quality") -> CompressionModel:
-    sample = labelled_sample(docs, labels, label, parts, held_out, per_class, CLIP)
+    sample = labelled_sample(docs, labels, label, parts, held_out, per_class, SAMPLE_CHARS)
     counts = {r["y"]: r["n"] for r in labels.where(fold("doc_id", parts) != held_out).groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).where("y in (0, 1)").collect()}
     return fit_quality(sample, (counts.get(0, 0), counts.get(1, 0)))
 

@@ -5,8 +5,8 @@ are lower-cased words and their prefixes of 4, 5 and 6 letters (so that inflecte
 Of the 2**20 hashed terms, the machine keeps the WIDTH ones that a chi-square test ties most to the label in
 the training texts; pairs of those carry what single weights miss, such as an insult beside a group's name.
 
-Fitted on a bounded sample (PER_CLASS texts a class, CLIP characters of each: documented bounds of the fit only) with AdaGrad on
-numpy; scoring reads whole texts.  Edge cases: null counts as empty; texts without kept terms get the
+Fitted on a bounded sample of whole labelled rows (PER_CLASS texts and SAMPLE_CHARS characters a class:
+documented bounds of the fit only) with AdaGrad on numpy; scoring reads all texts.  Edge cases: null counts as empty; texts without kept terms get the
 machine's base rate; without labels of both classes that is the smoothed share of the one there is.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from .common import labelled_sample, map_texts
 
-PER_CLASS, CLIP, BITS, WIDTH, FACTORS, EPOCHS = 4000, 16_000, 20, 2048, 4, 20
+PER_CLASS, SAMPLE_CHARS, BITS, WIDTH, FACTORS, EPOCHS = 4000, 24_000_000, 20, 2048, 4, 20
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 PREFIXES = (4, 5, 6)
 
@@ -126,7 +126,7 @@ def fit_machine(sample: list[tuple], width: int = WIDTH, seed: int = 7) -> Facto
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out: int = 1, per_class: int = PER_CLASS, label: str = "toxic") -> FactorizationMachine:
-    return fit_machine(labelled_sample(docs, labels, label, parts, held_out, per_class, CLIP))
+    return fit_machine(labelled_sample(docs, labels, label, parts, held_out, per_class, SAMPLE_CHARS))
 
 
 def score_toxicity(docs: DataFrame, machine: FactorizationMachine, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
