@@ -1,37 +1,33 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
 The page is cut into blocks at block-level tags.  A block's features are its word count and link density,
-those of its neighbours, and whether an enclosing element is boilerplate (menu, header, footer, sidebar,
-notice, advert, form, comments) or main (article, main).  The tree is grown here, by Gini impurity, on the
-labelled rows of LABELLED.  Scripts, styles and other invisible elements never become blocks.
+those of the blocks before and after it, how surely an enclosing element is boilerplate (menu, header, footer,
+sidebar, notice, advert, form, comments) and whether one is main (article, main).  The tree is grown here, by
+Gini impurity, on the labelled blocks of the small pages in LABELLED, whose neighbours are their real ones: it
+tells a heading from a menu entry, or a linked sentence from a list of links, by what stands beside it.
 
 Edge cases: null html is empty; unclosed and stray tags are tolerated; a page cut in the middle of a tag or
-comment loses only that rest; white space of any kind inside a block becomes one space; very long pages
-are read in one pass of the tokenizer and linear memory.
+comment loses only that rest; attributes may be of any length and hold '>' in quotes; a quote that is never
+closed is an ordinary character; white space of any kind inside a block becomes one space; links may enclose
+blocks; very long pages are read once, in linear time and memory; other columns, whatever their names, never
+reach Python, and repeated rows come out as often as they came in.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-#: Comments, svg elements closed at once, invisible elements with their content (custom elements are none), declarations, tags with quoted values, other tags.  No part
-#: can run on over the whole rest of a page again and again, so the pass is linear.
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<svg(?=[\s/])[^<>\"']*(?:(?:\"[^\"]{0,4096}\"|'[^']{0,4096}')[^<>\"']*)*(?<=/)>"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|title)(?=[\s>/]|\Z).*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*(?:>|\Z)"
-    r"|</?[a-zA-Z][^<>\"']*(?:(?:\"[^\"]{0,4096}\"|'[^']{0,4096}')[^<>\"']*)*>"
-    r"|</?[a-zA-Z][^<>]*(?:>|\Z)?",
-    re.S | re.I,
-)
-HIDDEN = re.compile(r"<(script|style|noscript|template|svg|iframe|textarea|select|title)(?=[\s>/]|\Z)", re.I)
-NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*(?:-[a-zA-Z0-9-]*)?)")
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*(?:-[a-zA-Z0-9-]*)?)")
+STOP = re.compile("[<>\"']")
+VALUE = re.compile(r"=\s*\Z")
+#: Elements that are never shown, and what ends them.
+UNSEEN = {name: re.compile(rf"</{name}(?=[\s>/]|\Z)[^>]*(?:>|\Z)", re.I) for name in "script style noscript template svg iframe textarea select title".split()}
 ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDDEN_ATTR = re.compile(r"\shidden(?=[\s>=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -40,35 +36,56 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BOILER_TAGS = frozenset("nav footer aside form button menu dialog fieldset".split())
 MAIN_TAGS = frozenset(("article", "main"))
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-BOILER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored sponsors promo promotion "
-    "nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead topbar footer foot bottombar sidebar side aside widget widgets rail "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall "
-    "form search searchbox comment comments commentlist reply replies respond disqus discussion "
-    "share sharing social related recommended recommendations pagination pager tags copyright legal disclaimer".split()
+#: Words that mark boilerplate wherever they stand in a class or id, as whole or between hyphens.
+STRONG_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promotion navbar submenu breadcrumb breadcrumbs masthead sidebar "
+    "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login paywall searchbox comment comments commentlist reply replies respond disqus pagination".split()
+)
+#: Words that do so only as a whole class or id, and only outside a main element: a hint that the tree weighs.
+WEAK_WORDS = frozenset(
+    "banner nav navigation menu header topbar footer foot bottombar side aside widget widgets rail alert subscription form search discussion share sharing social "
+    "related recommended recommendations pager tags copyright legal disclaimer".split()
 )
+#: Beginnings of classes that only tell what a page has ('with-sidebar', 'no-comments').
+ABOUT = ("no-", "with-", "without-", "has-", "is-")
 
-#: Small labelled table: (boilerplate around, main around, words, link density, words and density of the
-#: previous block, of the next block) -> 1 if main text.
-LABELLED = [
-    (1, 0, 1, 1.0, 0, 0.0, 1, 1.0, 0), (1, 0, 1, 1.0, 1, 1.0, 7, 0.0, 0), (1, 0, 7, 0.0, 1, 1.0, 12, 0.0, 0), (1, 0, 12, 0.1, 80, 0.0, 0, 0.0, 0),
-    (1, 0, 40, 0.0, 60, 0.0, 30, 0.0, 0), (1, 0, 120, 0.0, 2, 1.0, 60, 0.0, 0), (1, 0, 25, 0.5, 3, 1.0, 3, 1.0, 0), (1, 0, 300, 0.0, 100, 0.0, 5, 0.0, 0),
-    (1, 1, 3, 1.0, 60, 0.0, 4, 1.0, 0), (1, 1, 15, 0.0, 80, 0.0, 20, 0.0, 0), (1, 1, 60, 0.0, 90, 0.0, 40, 0.0, 0), (1, 1, 150, 0.0, 200, 0.0, 90, 0.0, 0),
-    (1, 1, 1, 0.0, 30, 0.0, 30, 0.0, 0), (1, 1, 8, 0.6, 30, 0.0, 0, 0.0, 0),
-    (0, 1, 9, 0.0, 5, 0.0, 60, 0.0, 1), (0, 1, 1, 0.0, 60, 0.0, 70, 0.0, 1), (0, 1, 60, 0.0, 9, 0.0, 50, 0.0, 1), (0, 1, 200, 0.05, 60, 0.0, 80, 0.0, 1),
-    (0, 1, 2, 0.0, 2, 0.0, 3, 0.0, 1), (0, 1, 30, 0.3, 50, 0.0, 60, 0.1, 1), (0, 1, 500, 0.0, 0, 0.0, 0, 0.0, 1), (0, 1, 4, 1.0, 60, 0.0, 70, 0.0, 1),
-    (0, 1, 12, 0.9, 30, 0.0, 40, 0.2, 1), (0, 1, 80, 0.0, 7, 0.0, 12, 0.0, 1), (0, 1, 6, 0.0, 12, 0.0, 0, 0.0, 1), (0, 1, 1, 1.0, 40, 0.0, 60, 0.0, 1),
-    (0, 0, 60, 0.0, 8, 0.0, 70, 0.0, 1), (0, 0, 90, 0.1, 70, 0.0, 60, 0.0, 1), (0, 0, 8, 0.0, 3, 1.0, 60, 0.0, 1), (0, 0, 12, 0.0, 80, 0.0, 40, 0.0, 1),
-    (0, 0, 40, 0.0, 40, 0.0, 2, 1.0, 1), (0, 0, 25, 0.0, 25, 0.0, 30, 0.0, 1), (0, 0, 200, 0.2, 2, 1.0, 3, 1.0, 1), (0, 0, 18, 0.0, 0, 0.0, 22, 0.0, 1),
-    (0, 0, 3, 1.0, 2, 1.0, 4, 1.0, 0), (0, 0, 2, 1.0, 60, 0.0, 3, 1.0, 0), (0, 0, 10, 0.9, 4, 1.0, 5, 1.0, 0), (0, 0, 40, 0.8, 5, 1.0, 3, 1.0, 0),
-    (0, 0, 1, 1.0, 0, 0.0, 36, 0.0, 0), (0, 0, 2, 1.0, 0, 0.0, 90, 0.0, 0), (0, 0, 3, 1.0, 70, 0.0, 60, 0.0, 0), (0, 0, 5, 0.8, 40, 0.0, 50, 0.0, 0), (0, 0, 12, 0.75, 0, 0.0, 0, 0.0, 0), (0, 0, 30, 0.9, 60, 0.0, 60, 0.0, 0),
-    (0, 0, 36, 0.0, 36, 0.0, 0, 0.0, 1), (0, 0, 20, 0.0, 60, 0.0, 0, 0.0, 1), (0, 0, 50, 0.1, 0, 0.0, 0, 0.0, 1), (0, 0, 70, 0.0, 90, 0.0, 0, 0.0, 1), (0, 0, 45, 0.0, 1, 1.0, 50, 0.0, 1), (0, 0, 15, 0.0, 40, 0.0, 60, 0.0, 1), (0, 0, 30, 0.3, 30, 0.0, 30, 0.0, 1),
-    (0, 0, 1, 0.0, 3, 1.0, 2, 1.0, 0), (0, 0, 4, 0.5, 80, 0.0, 3, 1.0, 0), (0, 0, 15, 0.7, 12, 0.9, 60, 0.0, 0), (0, 0, 6, 0.6, 6, 0.6, 8, 0.7, 0),
-]
+#: Small labelled pages.  A block: enclosing elements, words/words in links, 1 if main text.
+LABELLED = (
+    "nav,ul,li 1/1 0; nav,ul,li 2/2 0; nav,ul,li 1/1 0; div.ad 14/0 0; article,h1 9/0 1; article,p 60/0 1; article,p 1/0 1; article,p 45/4 1; footer 12/1 0",
+    "header 3/3 0; header 6/0 0; main,h1 5/0 1; main,p 2/0 1; main,p 120/0 1; main,p 4/4 1; main,p 80/2 1; main,ul,li 6/0 1; main,ul,li 9/0 1; aside,h3 2/0 0; aside,p 60/0 0; footer 30/0 0",
+    "article,h1 7/0 1; article,div.comments,p 40/0 0; article,div.comments,p 90/0 0; article,p 300/10 1; article,p.advert 25/0 0; article,p 50/0 1; article,form,p 30/0 0; article,p 12/9 1; article,p 70/0 1",
+    "article,h2 4/0 1; article,p 55/0 1; article,ul,li 5/5 0; article,ul,li 4/4 0; article,ul,li 6/6 0; article,ul,li 3/3 0",
+    "article,p 30/0 1; article,p 6/6 1; article,p 40/0 1; article,h3 3/0 1; article,p 25/8 1; article,h3 2/2 1; article,p 33/0 1; article,ul,li 7/7 0; article,ul,li 9/9 0; article,ul,li 5/5 0",
+    "div,a 2/2 0; div,a 1/1 0; div,p 1/0 0; div,a 3/3 0; div,h1 8/0 1; div,p 70/2 1; div,p 5/0 1; div,p 90/0 1; div,p 2/0 1; div,p 40/0 1; div,a 3/3 0; div,p 4/0 0; div,a 2/2 0; div,p 3/1 0",
+    "div.header,p 5/0 0; div.header,a 2/2 0; div,h1 6/0 1; div,p 50/0 1; div,p 80/10 1; div.legal,p 60/0 1; div,p 35/0 1; div.related,a 6/6 0; div.related,a 5/5 0; div.footer,p 15/2 0",
+    "div.menu,a 1/1 0; div.menu,p 3/0 0; div.menu,a 2/2 0; div,h2 3/0 1; div,p 25/0 1; div,p 8/0 1; div,p 36/0 1; div,p 14/13 0; div,a 4/4 0; div,a 2/2 0; div.share,p 3/0 0; div,a 1/1 0",
+    "div,p 10/9 0; div,p 2/0 0; div,p 12/11 0; div,p 3/0 0; div,p 9/9 0; div,p 4/2 0; div,p 40/35 0; div,p 6/5 0; div.search,p 4/0 0",
+    "p 18/0 1; p 22/0 1; p 3/0 1; p 31/3 1; p 7/0 1; p 200/12 1; p 3/3 0; p 2/2 0; p 4/0 0; p 3/3 0",
+    "div,p 3/3 0; div,p 15/0 1; div,p 60/0 1; div,p 20/0 1; div,a 2/2 0; div,p 9/0 0; div,a 2/2 0; div.widget,p 20/0 0; div,a 2/2 0; div,p 11/1 0; div,a 4/4 0",
+    "article,h1 5/5 1; article,p 10/0 1; article,p 8/0 1; article,p 20/0 1; article,p 8/8 1", "article,p 30/0 1; article,p 2/2 1; article,p 9/0 1; article,h2 3/3 1; article,p 15/0 1; article,p 12/12 1",
+    "h1 5/0 1; p 36/0 1", "p 12/0 1", "div.banner,p 12/0 0; article,p 40/0 1; div.social,a 1/1 0; div.social,a 1/1 0",
+)
 FEATURES = ("boilerplate", "main", "words", "density", "words_before", "density_before", "words_after", "density_after")
 
 
-def grow_tree(rows: list[tuple], depth: int = 5) -> tuple:
+def labelled_blocks(pages: tuple[str, ...] = LABELLED) -> list[tuple]:
+    """The labelled pages as rows for the tree: FEATURES and the label."""
+    out = []
+    for page in pages:
+        html, labels = [], []
+        for part in page.split("; "):
+            path, size, label = part.split(" ")
+            n, linked = map(int, size.split("/"))
+            names = [x.partition(".") for x in path.split(",")]
+            text = ("<a href='#'>" + "x " * linked + "</a> " if linked else "") + "y " * (n - linked)
+            html.append("".join(f"<{t} class='{c}'>" if c else f"<{t}>" for t, _, c in names) + text + "".join(f"</{t}>" for t, _, _ in reversed(names)) + "<hr>")
+            labels.append(int(label))
+        rows = features(blocks("".join(html)))
+        out += [(*row, label) for row, label in zip(rows, labels, strict=True)]
+    return out
+
+
+def grow_tree(rows: list[tuple], depth: int = 7) -> tuple:
     """CART by Gini impurity: (feature, threshold, left, right) or (None, share of 1)."""
     ones = sum(r[-1] for r in rows)
     if depth == 0 or ones in (0, len(rows)):
@@ -95,10 +112,10 @@ def tree_says(tree: tuple, row: tuple) -> float:
 
 
 def _kind(tag: str, raw: str, in_main: bool) -> int:
-    """1 boilerplate, 2 main, 3 boilerplate by a word of its class or id only, 0 neither."""
+    """1 boilerplate, 2 main, 3 boilerplate by a strong word of its class or id only, 4 perhaps boilerplate by a weak word, 0 neither."""
     if tag in BOILER_TAGS or (tag == "header" and not in_main):
         return 1
-    soft = False
+    soft = weak = False
     if "=" in raw or " hidden" in raw:
         if HIDDEN_ATTR.search(raw):
             return 1
@@ -109,69 +126,126 @@ def _kind(tag: str, raw: str, in_main: bool) -> int:
                     return 1
                 if value in ("main", "article"):
                     return 3 if soft and value == "article" else 2
-            elif tag not in ("body", "html", "article", "main", "h1", "p") and m[1].lower() in ("class", "id") and not BOILER_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-                soft = True
-    return 3 if soft else 2 if tag in MAIN_TAGS else 0
+            elif tag not in ("body", "html", "article", "main") and m[1].lower() in ("class", "id"):
+                for name in value.split():
+                    if not name.startswith(ABOUT):
+                        soft = soft or not STRONG_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", name))
+                        weak = weak or name in WEAK_WORDS
+    return 3 if soft else 2 if tag in MAIN_TAGS else 4 if weak and not in_main else 0
 
 
-def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, words in links, within boilerplate, within main) of each non-empty block, in page order.
+def tokens(page: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, name) of every tag ('/name' for an end tag) and of what is never shown (name '').
 
-    A class or id word marks all that is inside as boilerplate ('page with-sidebar' too).  If that leaves no main
-    element of the page, the wrappers around the main element with most words are pardoned in main elements.
+    A pass from left to right: a quoted value is skipped by finding its end, and a quote that has none left is
+    remembered, so that the rest of the page is never searched again for it.
     """
-    out: list[tuple[str, int, int, bool, bool]] = []
+    n = len(page)
+    closed = {"'": True, '"': True}
+    at = page.find("<")
+    while at >= 0:
+        m = NAME.match(page, at)
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            yield at, (end := n if end < 0 else end + 3), ""
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            yield at, (end := n if end < 0 else end + 1), ""
+        elif not m:
+            at = page.find("<", at + 1)
+            continue
+        else:
+            end = m.end()
+            while True:
+                stop = STOP.search(page, end)
+                if not stop:
+                    end = n
+                    break
+                c, end = stop[0], stop.end()
+                if c == ">":
+                    break
+                if c == "<":  # the tag was never closed: the next one begins
+                    end -= 1
+                    break
+                if closed[c] and VALUE.search(page, max(at, end - 64), end - 1):
+                    close = page.find(c, end)
+                    closed[c] = close >= 0
+                    end = close + 1 if close >= 0 else end
+            name = m[1].lower()
+            if page[at + 1] == "/":
+                yield at, end, "/" + name
+            elif name in UNSEEN and not (name == "svg" and page[end - 2 : end] == "/>"):
+                gone = UNSEEN[name].search(page, end)
+                yield at, (end := gone.end() if gone else n), ""
+            else:
+                yield at, end, "" if name == "svg" else name
+        at = page.find("<", end)
+
+
+def blocks(page: str | None) -> list[tuple[str, int, int, float, bool]]:
+    """(text, words, words in links, boilerplate around: 1, perhaps 0.5 or 0, within main) of each non-empty block, in page order.
+
+    A strong class or id word marks all that is inside as boilerplate.  If that leaves no main element of the
+    page, the wrappers around the main element with most words are pardoned in main elements.
+    """
+    out: list[tuple[str, int, int, float, bool]] = []
     wraps: list[tuple[int, ...] | None] = []  # of each block in a main element marked by words outside it only: the marked wrappers
     if not page:
         return out
     stack: list[tuple[str, int]] = []  # open block elements and their kind
     text: list[str] = []
-    linked = bad = good = link = opened = 0
+    linked = bad = good = weak = opened = 0
+    link = -1  # how many block elements were open when the open link began
     soft: list[int] = []  # numbers of the open wrappers that are marked by a word
     outer: tuple[int, ...] = ()  # those around the outermost open main element
 
+    def add(piece: str) -> None:
+        nonlocal linked
+        piece = entities.unescape(piece)
+        text.append(piece)
+        if link >= 0:
+            linked += len(piece.split())
+
     def flush() -> None:
         nonlocal linked
         if text:
             words = "".join(text).split()
             if words:
-                out.append((" ".join(words), len(words), min(linked, len(words)), bad > 0 or bool(soft), good > 0))
+                boiler = 1.0 if bad or soft else 0.5 if weak else 0.0
+                out.append((" ".join(words), len(words), min(linked, len(words)), boiler, good > 0))
                 wraps.append(outer if good and not bad and len(soft) == len(outer) > 0 else None)
         text.clear()
         linked = 0
 
     def close(n: int) -> None:
-        nonlocal bad, good
+        nonlocal bad, good, weak, link
         for _, kind in stack[n:]:
             bad -= kind == 1
             good -= kind == 2
+            weak -= kind == 4
             if kind == 3:
                 soft.pop()
         del stack[n:]
+        if link > n:
+            link = -1  # a link ends with the element it began in
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            piece = entities.unescape(page[at : m.start()])
-            text.append(piece)
-            if link:
-                linked += len(piece.split())
-        at = m.end()
-        raw = m[0]
-        name = NAME.match(raw)
-        if not name or HIDDEN.match(raw):
+    for start, end, tag in tokens(page):
+        if start > at:
+            add(page[at:start])
+        at = end
+        closing = tag.startswith("/")
+        tag = tag.lstrip("/")
+        if not tag:
             continue  # comments, declarations and invisible elements
-        tag = name[1].lower()
-        closing = raw[1] == "/"
         if tag == "a":
-            link = 0 if closing else 1
+            link = -1 if closing else len(stack)
             continue
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
             continue
         flush()
-        link = 0
         if tag in VOID:
             continue
         if closing:
@@ -182,10 +256,12 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
         else:
             if tag in ("p", "li", "td", "tr", "dt", "dd") and stack and stack[-1][0] == tag:
                 close(len(stack) - 1)  # these end where the next one begins
+            raw = page[start:end]
             if not raw.endswith("/>"):
                 kind = _kind(tag, raw, good > 0)
                 stack.append((tag, kind))
                 bad += kind == 1
+                weak += kind == 4
                 if kind == 2:
                     outer = outer if good else tuple(soft)
                     good += 1
@@ -193,33 +269,32 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool]]:
                     opened += 1
                     soft.append(opened)
     if at < len(page):
-        text.append(entities.unescape(page[at:]))
+        add(page[at:])
     flush()
-    if any(wraps) and not any(main and not boiler for _, _, _, boiler, main in out):
+    if any(wraps) and not any(main and boiler < 1 for _, _, _, boiler, main in out):
         words: dict[tuple[int, ...], int] = {}
         for w, b in zip(wraps, out):
             if w:
                 words[w] = words.get(w, 0) + b[1]
         pardoned = set(max(words, key=words.get))
-        out = [(*b[:3], b[3] and not (w and pardoned.issuperset(w)), b[4]) for w, b in zip(wraps, out)]
+        out = [(*b[:3], 0.0 if w and pardoned.issuperset(w) else b[3], b[4]) for w, b in zip(wraps, out)]
     return out
 
 
+def features(found: list[tuple]) -> list[tuple]:
+    """FEATURES of each block; beyond the page's ends stand empty blocks."""
+    sizes = [(0, 0.0), *((n, k / n) for _, n, k, _, _ in found), (0, 0.0)]
+    return [(bad, int(good), *sizes[i], *sizes[i - 1], *sizes[i + 1]) for i, (*_, bad, good) in enumerate(found, 1)]
+
+
 def main_text(page: str | None, tree: tuple) -> str:
     found = blocks(page)
-    edge = (0, 0.0)
-    sizes = [edge, *((n, k / n) for _, n, k, _, _ in found), edge]
-    kept = []
-    for i, (text, _, _, bad, good) in enumerate(found, 1):
-        row = (int(bad), int(good), *sizes[i], *sizes[i - 1], *sizes[i + 1])
-        if tree_says(tree, row) >= 0.5:
-            kept.append(text)
-    return "\n\n".join(kept)
+    return "\n\n".join(b[0] for b, row in zip(found, features(found)) if tree_says(tree, row) >= 0.5)
 
 
-def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), labelled: list[tuple] = LABELLED) -> DataFrame:
+def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), labelled: tuple[str, ...] = LABELLED) -> DataFrame:
     """keep columns, text and n_chars (code points) of every page; a map over rows without a shuffle."""
-    tree = grow_tree(list(labelled))
+    tree = grow_tree(labelled_blocks(labelled))
 
     def texts(page: list) -> dict[str, list]:
         got = [main_text(h, tree) for h in page]

@@ -69,7 +69,7 @@ r(i, lo, hi) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL SELECT
   (SELECT i, lo, hi, (lo + hi) / 2 AS mid, (SELECT max(pow(p, (lo + hi) / 2) / p) / sum(pow(p, (lo + hi) / 2)) FROM sh) > 4.0 AS ok FROM r WHERE i < 40) q),
 x AS (SELECT CASE WHEN (SELECT k FROM al) < 2 THEN 1.0 ELSE round(greatest((SELECT lo FROM e WHERE i = 40), (SELECT lo FROM r WHERE i = 40)), 4) END AS a),
 w AS (SELECT source, total, CAST(floor(round(pow(CAST(total AS DOUBLE), a) / (SELECT sum(pow(CAST(total AS DOUBLE), a)) FROM tot, x) * b, 3)) AS BIGINT) AS goal FROM tot, x, al),
-pl AS (SELECT source, goal // total AS whole, goal - (goal // total) * total AS rest, CAST(least(4096, ceil(total / 32768)) AS BIGINT) AS blocks FROM w),
+pl AS (SELECT source, goal // total AS whole, goal - (goal // total) * total AS rest, CAST(ceil(total / 32768) AS BIGINT) AS blocks FROM w),
 dealt AS (SELECT t.*, whole, rest, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % blocks AS part FROM t JOIN pl USING (source)),
 bl AS (SELECT source, part, sum(tokens) AS size, any_value(whole) AS whole, any_value(rest) AS rest FROM dealt GROUP BY ALL),
 us AS (SELECT *, unnest(range(0, CAST(whole + 1 AS BIGINT))) AS epoch FROM bl),
