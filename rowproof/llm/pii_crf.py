@@ -2,18 +2,21 @@
 
 Base spans (e-mail, IP, card, phone) come from the contract's patterns, in linear time.  The field's nodes
 are the tokens that hold a digit or '@'; their labels are the four kinds or none.  Potentials: token shape
-and cue word (unary), next node at most NEAR characters away (chain), and the previous node with the same
-key (skip: equal digits, or equal lower-cased token), however distant.  Tokens in base spans are observed;
-loopy sum-product message passing spreads their labels to repeated tokens that the patterns miss, such as
-a telephone number written without its plus sign later on.  Repeats are linked in order of occurrence, not
-all with all, so a document has at most two edges a node.
-
-Weights are fitted here on a bounded sample of documents (SAMPLE, a documented bound of the fit only), from
-the base spans as labels: unary weights by logistic regression without the features that define the
-patterns, chain and skip potentials by smoothed counts.
+and cue word (unary), next node at most NEAR characters away (chain), and earlier nodes that are the same or
+similar, however distant (skip): equal digits or equal lower-cased token, equal last seven digits (a number
+with and without its country code), one digit changed in a number of seven or more, equal local part of an
+address.  Tokens in base spans are observed; loopy sum-product message passing spreads their labels to tokens
+that the patterns miss, such as a telephone number written without its plus sign later on.  Similar tokens are
+linked in order of occurrence, the next with the last of each key, not all with all: at most five skip edges
+a node.
+
+Weights are fitted here, from the base spans as labels, on a bounded sample of whole documents (SAMPLE of them
+and SAMPLE_CHARS characters, documented bounds of the fit only): unary, chain and skip weights together, by
+the field's pseudo-likelihood, without the features that define the patterns.
 
 Edge cases: null and empty texts have no spans; overlapping base spans of different kinds all stay; the
-field adds no span that overlaps a base span; offsets are code points.
+field adds no span that overlaps a base span; offsets are code points; repeated rows come out as often as they
+came in; columns other than the kept ones and the text, whatever their names, are never looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import map_texts, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, NEAR, ROUNDS, SURE = 1500, 24, 12, 0.9
+SAMPLE, SAMPLE_CHARS, NEAR, ROUNDS, SURE = 1500, 12_000_000, 24, 12, 0.9
+#: What the skip weights of agreeing labels are drawn to where the sample has little to tell.
+AGREE = 6.0
 # The base patterns of the contract, anchored where a match can start.
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -80,9 +85,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _key(token: str) -> str:
+def _keys(token: str) -> list[str]:
+    """Keys that the same and similar tokens share; those that begin with 'half' call for a test."""
     digits = "".join(c for c in token if c in "0123456789")
-    return digits if len(digits) >= 7 else token.lower()
+    n = len(digits)
+    if n < 7:
+        return [token.lower()] + (["local" + token.lower().partition("@")[0]] if "@" in token[1:] else [])
+    return [digits, "tail" + digits[-7:], f"half{n}a" + digits[: n // 2], f"half{n}b" + digits[n // 2 :]]
+
+
+def _one_changed(a: str, b: str) -> bool:
+    """Whether two tokens' digits differ in at most one place."""
+    x, y = ([c for c in t if c in "0123456789"] for t in (a, b))
+    return len(x) == len(y) and sum(p != q for p, q in zip(x, y)) <= 1
 
 
 def _features(token: str, cue: str) -> list[float]:
@@ -101,26 +116,30 @@ class Field:
 
 
 def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, str, int]]:
-    """(start, end, token, cue, observed label or -1) for every token with a digit or '@'."""
+    """(start, end, token, cue, observed label or -1): every base span as a whole, and every other token with a digit or '@'."""
     out = []
-    spans = sorted((a, b, k) for k, a, b in base)
+    spans: list[tuple[int, int, int]] = []  # without those that overlap an earlier one
+    for a, b, k in sorted((a, b, k) for k, a, b in base):
+        if not spans or a >= spans[-1][1]:
+            spans.append((a, b, k))
+    cue = lambda at: text[max(0, at - 24) : at].lower()
     i = 0
+    covered = 0  # the end of what base spans cover so far
+    ends = sorted((a, b) for _, a, b in base)
+    e = 0
     for m in TOKEN.finditer(text):
-        start, end = m.span()
         token = m[0]
-        end -= len(token) - len(token.rstrip(".,;:!?)]}>\"'"))
-        start += len(token) - len(token.lstrip("([{<\"'"))
-        while i < len(spans) and spans[i][1] <= start:
+        end = m.end() - (len(token) - len(token.rstrip(".,;:!?)]}>\"'")))
+        start = m.start() + len(token) - len(token.lstrip("([{<\"'"))
+        while i < len(spans) and spans[i][0] < max(end, m.end()):
+            a, b, k = spans[i]
+            out.append((a, b, text[a:b], cue(a), k + 1))
             i += 1
-        seen = -1
-        for a, b, k in spans[i:]:
-            if a >= end:
-                break
-            if b > start:
-                seen = k + 1
-                break
-        if start < end:
-            out.append((start, end, text[start:end], text[max(0, m.start() - 24) : m.start()].lower(), seen))
+        while e < len(ends) and ends[e][0] < end:
+            covered = max(covered, ends[e][1])
+            e += 1
+        if start < end and covered <= start:
+            out.append((start, end, text[start:end], cue(m.start()), -1))
     return out
 
 
@@ -129,11 +148,12 @@ def edges_of(nodes: list[tuple]) -> tuple[list[tuple[int, int]], list[tuple[int,
     last: dict[str, int] = {}
     skip = []
     for i, n in enumerate(nodes):
-        key = _key(n[2])
-        if key in last:
-            skip.append((last[key], i))
-        last[key] = i
-    return chain, skip
+        for key in _keys(n[2]):
+            j = last.get(key)
+            if j is not None and (not key.startswith("half") or _one_changed(nodes[j][2], n[2])):
+                skip.append((j, i))
+            last[key] = i
+    return chain, sorted(set(skip))
 
 
 def marginals(nodes: list[tuple], field: Field) -> np.ndarray:
@@ -189,41 +209,66 @@ def all_spans(text: str | None, field: Field) -> tuple[list[tuple[int, int, int]
     return base, added
 
 
-def fit_field(texts: list[str]) -> Field:
+def fit_field(texts: list[str], steps: int = 300) -> Field:
+    """All weights by gradient ascent on the pseudo-likelihood: each node's label given its neighbours' labels."""
     labels = len(KINDS) + 1
     width = len(_features("", ""))
     x, y = [], []
-    chain, skip = np.ones((labels, labels)), np.ones((labels, labels)) * 0.1 + np.eye(labels) * 2
+    chains: list[tuple[int, int]] = []
+    skips: list[tuple[int, int]] = []
     for text in texts:
         nodes = nodes_of(text, base_spans(text))
-        got = [max(0, s) for *_, s in nodes]
-        x += [_features(t, c) for _, _, t, c, _ in nodes]
-        y += got
         ch, sk = edges_of(nodes)
-        for a, b in ch:
-            chain[got[a], got[b]] += 1
-        for a, b in sk:
-            skip[got[a], got[b]] += 1
-    unary = np.zeros((width, labels))
-    unary[0, 0] = 2.0  # without evidence: none
-    if x:
-        xs, ys = np.array(x), np.eye(labels)[y]
-        for _ in range(300):
-            z = xs @ unary
-            z = np.exp(z - z.max(1, keepdims=True))
-            grad = xs.T @ (z / z.sum(1, keepdims=True) - ys) / len(xs) + 1e-3 * unary
-            unary -= 1.0 * grad
-    # potentials: how much likelier a pair is than its labels by themselves
-    ratio = lambda c: np.log(c / c.sum() / np.outer(c.sum(1) / c.sum(), c.sum(0) / c.sum()))
-    return Field(unary, np.clip(ratio(chain), -1, 1), np.clip(ratio(skip), -4, 4))
-
-
-def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """Fits on the documents with the smallest md5 of their id among those with a digit or '@'."""
+        chains += [(a + len(x), b + len(x)) for a, b in ch]
+        skips += [(a + len(x), b + len(x)) for a, b in sk]
+        x += [_features(t, c) for _, _, t, c, _ in nodes]
+        y += [max(0, s) for *_, s in nodes]
+    unary, chain, skip = np.zeros((width, labels)), np.zeros((labels, labels)), AGREE * np.eye(labels)
+    unary[0, 0] = 2.0  # without evidence: none; similar tokens lean to one label
+    if not x:
+        return Field(unary, chain, skip)
+    xs, ys = np.array(x), np.eye(labels)[y]
+    before, after, alike = np.zeros_like(ys), np.zeros_like(ys), np.zeros_like(ys)  # labels of a node's neighbours, counted
+    for a, b in chains:
+        before[b] += ys[a]
+        after[a] += ys[b]
+    for a, b in skips:
+        alike[b] += ys[a]
+        alike[a] += ys[b]
+    n = len(xs)
+    sums = [np.full_like(w, 1e-6) for w in (unary, chain, skip)]
+    for _ in range(steps):  # AdaGrad, with a weak ridge that draws the skip weights to where they began
+        z = xs @ unary + before @ chain + after @ chain.T + alike @ skip
+        z = np.exp(z - z.max(1, keepdims=True))
+        miss = z / z.sum(1, keepdims=True) - ys
+        mutual = alike.T @ miss
+        grads = (xs.T @ miss / n + 1e-3 * unary, (before.T @ miss + miss.T @ after) / n + 1e-3 * chain, (mutual + mutual.T) / (2 * n) + 1e-3 * (skip - AGREE * np.eye(labels)))
+        for w, g, s in zip((unary, chain, skip), grads, sums):
+            s += g * g
+            w -= 0.3 * g / np.sqrt(s)
+    return Field(unary, np.clip(chain, -2, 2), np.clip(skip, -8, 8))
+
+
+def train_field(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Field:
+    """Fits on the whole documents with the smallest md5 of their id among those with a digit or '@'.
+
+    Rows are thinned by that hash to about 20 times the sample before they are put in order, narrow, so that
+    what one task sorts does not grow with the corpus; texts follow for the chosen rows only.
+    """
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(order.alias("o"), text_or_empty(text_col).alias("t")).where(F.col("t").rlike("[0-9@]")).where(F.length("t") <= 20_000)
-    small = rows.orderBy("o", "t").limit(sample)
-    return fit_field([r["t"] for r in small.toLocalIterator()])
+    share = min(1.0, 20 * sample / max(1, docs.count()))
+    rows = docs.select(order.alias("o"), text_or_empty(text_col).alias("t")).where(F.conv(F.substring("o", 1, 8), 16, 10).cast("long") < F.lit(int(share * (1 << 32))))
+    rows = rows.where(F.col("t").rlike("[0-9@]"))
+    picked, room = [], chars
+    for r in rows.select("o", F.xxhash64("t").alias("h"), F.length("t").alias("n")).orderBy("o", "h").limit(sample).collect():  # sample narrow rows
+        if r["n"] <= room:
+            room -= r["n"]
+            picked.append((r["o"], r["h"]))
+    if not picked:
+        return fit_field([])
+    chosen = docs.sparkSession.createDataFrame(picked, "o string, h long").distinct()
+    got = rows.withColumn("h", F.xxhash64("t")).join(F.broadcast(chosen), ["o", "h"]).dropDuplicates(["o", "h"])
+    return fit_field([t for *_, t in sorted((r["o"], r["h"], r["t"]) for r in got.toLocalIterator())])  # bounded by chars
 
 
 def find_personal_data(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -250,5 +295,3 @@ def redact(text: str | None, spans: list[tuple[int, int, int]]) -> str:
 
 def digest(spans: list[tuple[int, int, int]]) -> str:
     return hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans)).encode()).hexdigest()
-
-
