@@ -10,7 +10,7 @@ of over BLOCK_WORDS words is taken in blocks of about that size, one after the o
 
 Edge cases: words are runs of ASCII letters and digits (any case) and non-ASCII characters; null and empty
 texts and items hold no words and match nothing; an item shorter than an n-gram is one seed as a whole;
-items with equal texts are all reported; repeated rows and ids are each judged.
+items with equal texts are all reported; repeated rows and ids are each judged; an empty table of either kind gives no leaks.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ NGRAM, SEED_SHARE, LEAST_SEEDS, THRESHOLD, BLOCK_WORDS = 3, 0.75, 2, 0.5, 200_00
 #: Items of fewer words keep all n-grams as seeds, and one of them is enough for an alignment.
 SHORT_WORDS = 28
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-FOUND = "array<struct<item_id:long,score:double,first_word:long,last_word:long>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -173,13 +172,15 @@ def rare_seeds(items: Items, frequency: dict[int, int], share: float = SEED_SHAR
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD, share: float = SEED_SHARE, least: int = LEAST_SEEDS, to: str = "leaks") -> DataFrame:
     """keep columns and leaks (named by to): array of (item_id, score, first_word, last_word), for every row of docs.
 
-    benchmark: item_id, text.
+    benchmark: item_id (of any type that has an order), text.  Other columns of either table, whatever their
+    names, are never looked at.
     """
+    leak = f"array<struct<item_id:{benchmark.schema['item_id'].dataType.simpleString()},score:double,first_word:long,last_word:long>>"
     sizes = benchmark.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     blocks = max(1, -(-int(sizes["chars"] or 0) // (6 * BLOCK_WORDS)))
     if not sizes["n"]:
-        return docs.select(*keep, F.array().cast(FOUND).alias(to))
-    rows = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("_t"), F.array().cast(FOUND).alias("_leaks"))
+        return docs.select(*keep, F.array().cast(leak).alias(to))
+    rows = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), F.col(text_col).alias("_t"), F.array().cast(leak).alias("_leaks"))
     for block in range(blocks):
         mine = benchmark.where(F.crc32(F.coalesce(F.col("item_id").cast("string"), F.lit("")).cast("binary")) % blocks == block)
         items = Items(sorted(((r["item_id"], r["text"]) for r in mine.select("item_id", "text").toLocalIterator()), key=lambda r: (r[0] is None, r[0], r[1] or "")))
@@ -189,6 +190,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         def run(texts: list, items: Items = items, seeds: np.ndarray = seeds, owners: dict = owners) -> dict[str, list]:
             return {"found": [find_leaks(items.numbers(t), items, seeds, owners, threshold, least) for t in texts]}
 
-        rows = map_texts(rows, "_t", tuple(c for c in rows.columns if c != "_t") if block == blocks - 1 else tuple(rows.columns), run, f"found {FOUND}")
+        rows = map_texts(rows, "_t", tuple(c for c in rows.columns if c != "_t") if block == blocks - 1 else tuple(rows.columns), run, f"found {leak}")
         rows = rows.withColumn("_leaks", F.concat("_leaks", "found")).drop("found")
     return rows.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), F.col("_leaks").alias(to))
