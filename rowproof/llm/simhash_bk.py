@@ -36,6 +36,8 @@ LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SAMPLE, COMMON = 8000, 200_000
 #: Fingerprints in a shard beyond which it is split; nodes that share a shingle beyond which they are dealt out; rows of a batch.
 SHARD, GROUP, BATCH = 4096, 4096, 65_536
+#: Shingles held by a task that tests pairs (eight bytes each).
+HELD = 4_000_000
 #: radius -> (blocks, agree) up to so many distinct fingerprints, then the next wider choice.
 LAYOUTS = {4: ((6, 2, 1 << 27), (7, 3, 1 << 33), (8, 4, 1 << 62)), 6: ((8, 2, 1 << 22), (9, 3, 1 << 27), (10, 4, 1 << 62))}
 
@@ -113,9 +115,24 @@ def similar_links(pairs: DataFrame, texts: DataFrame, words: int, least: float)
     both = pairs.join(t("a", "x"), "a").join(t("b", "y"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lambda v: np.unique(shingle_hashes(v.as_py(), words))
+        held: dict[int, np.ndarray] = {}  # sets of nodes seen lately: a node's pairs stand together
+        size = 0
+
+        def own(node: int, text: pa.StringScalar) -> np.ndarray:
+            nonlocal size
+            got = held.get(node)
+            if got is None:
+                got = np.unique(shingle_hashes(text.as_py(), words))
+                if size + len(got) > HELD:
+                    held.clear()
+                    size = 0
+                held[node] = got
+                size += len(got)
+            return got
+
         for t in batches:
-            ok = pa.array([jaccard(own(x), own(y)) >= least for x, y in zip(t.column("x"), t.column("y"))], pa.bool_())
+            rows = zip(t.column("a").to_pylist(), t.column("x"), t.column("b").to_pylist(), t.column("y"))
+            ok = pa.array([jaccard(own(a, x), own(b, y)) >= least for a, x, b, y in rows], pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column("a").filter(ok), t.column("b").filter(ok)], names=["a", "b"])
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -211,7 +228,8 @@ def shared_prefixes(docs: DataFrame, text_col: str, words: int, least: float, n:
                     sizes = (len(own) << 32) | np.arange(len(keys), dtype=np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), set_key(own), np.int64)), pa.array(sizes)], names=["key", "node", "size"])
 
-    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "key long, node long, size long").distinct()  # a set's repeats are one node
+    rows = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "key long, node long, size long")
+    rows = rows.groupBy("key", "node").agg(F.min("size").alias("size"))  # a set's repeats are one node
     several = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     return rows.join(several, "key", "left_semi")
 
