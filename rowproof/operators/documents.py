@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.empties import strip
 from ..functions.values import word_estimate
-from ..sources.numbering import with_row_number
+from ..sources.numbering import with_row_number, with_running_total
+from .matching import containing
 
 # Sizes of chunks and batches.
 CHUNK, OVERLAP, BATCH_WORDS, BATCH_CHARS, LOCATE_WORDS = 100_000, 500, 50_000, 100_000, 30_000
 SENTENCE_ENDS = "。！？.!?"
+#: Documents packed by one task.
+SHARD_DOCS = 100_000
 
 
 def chunk_bounds(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
@@ -67,28 +70,81 @@ def split_paragraphs(text: str, words: int = BATCH_WORDS, chars: int = BATCH_CHA
     return [*parts, "\n\n".join(now)] if now else parts
 
 
-def batches(docs: DataFrame, id_col: str, order: str, text_col: str = "text", words: int = BATCH_WORDS, chars: int = BATCH_CHARS) -> DataFrame:
+def batches(docs: DataFrame, id_col: str, order: str, text_col: str = "text", words: int = BATCH_WORDS, chars: int = BATCH_CHARS, shard: int = SHARD_DOCS) -> DataFrame:
     """id, batch: documents in order, a new batch wherever both limits would not hold.
 
-    The packing is sequential by definition; it runs over (id, words, chars) in shards of consecutive
-    documents, each of which starts a batch of its own, so that shards are independent.
+    The packing is sequential by definition.  Documents (only their sizes) are dealt into shards of consecutive
+    ones.  The batch that is open where a shard begins can take a few of its first documents; for every number
+    of them that can occur, the shard's task packs the rest and reports what is open at its end.  The driver
+    walks from shard to shard over these reports, a few numbers a shard, and a second pass numbers the batches.
     """
-    shard_rows = 100_000
-    sized = docs.select(id_col, F.col(order).alias("_o"), word_estimate(F.coalesce(F.col(text_col), F.lit(""))).alias("w"), F.coalesce(F.length(text_col), F.lit(0)).alias("c"))
-    rows = with_row_number(sized, "_o").withColumn("_s", F.floor(F.col("_row") / shard_rows).cast("long"))
+    sized = docs.select(id_col, F.col(order).alias("_o"), word_estimate(F.coalesce(F.col(text_col), F.lit(""))).alias("w"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("c"))
+    rows = with_row_number(sized, "_o").withColumn("_s", F.floor(F.col("_row") / shard).cast("long"))
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_row")
-        out, n, w, c = [], 1, 0, 0
-        for a, b in zip(part["w"], part["c"]):
-            if (w or c) and (w + a > words or c + b > chars):
-                n, w, c = n + 1, 0, 0
-            w, c = w + a, c + b
+    def packed(w: list[int], c: list[int], entry: int) -> tuple[list[int], int, int]:
+        """Batch (1, 2, ...) of the documents from entry on, and the sizes of the last one."""
+        out, n, a, b = [], 0, 0, 0
+        for x, y in zip(w[entry:], c[entry:]):
+            if not n or ((a or b) and (a + x > words or b + y > chars)):
+                n, a, b = n + 1, 0, 0
+            a, b = a + x, b + y
             out.append(n)
-        return pd.DataFrame({id_col: part[id_col], "shard": part["_s"], "batch": out})
+        return out, a, b
+
+    def taken(w: list[int], c: list[int], a: int, b: int) -> int:
+        """How many first documents still go into an open batch of sizes a, b."""
+        k = 0
+        while k < len(w) and not ((a or b) and (a + w[k] > words or b + c[k] > chars)):
+            a, b, k = a + w[k], b + c[k], k + 1
+        return k
+
+    def report(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_row")
+        w, c = part["w"].tolist(), part["c"].tolist()
+        out = []
+        for entry in range(taken(w, c, 0, 0) + 1):  # an open batch takes at most as many as an empty one
+            got, a, b = packed(w, c, entry)
+            out.append((part["_s"].iloc[0], entry, max(got, default=0), a, b, w[entry] if entry < len(w) else 0, c[entry] if entry < len(c) else 0, len(w)))
+        return pd.DataFrame(out, columns=["_s", "entry", "n", "a", "b", "w", "c", "size"])
+
+    reports = rows.groupBy("_s").applyInPandas(report, "_s long, entry long, n long, a long, b long, w long, c long, size long")
+    plan, a, b, base, now, shape = [], 0, 0, 0, None, {}
+
+    def walked() -> None:
+        """One shard: where its first new batch begins, and the number of the batch that is open before."""
+        nonlocal a, b, base
+        k = 0
+        while k < shape[0][-1] and not ((a or b) and (a + shape[k][3] > words or b + shape[k][4] > chars)):
+            a, b, k = a + shape[k][3], b + shape[k][4], k + 1
+        plan.append((now, k, max(base, 1)))
+        if k < shape[0][-1]:
+            base = max(base, 1) if k else base
+            base, a, b = base + shape[k][0], shape[k][1], shape[k][2]
+        else:
+            base = max(base, 1)
+
+    for r in reports.orderBy("_s", "entry").toLocalIterator():  # a few rows a shard
+        if r["_s"] != now and now is not None:
+            walked()
+            shape = {}
+        now = r["_s"]
+        shape[r["entry"]] = (r["n"], r["a"], r["b"], r["w"], r["c"], r["size"])
+    if now is not None:
+        walked()
+    starts = {s: (k, n) for s, k, n in plan}
+
+    def number(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_row")
+        k, open_batch = int(part["_k"].iloc[0]), int(part["_n"].iloc[0])
+        got, _, _ = packed(part["w"].tolist(), part["c"].tolist(), k)
+        before = open_batch if k or part["_s"].iloc[0] else 0
+        return pd.DataFrame({id_col: part[id_col], "batch": [open_batch] * k + [before + n for n in got]})
 
-    return rows.groupBy("_s").applyInPandas(pack, f"{id_col} {kind}, shard long, batch long")
+    if not starts:
+        return docs.select(id_col, F.lit(None).cast("long").alias("batch")).limit(0)
+    places = docs.sparkSession.createDataFrame([(s, k, n) for s, (k, n) in starts.items()], "_s long, _k long, _n long")
+    return rows.join(F.broadcast(places), "_s").groupBy("_s").applyInPandas(number, f"{id_col} {kind}, batch long")
 
 
 def merge_texts(docs: DataFrame, name: str, text_col: str, order: str, group: str) -> DataFrame:
@@ -99,11 +155,18 @@ def merge_texts(docs: DataFrame, name: str, text_col: str, order: str, group: st
 
 
 def boundaries(docs: DataFrame, name: str, order: str, text_col: str = "text", separator: int = 2, group: str | None = None) -> DataFrame:
-    """name, start, stop, length of each document in the concatenation (of its group)."""
-    sized = docs.select(*([group] if group else []), name, F.col(order).alias("_o"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("length"))
-    w = Window.partitionBy(*([group] if group else [F.lit(0)])).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("length") + separator).over(w), F.lit(0)).cast("long")
-    return sized.withColumn("start", start).withColumn("stop", F.col("start") + F.col("length")).select(*([group] if group else []), name, "start", "stop", "length")
+    """name, start, stop, length of each document in the concatenation (of its group; without one, of all).
+
+    Without a group the running sum goes over range partitions and their totals, with one over its documents.
+    """
+    length = F.coalesce(F.length(text_col), F.lit(0)).cast("long")
+    sized = docs.select(*([group] if group else []), name, F.col(order).alias("_o"), length.alias("length"), (length + separator).alias("_step"))
+    if group:
+        w = Window.partitionBy(group).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)
+        rows = sized.withColumn("start", F.coalesce(F.sum("_step").over(w), F.lit(0)).cast("long"))
+    else:
+        rows = with_running_total(sized, "_o", "_step", "start").withColumn("start", F.col("start").cast("long"))
+    return rows.withColumn("stop", F.col("start") + F.col("length")).select(*([group] if group else []), name, "start", "stop", "length")
 
 
 def needs_location(docs: DataFrame, text_col: str = "text", words: int = LOCATE_WORDS) -> DataFrame:
@@ -153,15 +216,15 @@ def segment_stats(segments: DataFrame, group: str) -> DataFrame:
 
 
 def evidence_documents(evidence: DataFrame, names: DataFrame) -> DataFrame:
-    """(evidence, name) where one's base name holds the other, in any case.
-
-    Candidates share a base name without its extension, or a word of it; the test itself follows.
-    """
-    words = lambda c: F.filter(F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+")), lambda w: w != "")
-    e = evidence.select("evidence", F.explode(words(F.regexp_extract("evidence", r"([^/\\]+)$", 1))).alias("w"))
-    d = names.select("name", F.explode(words(F.regexp_extract("name", r"([^/\\]+)$", 1))).alias("w"))
+    """(evidence, name) where one's base name holds the other, in any case; empty base names match nothing."""
     low = lambda c: F.lower(F.regexp_extract(c, r"([^/\\]+)$", 1))
-    return e.join(d, "w").select("evidence", "name").distinct().where(F.contains(low("evidence"), low("name")) | F.contains(low("name"), low("evidence")))
+    e = evidence.select("evidence", low(F.col("evidence")).alias("a")).where("a <> ''").distinct()
+    d = names.select("name", low(F.col("name")).alias("b")).where("b <> ''").distinct()
+    held = containing(e.select(F.col("a").alias("value")), d.select(F.col("b").alias("value")))
+    pairs = held.select(F.col("longer").alias("a"), F.col("shorter").alias("b"))
+    held = containing(d.select(F.col("b").alias("value")), e.select(F.col("a").alias("value")))
+    pairs = pairs.union(held.select(F.col("shorter").alias("a"), F.col("longer").alias("b"))).distinct()
+    return pairs.join(e, "a").join(d, "b").select("evidence", "name").distinct()
 
 
 def filter_documents(docs: DataFrame, name: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ back, so that a hot key can be split by adaptive execution.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..functions.empties import is_blank, is_blank_or_nullword, strip
 from ..sources.shared import shared_table
+from .matching import containing, few_edits
 
+#: Members that a violation lists in one row.
+LISTED = 100_000
 OUT = ("tbl", "tuple_id", "attr", "constraint_type", "rule_code", "severity", "description", "suggested_fix", "business_rule_id", "affected_tuple_ids")
 
 
@@ -54,11 +58,19 @@ def _any_blank(names: Sequence[str]) -> Column:
 
 
 def inferred_missing(df: DataFrame, table: str, attr: str, fix: str, tuple_id: str = "tuple_id") -> DataFrame:
-    """A numeric attribute is empty though some other row has a value; one row of counts decides that."""
-    empty = is_blank_or_nullword(F.col(attr).cast("string"))
-    if not df.where(~empty).select(F.lit(1)).head(1):  # stops at the first row found
-        return violations(df.limit(0), table, F.col(tuple_id), attr, "VALUE", "VALUE_MISSING_INFERRED", "error", "")
-    return violations(df.where(empty), table, F.col(tuple_id), attr, "VALUE", "VALUE_MISSING_INFERRED", "error", "missing value", F.lit(fix))
+    """A numeric attribute is empty though some other row has a value."""
+    return inferred_missing_all(df, table, {attr: fix}, tuple_id)
+
+
+def inferred_missing_all(df: DataFrame, table: str, fixes: dict[str, str], tuple_id: str = "tuple_id") -> DataFrame:
+    """The same for several attributes, each with its fix: one row of flags over the table, then one scan."""
+    empty = {a: is_blank_or_nullword(F.col(a).cast("string")) for a in fixes}
+    flags = df.agg(*(F.max(~e).alias(f"f{k}") for k, e in enumerate(empty.values()))).first() if fixes else ()
+    some = [a for a, flag in zip(fixes, flags) if flag]
+    entry = lambda a: F.when(empty[a], F.struct(F.lit(a).alias("attr"), F.lit(fixes[a]).alias("fix")))
+    none = F.array().cast("array<struct<attr:string,fix:string>>")
+    hits = df.select(tuple_id, F.explode(F.filter(F.array(*map(entry, some)), lambda x: x.isNotNull()) if some else none).alias("_m"))
+    return violations(hits, table, F.col(tuple_id), F.col("_m.attr"), "VALUE", "VALUE_MISSING_INFERRED", "error", "missing value", F.col("_m.fix"))
 
 
 def foreign_key(df: DataFrame, table: str, attr: str, ref: DataFrame, ref_attr: str, strip_ref: bool = True, tuple_id: str = "tuple_id", fix: Column | None = None) -> DataFrame:
@@ -83,25 +95,34 @@ def relation_nulls(df: DataFrame, table: str, attr: str, tuple_id: str = "tuple_
     return violations(df.where(F.col(attr).isNull()), table, F.col(tuple_id), attr, "REFERENCE", "REFERENCE_NULL", "error", "null in a relation that allows none")
 
 
-def nearest_reference(lost: DataFrame, attr: str, ref: DataFrame, ref_attr: str, most: int = 50_000) -> DataFrame:
+def nearest_reference(lost: DataFrame, attr: str, ref: DataFrame, ref_attr: str) -> DataFrame:
     """(attr value, nearest, score) for the distinct values of lost.
 
-    Scores are character-set Jaccards, with equal-in-any-case first and the smallest value on ties.  Candidates
-    share at least one character: both sides are exploded to their distinct characters, so no cross join is
-    needed; values without a candidate get the smallest reference value with score 0.
+    Values equal in any case come first (score 2), then the best character-set Jaccard; the smallest value on
+    ties, and with score 0 where none shares a character.  Scores hang on the sets of characters alone, so the
+    join is one of distinct sets: values of digits have at most 1023 of them, however many values there are.
     """
-    chars = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), ""), lambda x: x != ""))
+    chars = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), ""), lambda x: x != "")))
     a = lost.select(F.col(attr).cast("string").alias("value")).where("value is not null").distinct()
     b = ref.select(F.col(ref_attr).cast("string").alias("nearest")).where("nearest is not null").distinct()
-    x = a.select("value", F.size(chars(F.col("value"))).alias("nx"), F.explode(chars(F.col("value"))).alias("ch"))
-    y = b.select("nearest", F.size(chars(F.col("nearest"))).alias("ny"), F.explode(chars(F.col("nearest"))).alias("ch"))
-    y = F.broadcast(y) if y.count() <= most else y
-    both = x.join(y, "ch").groupBy("value", "nearest", "nx", "ny").agg(F.count("*").alias("m"))
-    score = F.when(F.lower(strip(F.col("value"))) == F.lower("nearest"), 2.0).otherwise(F.col("m") / (F.col("nx") + F.col("ny") - F.col("m")))
-    best = both.groupBy("value").agg(F.min(F.struct((-score).alias("s"), "nearest")).alias("best"))
-    smallest = b.agg(F.min("nearest")).first()[0]
-    out = a.join(best, "value", "left")
-    return out.select("value", F.coalesce(F.col("best.nearest"), F.lit(smallest)).alias("nearest"), F.round(F.coalesce(-F.col("best.s"), F.lit(0.0)), 6).alias("score"))
+    same = b.groupBy(F.lower("nearest").alias("_low")).agg(F.min("nearest").alias("_same"))
+    a = a.select("value", F.concat_ws("", chars(F.col("value"))).alias("x")).join(same, F.lower(strip(F.col("value"))) == F.col("_low"), "left").select("value", "x", "_same")
+    x = a.where("_same is null").select("x").distinct()
+    y = shared_table(b.groupBy(F.concat_ws("", chars(F.col("nearest"))).alias("y")).agg(F.min("nearest").alias("nearest")), "nearest-sets")
+    letters = lambda df, c: df.select("*", F.explode(F.split(F.col(c), "")).alias("ch")).where("ch <> ''")
+    common = letters(x, "x").join(letters(y, "y"), "ch").groupBy("x", "y", "nearest").agg(F.count("*").alias("m"))
+    score = F.col("m") / (F.length("x") + F.length("y") - F.col("m"))
+    best = common.groupBy("x").agg(F.min(F.struct((-score).alias("s"), "nearest")).alias("best"))
+    smallest = y.agg(F.min("nearest")).first()[0]
+    out = a.join(best, "x", "left")
+    return out.select("value", F.coalesce("_same", F.col("best.nearest"), F.lit(smallest)).alias("nearest"), F.round(F.when(F.col("_same").isNotNull(), 2.0).otherwise(F.coalesce(-F.col("best.s"), F.lit(0.0))), 6).alias("score"))
+
+
+def foreign_key_with_fix(df: DataFrame, table: str, attr: str, ref: DataFrame, ref_attr: str, tuple_id: str = "tuple_id") -> DataFrame:
+    """foreign_key, with the nearest value of the referred table as the suggestion."""
+    out = foreign_key(df, table, attr, ref, ref_attr, tuple_id=tuple_id, fix=F.col(attr).cast("string"))  # the lost value, until the nearest is known
+    near = nearest_reference(out.select("suggested_fix"), "suggested_fix", ref, ref_attr).select(F.col("value").alias("_v"), F.col("nearest").alias("_n"))
+    return out.join(near, F.col("suggested_fix") == F.col("_v"), "left").withColumn("suggested_fix", F.col("_n")).select(*OUT)
 
 
 TOTAL_WORDS, AVERAGE_WORDS = ("总计", "total", "合计", "sum"), ("平均", "average", "avg", "均值")
@@ -115,9 +136,9 @@ def summary_rows(df: DataFrame, table: str, cells: Sequence[str], average: bool
     words = AVERAGE_WORDS if average else TOTAL_WORDS
     marked = F.exists(F.array(*(F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) for c in cells)), lambda x: _any_word(x, words))
     nums = df.select(tuple_id, marked.alias("_m"), *(V.to_number(F.col(c).cast("string"), spaces=True).alias(c) for c in cells))
-    sums = nums.agg(*(x for c in cells for x in (F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}")))).first().asDict()
+    sums = nums.agg(F.count_if("_m").alias("_marked"), *(x for c in cells for x in (F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}")))).first().asDict()
     found = []
-    for c in cells:
+    for c in cells if sums["_marked"] else ():
         others = F.lit(float(sums[f"s_{c}"] or 0.0)) - F.col(c)
         n = int(sums[f"n_{c}"] or 0) - 1
         if n <= 0:
@@ -139,15 +160,26 @@ def _any_word(c: Column, words: Sequence[str]) -> Column:
 
 
 def group_limit(df: DataFrame, table: str, group: str, most: int, rule: str = "agg_2", severity: str = "error", distinct: str | None = None, members: bool = True, tuple_id: str = "tuple_id") -> DataFrame:
-    """Groups of more than most rows (or distinct values), with the members where asked for."""
+    """Groups of more than most rows (or distinct values), with the members where asked for.
+
+    A list of over LISTED members would not fit a row: such a group's is null, and group_members has its rows.
+    """
     some = df.where(~is_blank(F.col(group).cast("string")))
     n = F.countDistinct(distinct) if distinct else F.count("*")
-    over = some.groupBy(group).agg(n.alias("_n")).where(F.col("_n") > most)
+    over = some.groupBy(group).agg(n.alias("_n"), F.count("*").alias("_rows")).where(F.col("_n") > most)
     if members:  # gathers only groups that are reported
-        over = some.join(over, group).groupBy(group, "_n").agg(F.array_sort(F.collect_list(F.col(tuple_id).cast("string"))).alias("_ids"))
+        listed = some.join(over.where(F.col("_rows") <= LISTED), group).groupBy(group).agg(F.array_sort(F.collect_list(F.col(tuple_id).cast("string"))).alias("_ids"))
+        over = over.join(listed, group, "left")
     return violations(over, table, F.concat(F.lit("AGGREGATION_"), F.col(group).cast("string")), group, "AGGREGATION", "AGGREGATION_GROUP_LIMIT", severity, F.concat(F.col("_n").cast("string"), F.lit(f" > {most}")), rule=rule, members=F.col("_ids") if members else None)
 
 
+def group_members(df: DataFrame, found: DataFrame, group: str, tuple_id: str = "tuple_id") -> DataFrame:
+    """(violation's tuple_id, member) for groups that group_limit reported, as rows and so of any size."""
+    at = found.select(F.col("tuple_id").alias("_g")).distinct()
+    rows = df.select(F.concat(F.lit("AGGREGATION_"), F.col(group).cast("string")).alias("_g"), F.col(tuple_id).cast("string").alias("member"))
+    return rows.join(at, "_g").select(F.col("_g").alias("tuple_id"), "member")
+
+
 def join_limit(df: DataFrame, table: str, group: str, fk: str, ref: DataFrame, ref_key: str, amount: str, most: float, rule: str = "agg_1", severity: str = "error") -> DataFrame:
     """Sum of a joined amount per group over a limit (such as credits of a student's courses)."""
     prices = ref.select(F.col(ref_key).alias("_k"), F.col(amount).cast("double").alias("_a"))
@@ -253,31 +285,33 @@ def format_report(tables: dict[str, DataFrame], field: str) -> DataFrame:
     return shared_values(tables, field).groupBy("tbl", V.string_pattern(F.col("value")).alias("pattern")).agg(F.sum("n").alias("n"))
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, gram: int = 3) -> DataFrame:
+def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b) similar entity names; left and right: column value.
 
-    Candidates share a gram of their suffix-free lower-cased form, or one is so short that it is a gram itself;
-    the exact test follows.  Blocking keeps the join from being all with all.
+    Each rule has an equi-join that is complete for it: equal cores, containment of names and of cores by the
+    rarest gram of the held one, few edits by rare 2-grams.  The exact test follows.
     """
+    named = lambda df: df.where(~is_blank(F.col("value"))).select("value", strip(F.col("value")).alias("full"), strip(V._without(strip(F.col("value")), V.ENTITY_SUFFIXES)).alias("core")).distinct()
+    x, y = named(left), named(right)
 
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("value").alias(name)).where(~is_blank(F.col(name))).distinct().select(name, F.explode(_keys(F.col(name), gram)).alias("g"))
+    def by(form: str, pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """Pairs of forms as pairs of values."""
+        return pairs.select(F.col(a).alias("_a"), F.col(b).alias("_b")).join(x.select(F.col(form).alias("_a"), F.col("value").alias("a")), "_a").join(y.select(F.col(form).alias("_b"), F.col("value").alias("b")), "_b").select("a", "b")
 
-    a, b = grams(left, "a"), grams(right, "b")
-    near = a.join(b, "g").where("a <> b").select("a", "b").distinct()
+    found = []
+    for form, gram in (("full", 3), ("core", 2)):
+        p, q = (d.select(F.col(form).alias("value")).where("value <> ''").distinct() for d in (x, y))
+        found += [by(form, containing(p, q, gram), "longer", "shorter"), by(form, containing(q, p, gram), "shorter", "longer")]
+    found.append(by("full", few_edits(*(d.select(F.col("full").alias("value")).distinct() for d in (x, y))), "a", "b"))
+    near = reduce(DataFrame.union, found).where("a <> b").distinct()
     return near.where(V.similar_entities(F.col("a"), F.col("b")))
 
 
-def _keys(c: Column, gram: int) -> Column:
-    core = F.lower(strip(V._without(strip(c), V.ENTITY_SUFFIXES)))
-    full = F.lower(strip(c))
-    cut = lambda x, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - n + 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))
-    return F.array_distinct(F.concat(cut(full, gram), cut(core, 2)))
-
-
-def entity_consistency(tables: dict[str, DataFrame], field: str, tuple_id: str = "tuple_id") -> DataFrame:
+def entity_consistency(tables: dict[str, DataFrame], field: str, tuple_id: str = "tuple_id", only: str | None = None) -> DataFrame:
     """Values of a shared field that are similar to another one but not the longest form of their group.
 
+    only: the table whose violations are asked for.
+
     Groups are stars: a value belongs to the longest (then smallest) value similar to it.
     """
     values = shared_values(tables, field).select("value").distinct()
@@ -286,7 +320,7 @@ def entity_consistency(tables: dict[str, DataFrame], field: str, tuple_id: str =
     canon = better.groupBy("a").agg(F.min_by("b", F.struct((-F.length("b")).alias("n"), "b")).alias("canon"))
     out = None
     for name, df in tables.items():
-        if field in df.columns:
+        if field in df.columns and only in (None, name):
             hit = df.join(canon, F.col(field).cast("string") == F.col("a"))
             one = violations(hit, name, F.col(tuple_id), field, "VALUE", "VALUE_ENTITY", "warn", "another spelling of the same entity", F.col("canon"))
             out = one if out is None else out.unionByName(one)

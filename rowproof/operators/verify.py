@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import violation_id
 from ..plans.routing import FAMILIES, route
-from ..plans.schema import Schema
+from ..plans.schema import Attr, Rule, Schema
 from . import setchecks as S
 from .checks import VIOLATION, null_suggestion, row_checks
 
@@ -30,27 +30,59 @@ def apply_checks(df: DataFrame, table: str, checks: list, tuple_id: str = "tuple
 
 def verify(df: DataFrame, schema: Schema, table: str, tables: dict[str, DataFrame] | None = None, families: list[str] | None = None, as_of: dt.date = dt.date(2024, 1, 1), strict: bool = False, formats: dict[str, str] | None = None, order: str = "_seq") -> DataFrame:
     """Violations of one table, with ids, before de-duplication.  tables: others, for references and joins."""
-    t, families = schema.table(table), families or route(schema, table)
+    t, routed = schema.table(table), families is None
+    families = families or route(schema, table, formats)
     tables = tables or {}
+    here = {a.name: a for a in t.attrs if a.name in df.columns}
     parts = [apply_checks(df, table, row_checks(schema, table, as_of, families, strict, formats))]
     if "VALUE" in families:
-        parts += [S.inferred_missing(df, table, a.name, null_suggestion(a)) for a in t.attrs if a.is_numeric and a.name in df.columns]
+        parts.append(S.inferred_missing_all(df, table, {n: null_suggestion(a) for n, a in here.items() if a.is_numeric}))
+        for f, ts in schema.shared_fields().items():  # spellings of entities that other tables name as well
+            if table in ts and f in here and _is_name(here[f]) and any(n in tables and f in tables[n].columns for n in ts if n != table):
+                parts.append(S.entity_consistency({n: d for n, d in ({**tables, table: df}).items() if n in ts}, f, only=table))
     if "STRUCTURE" in families:
         parts += [S.duplicates(df, table, a.name) for a in t.attrs if a.get("unique") and a.name in df.columns]
         if t.primary_key and set(t.primary_key) <= set(df.columns):
             parts.append(S.duplicate_keys(df, table, t.primary_key, order))
+    if "TEMPORAL" in families:
+        dated = next((n for n, a in here.items() if a.is_temporal), None)
+        if dated and order in df.columns:
+            parts.append(S.sequence_gaps(df, table, dated, order))
     if "REFERENCE" in families:
         for a in t.attrs:
             fk = schema.foreign_key(table, a.name)
             if fk and fk[0] in tables and a.name in df.columns:
-                parts.append(S.foreign_key(df, table, a.name, tables[fk[0]], fk[1]))
+                parts.append(S.foreign_key_with_fix(df, table, a.name, tables[fk[0]], fk[1]))
     if "AGGREGATION" in families:
         for r in schema.rules_for(table, "aggregation"):
-            if {"group_by", "max"} <= r.logic.keys() and r.logic["group_by"] in df.columns:
-                parts.append(S.group_limit(df, table, r.logic["group_by"], r.logic["max"], r.id, r.severity))
+            parts += _aggregation_rule(df, schema, table, r, tables)
+    if here and ("AGGREGATION" in families or routed and any(a.is_numeric for a in t.attrs)):
+        parts += [S.summary_rows(df, table, list(here), average) for average in (False, True)]
     return with_ids(reduce(DataFrame.unionByName, parts))
 
 
+def _is_name(a: Attr) -> bool:
+    """A text that may name an entity: neither a number nor a date nor a key."""
+    return not (a.is_numeric or a.is_temporal or a.kind in ("boolean", "bool", "integer", "float", "number", "decimal") or a.get("primary_key") or a.get("foreign_key"))
+
+
+def _aggregation_rule(df: DataFrame, schema: Schema, table: str, r: Rule, tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """A declared limit of rows a group, or of an amount summed over a join, if the tables for it are there."""
+    group, most = r.logic.get("group_by"), r.logic.get("max", r.logic.get("max_value"))
+    if group not in df.columns or most is None:
+        return []
+    amount, join = r.logic.get("aggregate_field"), r.logic.get("join_field")
+    if r.logic.get("aggregation_type") != "sum" and not amount:
+        return [S.group_limit(df, table, group, most, r.id, r.severity)]
+    # the amount stands in the table that the join field refers to, else in the first that has both fields
+    fk = schema.foreign_key(table, join)
+    near = [(fk[0], fk[1])] if fk else [(n, join) for n in (r.tables or tables) if n != table]
+    for name, key in near:
+        if join in df.columns and name in tables and {key, amount} <= set(tables[name].columns):
+            return [S.join_limit(df, table, group, join, tables[name], key, amount, most, r.id, r.severity)]
+    return []
+
+
 def verify_basic(df: DataFrame, schema: Schema, table: str, as_of: dt.date = dt.date(2024, 1, 1)) -> DataFrame:
     """Format and type only, as run right after an extraction."""
     return with_ids(apply_checks(df, table, row_checks(schema, table, as_of, ["FORMAT", "TYPE"])))
@@ -66,6 +98,10 @@ def verify_multi(tables: dict[str, DataFrame], schema: Schema, child_to_parent:
         if a in tables and b in tables and f in tables[a].columns and g in tables[b].columns:
             parts.append(S.relation(tables[a], a, f, tables[b], g, r.nullable))
     parts += [S.type_consistency({n: tables[n] for n in ts if n in tables and f in tables[n].columns}, f) for f, ts in schema.shared_fields().items() if any(n in tables and f in tables[n].columns for n in ts)]
+    for f, ts in schema.shared_fields().items():
+        own = {n: tables[n] for n in ts if n in tables and f in tables[n].columns and _is_name(schema.table(n).attr(f))}
+        if len(own) > 1:
+            parts.append(S.entity_consistency(own, f))
     for r in schema.rules:
         fields = r.logic.get("fields") or ()
         if r.enabled and r.type == "graph" and len(fields) == 2 and r.tables and r.tables[0] in tables:

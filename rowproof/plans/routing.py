@@ -9,13 +9,14 @@ MANDATORY = ("TYPE", "STRUCTURE")
 BASIC = ("FORMAT", "TYPE")
 
 
-def route(schema: Schema, table: str) -> list[str]:
+def route(schema: Schema, table: str, formats: dict[str, str] | None = None) -> list[str]:
+    """formats: patterns of a rule file, by attribute."""
     t = schema.table(table)
     any_of = lambda *keys: any(a.get(k) for a in t.attrs for k in keys)
     needed = set(MANDATORY)
     if any(a.is_numeric for a in t.attrs) or any_of("min", "max", "domain", "enum", "constraints"):
         needed.add("VALUE")
-    if any_of("pattern"):
+    if any_of("pattern") or any(t.attr(a) for a in formats or ()):
         needed.add("FORMAT")
     if any_of("business_rules") or schema.rules_for(table, "logic"):
         needed.add("LOGIC")

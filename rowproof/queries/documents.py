@@ -16,7 +16,7 @@ def doc_word_estimate(spark, d):
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'zh' ELSE 'en' END AS language FROM documents")
 def doc_language(spark, d):
-    text = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("本文介绍数据"), F.substring("text", 1, 20))).otherwise(F.col("text"))
+    text = F.when(F.col("doc_id") % 4 == 0, F.concat(F.repeat(F.lit("本文介绍数据"), F.length("text")), "text")).otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", V.language(text).alias("language"))
 
 

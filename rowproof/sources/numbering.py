@@ -1,23 +1,42 @@
-"""Global row numbers without a single-task window, and spreading of inputs with few partitions."""
+"""Global row numbers and running totals without a single-task window, and spreading of inputs with few partitions."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import shared_table
 
-def with_row_number(df: DataFrame, order: str, name: str = "_row", buckets: int = 1024) -> DataFrame:
-    """Numbers rows from 0 in the order of a numeric column (ties: by the whole row).
 
-    The column's range is cut into equal buckets; bucket counts (at most that many rows) give each bucket's
-    offset, and a window numbers the rows inside a bucket.
+def _in_order(df: DataFrame, order: str) -> DataFrame:
+    """df with _p, the number of its range partition, and _h, which breaks ties, as a written table.
+
+    Ranges come from a sample of (order, hash of the row), so equal values are split as well; nulls come first.
     """
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    width = ((hi - lo) / buckets if hi is not None and hi > lo else 1) or 1
-    bucket = F.least(F.lit(buckets - 1), F.floor((F.col(order) - F.lit(lo)) / F.lit(width))).cast("int") if lo is not None else F.lit(0)
-    rows = df.withColumn("_b", F.coalesce(bucket, F.lit(-1)))
-    counts = rows.groupBy("_b").count()
-    before = counts.withColumn("_off", F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("_b").orderBy(F.col(order).asc_nulls_first(), F.xxhash64(*df.columns))
-    return rows.join(F.broadcast(before.select("_b", "_off")), "_b").withColumn(name, F.row_number().over(w) - 1 + F.col("_off")).drop("_b", "_off")
+    rows = df.withColumn("_h", F.xxhash64(*df.columns))
+    return shared_table(rows.repartitionByRange(F.col(order).asc_nulls_first(), "_h").withColumn("_p", F.spark_partition_id()), "in-order")
+
+
+def _window(order: str):
+    return Window.partitionBy("_p").orderBy(F.col(order).asc_nulls_first(), "_h")
+
+
+def _with_offsets(rows: DataFrame, value: Column) -> DataFrame:
+    """Adds _off: the sum of value over earlier partitions; one row a partition goes through the window."""
+    sums = rows.groupBy("_p").agg(F.sum(value).alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.join(F.broadcast(sums.select("_p", F.coalesce(before, F.lit(0)).alias("_off"))), "_p")
+
+
+def with_row_number(df: DataFrame, order: str, name: str = "_row") -> DataFrame:
+    """Numbers rows from 0 in the order of a column of any type (ties: by the whole row)."""
+    rows = _with_offsets(_in_order(df, order), F.lit(1))
+    return rows.withColumn(name, F.row_number().over(_window(order)) - 1 + F.col("_off")).drop("_p", "_h", "_off")
+
+
+def with_running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of value over all earlier rows in the order of a column."""
+    rows = _with_offsets(_in_order(df, order), F.coalesce(F.col(value), F.lit(0)))
+    inside = F.coalesce(F.sum(value).over(_window(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn(name, inside + F.col("_off")).drop("_p", "_h", "_off")
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame
 
 
 def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df under spark.checkpoint.dir (a local folder only where that is unset) and reads it again."""
+    """Writes df under spark.checkpoint.dir (in local mode a temporary folder where that is unset) and reads it again."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="rowproof-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/rowproof/{name}-{uuid.uuid4().hex}"
