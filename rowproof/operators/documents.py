@@ -12,6 +12,7 @@ from ..functions.empties import strip
 from ..functions.values import word_estimate
 from ..sources.numbering import with_row_number, with_running_total
 from .matching import containing
+from .merge import number_batches
 
 # Sizes of chunks and batches.
 CHUNK, OVERLAP, BATCH_WORDS, BATCH_CHARS, LOCATE_WORDS = 100_000, 500, 50_000, 100_000, 30_000
@@ -248,6 +249,20 @@ def map_extract(docs: DataFrame, extract, schema: str) -> DataFrame:
     return docs.mapInPandas(run, schema)
 
 
+def map_relations(anchors: DataFrame, key: str, extract, schema: str, size: int = 20) -> DataFrame:
+    """Runs an injected relation extractor on anchored batches: a pandas frame of size anchors (or fewer) at a time.
+
+    anchors: rows of entities with the texts that go with them; key puts them in order.  Every call sees one
+    batch whole, in order, with its number in the column batch.
+    """
+    numbered = number_batches(anchors, key, size)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        return extract(part.sort_values(key).reset_index(drop=True))
+
+    return numbered.groupBy("batch").applyInPandas(run, schema)
+
+
 def split_long(docs: DataFrame, id_col: str, text_col: str = "text", words: int = BATCH_WORDS, chars: int = BATCH_CHARS) -> DataFrame:
     """id, part, text: documents over a limit in parts of whole paragraphs, others as they are."""
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -55,5 +55,5 @@ def few_edits(values: DataFrame, others: DataFrame, share: float = 0.1, least: i
     keys = ranked.select("value", F.explode(F.slice("gs", F.lit(1), (2 * edits + 1).cast("int"))).alias("x")).select("value", F.col("x.g").alias("g"))
     a, b = keys.select(F.col("value").alias("a"), "g"), keys.select(F.col("value").alias("b"), "g")
     near = a.join(b, "g").where("a <> b").select("a", "b").distinct()
-    near = near.where(F.levenshtein("a", "b") < share * F.greatest(F.length("a"), F.length("b")) + 1e-9)
+    near = near.where(F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")) < share)
     return near.join(values.select(F.col("value").alias("a")).distinct(), "a", "left_semi").join(others.select(F.col("value").alias("b")).distinct(), "b", "left_semi")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,14 +25,18 @@ def cells(df: DataFrame, names: Sequence[str], tuple_id: str = "tuple_id") -> Da
     return df.select(F.col(tuple_id).cast("string").alias("tuple_id"), F.explode(pairs).alias("c")).select("tuple_id", "c.attr", "c.value")
 
 
-def suggest(v: DataFrame, rows: DataFrame, names: Sequence[str]) -> DataFrame:
+def suggest(v: DataFrame, rows: DataFrame, names: Sequence[str], normalisers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """A fix for every violation whose suggestion may be applied to its cell.
 
+    Formats, logic and aggregations of an attribute with a normaliser take the cell's normal form first.
+
     Defaults fill only empty cells; missing values are not mapped to a domain; sequence gaps are left alone;
     other fixes need a changed, valid value.
     """
-    at = v.where("suggested_fix is not null").join(cells(rows, names), ["tuple_id", "attr"])
     kind = F.col("constraint_type")
+    at = v.join(cells(rows, names), ["tuple_id", "attr"])
+    normal = [F.when(kind.isin("FORMAT", "LOGIC", "AGGREGATION") & (F.col("attr") == a), f(F.col("value"))) for a, f in (normalisers or {}).items()]
+    at = at.withColumn("suggested_fix", F.coalesce(*normal, "suggested_fix")).where("suggested_fix is not null")
     new = F.col("suggested_fix")
     may = (
         F.when(F.col("rule_code") == "TEMPORAL_GAP", False)
@@ -94,6 +99,21 @@ def safe_delete(rows: DataFrame, key: Sequence[str], names: Sequence[str], tuple
     return rows.join(lost, tuple_id, "left_anti")
 
 
+def delete_fixes(v: DataFrame, rows: DataFrame, key: Sequence[str], names: Sequence[str], tuple_id: str = "tuple_id", order: str = "_seq") -> DataFrame:
+    """Deletions as fixes: rows that repeat a key and are identical to, or a strict subset of, another row of it."""
+    hit = v.where("rule_code = 'STRUCTURE_KEY_DUPLICATE'").select(F.col("tbl"), F.col("tuple_id").alias("_t")).distinct()
+    lost = dominated(rows, names, tuple_id, order, within=key).select(F.col(tuple_id).cast("string").alias("_t"))
+    # of a key's rows the first one is not reported itself, though it may be the poorer one
+    same = [F.col(k).cast("string").alias(f"_k{i}") for i, k in enumerate(key)]
+    keyed = rows.select(F.col(tuple_id).cast("string").alias("_t"), F.col(key[0]).cast("string").alias("old"), *same)
+    keys = keyed.join(hit, "_t").select("tbl", *(f"_k{i}" for i in range(len(key)))).distinct()
+    out = keyed.join(lost, "_t", "left_semi").join(keys, [f"_k{i}" for i in range(len(key))])
+    return out.select(
+        fix_id(F.col("tbl"), F.col("_t"), F.lit(key[0]), F.lit("safe_delete"), F.col("old")).alias("id"), "tbl", F.col("_t").alias("tuple_id"), F.lit(key[0]).alias("attr"), "old", F.lit(DELETED).alias("new"),
+        F.lit("safe_delete").alias("fix_type"), F.lit("StructureFixer.v1").alias("applied_by"), F.lit(True).alias("fix_success"), F.lit(None).cast("string").alias("failure_reason"), F.lit(False).alias("needs_manual_review"), F.lit(99).cast("long").alias("ord"),
+    )
+
+
 def keep_dominant(rows: DataFrame, key: Sequence[str], names: Sequence[str], order: str = "_seq") -> DataFrame:
     """Of the rows of a key the one with most filled cells stays; ties: the first."""
     full = sum((F.when(~is_blank(F.col(n).cast("string")), 1).otherwise(0) for n in names), F.lit(0))
@@ -107,10 +127,15 @@ def mark_unfixed(v: DataFrame, fixes: DataFrame) -> DataFrame:
     return v.join(done, ["tuple_id", "attr"], "left").withColumn("fixable", F.coalesce("fixable", F.lit(False)))
 
 
-def repair_loop(rows: DataFrame, check: Callable[[DataFrame], DataFrame], names: Sequence[str], written: Callable[[DataFrame, str], DataFrame], most: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repair_loop(
+    rows: DataFrame, check: Callable[[DataFrame], DataFrame], names: Sequence[str], written: Callable[[DataFrame, str], DataFrame], most: int = 3,
+    normalisers: dict[str, Callable[[Column], Column]] | None = None, key: Sequence[str] | None = None, history: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verify and fix in turn: (rows, violations left, all fixes with their round).
 
-    Stops when nothing is violated, nothing could be fixed, or only warnings are left after a fix.  written
+    normalisers: normal forms by attribute; if a format of the attribute is violated, every row gets its normal
+    form.  key: rows that repeat it and say nothing of their own are deleted.  history: earlier fixes (tuple_id,
+    attr); a cell that a fix touched is not tried again for its logic.  Stops when nothing is violated, nothing could be fixed, or only warnings are left after a fix.  written
     stores a round's table where all executors can read it, which also cuts the lineage.
     """
     every = None
@@ -120,11 +145,24 @@ def repair_loop(rows: DataFrame, check: Callable[[DataFrame], DataFrame], names:
             break
         if every is not None and not found.where("severity = 'error'").head(1):
             break
-        fixes = written(suggest(for_tools(found), rows, names).withColumn("round", F.lit(n)), f"fixes-{n}")
+        tries = for_tools(found)
+        past = [h.select("tuple_id", "attr") for h in (history, every) if h is not None]
+        if past:
+            logic = F.col("constraint_type") == "LOGIC"
+            tries = tries.where(~logic).unionByName(not_yet_fixed(tries.where(logic), reduce(DataFrame.union, past)).select(tries.columns))
+        fixes = suggest(tries, rows, names, normalisers)
+        if key:
+            fixes = fixes.unionByName(delete_fixes(found, rows, key, names))
+        fixes = written(fixes.withColumn("round", F.lit(n)), f"fixes-{n}")
         if not fixes.head(1):
             break
         every = fixes if every is None else every.unionByName(fixes)
-        rows = written(apply_fixes(rows, fixes, names), f"rows-{n}")
+        rows = apply_fixes(rows, fixes, names)
+        if normalisers:
+            bad = {r["attr"] for r in found.where("constraint_type = 'FORMAT'").select("attr").distinct().collect()}  # attributes of the schema
+            for attr in sorted(bad & normalisers.keys()):
+                rows = normalise_column(rows, attr, normalisers[attr])
+        rows = written(rows, f"rows-{n}")
     left = categorise(dedup(check(rows)))
     if every is None:
         every = suggest(left, rows, names).withColumn("round", F.lit(0)).limit(0)

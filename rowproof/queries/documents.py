@@ -48,12 +48,25 @@ def doc_segment_source(spark, d):
     return D.segment_source(seg, bounds.withColumnRenamed("source", "src"), "src").select("src", "seg", "start", F.col("source").alias("document"))
 
 
-@query()
+# a chunk ends after the last blank line past its middle, else after the last sentence end there, else at its size
+_PART = "substr(text, start + 1, 2000)"
+_BLANK = f"(CASE WHEN instr(reverse({_PART}), chr(10) || chr(10)) > 0 THEN 2000 - instr(reverse({_PART}), chr(10) || chr(10)) - 1 ELSE -1 END)"
+_STOP = f"CASE WHEN length(text) <= start + 2000 THEN length(text) WHEN {_BLANK} > 1000 THEN start + {_BLANK} + 2 WHEN 1999 - length(regexp_extract({_PART}, '[^。！？.!?]*$')) > 1000 THEN start + 2000 - length(regexp_extract({_PART}, '[^。！？.!?]*$')) ELSE start + 2000 END"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS idx, CAST(0 AS BIGINT) AS start, CAST({_STOP.replace('start', '0')} AS BIGINT) AS stop FROM documents
+UNION ALL SELECT doc_id, text, idx, start, CAST({_STOP} AS BIGINT) FROM (SELECT doc_id, text, idx + 1 AS idx, stop - 100 AS start FROM c WHERE stop < length(text)) n)
+SELECT doc_id, CAST(idx AS INT) AS idx, CAST(start AS INT) AS start, CAST(stop AS INT) AS stop, substr(text, start + 1, stop - start) AS chunk FROM c""")
 def doc_chunk(spark, d):
     return D.chunks(table(spark, d, "documents"), "doc_id", size=2000, overlap=100)
 
 
-@query()
+_FITS = "NOT ((b.w > 0 OR b.c > 0) AND (b.w + d.w > 5000 OR b.c + d.c > 20000))"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, CAST(len(regexp_extract_all(text, '[a-zA-Z]+')) AS BIGINT) AS w, CAST(length(text) AS BIGINT) AS c FROM documents),
+b AS (SELECT doc_id, r, w, c, CAST(1 AS BIGINT) AS batch FROM d WHERE r = 1 UNION ALL
+SELECT d.doc_id, d.r, CASE WHEN {_FITS} THEN b.w ELSE 0 END + d.w, CASE WHEN {_FITS} THEN b.c ELSE 0 END + d.c, b.batch + CASE WHEN {_FITS} THEN 0 ELSE 1 END FROM b JOIN d ON d.r = b.r + 1) SELECT doc_id, batch FROM b""")
 def doc_batch(spark, d):
     return D.batches(table(spark, d, "documents"), "doc_id", "doc_id", words=5000, chars=20000)
 

@@ -84,7 +84,8 @@ def repair_defaults(spark, d):
     return P.fill_defaults(orders(spark, d), {"o_orderstatus": "P"}).select("tuple_id", "o_orderstatus")
 
 
-@query()
+@query("""SELECT 'o_open' AS attr, 'TYPE_BOOLEAN' AS rule_code, count(*) AS n FROM {ORD} t WHERE o_open = 'maybe' HAVING count(*) > 0
+UNION ALL SELECT 'o_totalprice', 'VALUE_MISSING_INFERRED', count(*) FROM {ORD} t WHERE o_totalprice IS NULL HAVING count(*) > 0""")
 def repair_loop(spark, d):
     """Verify and fix orders' status until nothing tool-fixable is left: the violations that remain."""
     from ..plans.schema import parse_schema

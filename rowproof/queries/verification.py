@@ -345,22 +345,40 @@ def similar_entities(spark, d):
     return S.similar_pairs(v, v)
 
 
+_DATE = "TRY_CAST(replace(o_orderdate, '/', '-') AS DATE)"
+_NEAREST = f"""SELECT value, arg_min(r, (-s, r)) AS fix FROM (SELECT value, r, {JAC} AS s FROM (SELECT DISTINCT o_custkey AS value FROM {{ORD}} t WHERE o_custkey NOT IN (SELECT CAST(c_custkey AS STRING) FROM customer)) a, (SELECT CAST(c_custkey AS STRING) AS r FROM customer) b) q GROUP BY value"""
+_TYPES = rf"""SELECT tuple_id, 'o_totalprice' AS attr, 'TYPE_FLOAT' AS rule_code, 'warn' AS severity, {KEPT.format('o_totalprice')} AS fix, 'TYPE' AS kind FROM {{ORD}} t WHERE o_totalprice IS NOT NULL AND NOT regexp_matches({PRICE}, {NUM})
+UNION ALL SELECT tuple_id, 'o_items', 'TYPE_INTEGER', 'warn', {KEPT.format('o_items')}, 'TYPE' FROM {{ORD}} t WHERE NOT regexp_matches(o_items, '^[+-]?[0-9]+$')
+UNION ALL SELECT tuple_id, 'o_open', 'TYPE_BOOLEAN', 'warn', o_open, 'TYPE' FROM {{ORD}} t WHERE lower(o_open) NOT IN ('true','false','1','0','yes','no','y','n','on','off')
+UNION ALL SELECT tuple_id, 'o_orderdate', 'TYPE_DATE', 'warn', o_orderdate, 'TYPE' FROM {{ORD}} t WHERE o_orderdate = 'soon'"""
+_ALL = rf"""{_TYPES}
+UNION ALL SELECT tuple_id, 'o_orderstatus', 'STRUCTURE_NOT_NULL', 'error', '待处理', 'STRUCTURE' FROM {{ORD}} t WHERE o_orderstatus IS NULL OR trim(o_orderstatus) = ''
+UNION ALL SELECT tuple_id, 'o_orderstatus', 'VALUE_DOMAIN', 'warn', CASE WHEN upper(trim(o_orderstatus)) IN ('F', 'O', 'P') THEN upper(trim(o_orderstatus)) ELSE 'P' END, 'VALUE' FROM {{ORD}} t WHERE trim(o_orderstatus) <> '' AND trim(o_orderstatus) NOT IN ('F', 'O', 'P')
+UNION ALL SELECT tuple_id, 'o_totalprice', 'VALUE_MISSING_INFERRED', 'error', '0', 'VALUE' FROM {{ORD}} t WHERE o_totalprice IS NULL
+UNION ALL SELECT tuple_id, 'o_totalprice', 'VALUE_RANGE', 'warn', CASE WHEN p < 0 THEN '0' ELSE '450000' END, 'VALUE' FROM (SELECT tuple_id, TRY_CAST({PRICE} AS DOUBLE) AS p FROM {{ORD}} t) q WHERE p < 0 OR p > 450000
+UNION ALL SELECT tuple_id, 'o_orderdate', 'TEMPORAL_PARSE', 'warn', o_orderdate, 'TEMPORAL' FROM {{ORD}} t WHERE {_DATE} IS NULL
+UNION ALL SELECT tuple_id, 'o_orderdate', CASE WHEN dd > DATE '2001-01-01' THEN 'TEMPORAL_FUTURE' WHEN dd > DATE '2000-06-30' THEN 'TEMPORAL_MAX_DATE' ELSE 'TEMPORAL_MIN_DATE' END, 'warn',
+ CASE WHEN dd > DATE '2001-01-01' THEN '2001-01-01' WHEN dd > DATE '2000-06-30' THEN '2000-06-30' ELSE '1995-01-01' END, 'TEMPORAL' FROM (SELECT tuple_id, {_DATE} AS dd FROM {{ORD}} t) q WHERE dd > DATE '2000-06-30' OR dd < DATE '1995-01-01'
+UNION ALL SELECT tuple_id, 'o_custkey', 'REFERENCE_FOREIGN_KEY', 'error', fix, 'REFERENCE' FROM {{ORD}} t JOIN ({_NEAREST}) n ON o_custkey = value"""
+_ID = "'v-' || substr(md5('orders:' || tuple_id || ':' || attr || ':' || lower(kind)), 1, 8)"
+
+
 def _violations(spark, d):
     return R.verify(orders(spark, d), ORDERS, "orders", {"customer": table(spark, d, "customer")}, as_of=AS_OF)
 
 
-@query()
+@query(f"SELECT {_ID} AS id, 'orders' AS tbl, tuple_id, attr, rule_code, severity, fix AS suggested_fix, kind AS constraint_type, 'tool_fixable' AS processing_category FROM ({_ALL}) v")
 def verify_table(spark, d):
     """Everything the schema declares on orders, as rows."""
     return R.categorise(R.dedup(R.normalise(_violations(spark, d)))).select("id", "tbl", *V_COLS, "constraint_type", "processing_category")
 
 
-@query()
+@query(f"SELECT {_ID} AS id, tuple_id, attr, rule_code, severity, fix AS suggested_fix FROM ({_TYPES}) v")
 def verify_basic(spark, d):
     return R.verify_basic(orders(spark, d), ORDERS, "orders", AS_OF).select("id", *V_COLS)
 
 
-@query()
+@query(f"SELECT {_ID} AS id, 'orders' AS tbl, tuple_id, attr, rule_code FROM (SELECT tuple_id, 'o_custkey' AS attr, 'REFERENCE_RELATION' AS rule_code, 'REFERENCE' AS kind FROM {{ORD}} t WHERE o_custkey NOT IN (SELECT CAST(c_custkey AS STRING) FROM customer)) v")
 def verify_multi_table(spark, d):
     return R.verify_multi({"orders": orders(spark, d), "customer": customers(spark, d)}, ORDERS).select("id", "tbl", "tuple_id", "attr", "rule_code")
 

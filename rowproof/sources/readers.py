@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.schema import Schema, parse_schema
+from ..plans.schema import Rule, Schema, parse_schema
 
 EXTENSIONS = ("pdf", "txt", "md", "docx", "doc")
 CELL = "STRUCT<value: STRING, evidences: ARRAY<STRING>, best: STRUCT<value: STRING>>"
@@ -50,12 +50,62 @@ def cell_value(cell: Column) -> Column:
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines (blank ones skipped): run_id, table, stage, tuple_id, cells as map of texts."""
-    log = spark.read.schema(SNAPSHOT).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines (blank ones skipped): run_id, table, stage, tuple_id, cells as map of texts.
+
+    A broken line fails the read; broken_lines tells which ones they are.
+    """
+    log = spark.read.schema(SNAPSHOT).option("mode", "FAILFAST").json(path)
     rows = log.select("run_id", "table", F.col("processing_stage").alias("stage"), "created_at", F.inline("rows"))
     return rows.withColumn("cells", F.transform_values("cells", lambda _, c: cell_value(c)))
 
 
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line of the lines that are no JSON of a snapshot."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line")).where(F.trim("line") != "")
+    bad = F.from_json("line", SNAPSHOT + ", _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})["_bad"]
+    return lines.where(bad.isNotNull())
+
+
+HISTORY = {
+    "snapshots": "run_id STRING, tbl STRING, stage STRING, stage_description STRING, rows_count BIGINT, created_at STRING",
+    "violations": "run_id STRING, id STRING, tbl STRING, tuple_id STRING, attr STRING, constraint_type STRING, rule_code STRING, severity STRING, description STRING, suggested_fix STRING, processing_category STRING",
+    "fixes": "run_id STRING, id STRING, tbl STRING, tuple_id STRING, attr STRING, old STRING, new STRING, fix_type STRING, round INT",
+}
+
+
+def read_history(spark: SparkSession, root: str, kind: str, **wanted: str) -> DataFrame:
+    """snapshots, violations or fixes of a run folder: its Parquet table, else its JSON lines, else no rows.
+
+    wanted: values that columns must have, such as run_id or tbl.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(conf).exists(p)
+
+    if there(f"{root}/{kind}"):
+        rows = spark.read.parquet(f"{root}/{kind}")
+    elif there(f"{root}/{kind}.jsonl"):
+        rows = spark.read.schema(HISTORY[kind]).option("mode", "FAILFAST").json(f"{root}/{kind}.jsonl")
+    else:
+        rows = spark.createDataFrame([], HISTORY[kind])
+    for column, value in wanted.items():
+        rows = rows.where(F.col(column) == value)
+    return rows
+
+
+def history_views(spark: SparkSession, root: str, prefix: str = "") -> list[str]:
+    """Registers the three tables and run_summary (counts by run and table) as views to be asked in SQL."""
+    for kind in HISTORY:
+        read_history(spark, root, kind).createOrReplaceTempView(prefix + kind)
+    spark.sql(f"""SELECT run_id, tbl, sum(v) AS n_violations, sum(e) AS n_errors, sum(f) AS n_fixes FROM (
+        SELECT run_id, tbl, 1 AS v, CAST(severity = 'error' AS INT) AS e, 0 AS f FROM {prefix}violations UNION ALL SELECT run_id, tbl, 0, 0, 1 FROM {prefix}fixes
+    ) GROUP BY run_id, tbl""").createOrReplaceTempView(f"{prefix}run_summary")
+    return [prefix + k for k in (*HISTORY, "run_summary")]
+
+
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     """{table: [{attr: value}]}: tbl, _seq, cells as map of texts (absent cells stay absent)."""
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", "MAP<STRING, ARRAY<MAP<STRING, STRING>>>").alias("t"))
@@ -107,6 +157,15 @@ def method_outputs(spark: SparkSession, root: str) -> DataFrame:
     return _cases(spark, root, "*.json").select(F.element_at(parts, -4).alias("db"), F.element_at(parts, -3).alias("case"), F.element_at(parts, -2).alias("method"), "path").orderBy("db", "case", "method")
 
 
+def aggregation_rules(text: str) -> list[Rule]:
+    """Aggregation rules of a rule file's JSON: a list, or a dict by id, with group_by and a limit each."""
+    spec = json.loads(text)
+    spec = spec.get("aggregation_rules", spec) if isinstance(spec, dict) else spec
+    named = [{"id": k, **r} for k, r in spec.items() if isinstance(r, dict)] if isinstance(spec, dict) else spec
+    logic = lambda r: r.get("validation_logic") or {k: v for k, v in r.items() if k not in ("id", "type", "severity", "scope", "tables", "enabled", "name")}
+    return [Rule(r.get("id", ""), "aggregation", str(r.get("severity", "error")).lower(), r.get("scope", ""), tuple(r.get("tables") or ()), r.get("enabled", True), logic(r), r.get("name", "")) for r in named]
+
+
 def config_rules(text: str) -> dict[str, str]:
     """attribute -> pattern from a rule file's JSON."""
     spec = json.loads(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,16 +45,42 @@ def write_summary(df: DataFrame, path: str) -> None:
 def cached(spark: SparkSession, keys: DataFrame, compute, path: str, key: str = "key", max_age_days: int | None = None) -> DataFrame:
     """Results by content key: those in the cache at path, the others computed and appended to it.
 
-    keys has the column key and whatever compute (DataFrame -> DataFrame with key) needs.
+    keys has the column key and whatever compute (DataFrame -> DataFrame with key) needs.  The cache has a folder
+    a day; days older than max_age_days are neither read nor kept.  A key comes back once, its newest result.
     """
-    try:
-        old = spark.read.parquet(path)
-        if max_age_days is not None:
-            old = old.where(F.col("cached_on") >= F.date_sub(F.current_date(), max_age_days))
-        fresh = keys.join(old.select(key).distinct(), key, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        fresh = keys
-    compute(fresh).withColumn("cached_on", F.current_date()).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(keys.select(key).distinct(), key, "left_semi")
+
+    def held() -> DataFrame | None:
+        try:
+            old = spark.read.parquet(path).withColumn("cached_on", F.to_date("cached_on"))
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return None
+        return old if max_age_days is None else old.where(F.col("cached_on") >= F.date_sub(F.current_date(), max_age_days))
+
+    if max_age_days is not None:
+        purge_cache(spark, path, max_age_days)
+    old = held()
+    fresh = keys if old is None else keys.join(old.select(key).distinct(), key, "left_anti")
+    compute(fresh).withColumn("cached_on", F.current_date()).write.mode("append").partitionBy("cached_on").parquet(path)
+    now = held()
+    if now is None:
+        return compute(fresh).withColumn("cached_on", F.current_date())  # nothing was asked for
+    found = now.join(keys.select(key).distinct(), key, "left_semi")
+    rest = [c for c in found.columns if c != key]
+    return found.groupBy(key).agg(F.max_by(F.struct(*rest), "cached_on").alias("_r")).select(key, "_r.*")
+
+
+def purge_cache(spark: SparkSession, path: str, max_age_days: int) -> int:
+    """Deletes the days of the cache that are too old; how many they were."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    oldest = spark.range(1).select(F.date_sub(F.current_date(), max_age_days).cast("string")).first()[0]
+    days = [s.getPath() for s in fs.listStatus(root)]
+    old = [p for p in days if p.getName().startswith("cached_on=") and p.getName().partition("=")[2] < oldest]
+    for p in old:
+        fs.delete(p, True)
+    return len(old)
