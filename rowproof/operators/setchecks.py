@@ -23,11 +23,11 @@ LISTED = 100_000
 OUT = ("tbl", "tuple_id", "attr", "constraint_type", "rule_code", "severity", "description", "suggested_fix", "business_rule_id", "affected_tuple_ids")
 
 
-def violations(df: DataFrame, table: str, tuple_id: Column, attr: Column | str, kind: str, code: str, severity: str, text: Column | str, fix: Column | None = None, rule: str | None = None, members: Column | None = None, extra: Column | None = None) -> DataFrame:
-    """extra: the table as a column, where it differs between rows."""
+def violations(df: DataFrame, table: str, tuple_id: Column, attr: Column | str, kind: str, code: str, severity: str, text: Column | str, fix: Column | None = None, rule: str | None = None, members: Column | None = None, extra: Column | None = None, extra_code: Column | None = None) -> DataFrame:
+    """extra, extra_code: the table and the code as columns, where they differ between rows."""
     lit = lambda x: F.lit(x) if isinstance(x, str) or x is None else x
     return df.select(
-        (F.lit(table) if extra is None else extra).alias("tbl"), tuple_id.cast("string").alias("tuple_id"), lit(attr).alias("attr"), F.lit(kind).alias("constraint_type"), F.lit(code).alias("rule_code"),
+        (F.lit(table) if extra is None else extra).alias("tbl"), tuple_id.cast("string").alias("tuple_id"), lit(attr).alias("attr"), F.lit(kind).alias("constraint_type"), (F.lit(code) if extra_code is None else extra_code).alias("rule_code"),
         F.lit(severity).alias("severity"), lit(text).alias("description"), (F.lit(None) if fix is None else fix).cast("string").alias("suggested_fix"),
         F.lit(rule).cast("string").alias("business_rule_id"), (F.lit(None) if members is None else members).cast("array<string>").alias("affected_tuple_ids"),
     )
@@ -128,28 +128,33 @@ def foreign_key_with_fix(df: DataFrame, table: str, attr: str, ref: DataFrame, r
 TOTAL_WORDS, AVERAGE_WORDS = ("总计", "total", "合计", "sum"), ("平均", "average", "avg", "均值")
 
 
-def summary_rows(df: DataFrame, table: str, cells: Sequence[str], average: bool = False, tuple_id: str = "tuple_id", tolerance: float = 0.01) -> DataFrame:
+def summary_rows(df: DataFrame, table: str, cells: Sequence[str], average: bool | None = False, tuple_id: str = "tuple_id", tolerance: float = 0.01) -> DataFrame:
     """Rows whose cells name a total (or average): each numeric cell against the sum (mean) of all other rows.
 
-    One row of sums over the table, and leave-one-out by subtraction.
+    One row of sums over the table, and leave-one-out by subtraction.  average=None looks for both in one pass.
     """
-    words = AVERAGE_WORDS if average else TOTAL_WORDS
-    marked = F.exists(F.array(*(F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) for c in cells)), lambda x: _any_word(x, words))
-    nums = df.select(tuple_id, marked.alias("_m"), *(V.to_number(F.col(c).cast("string"), spaces=True).alias(c) for c in cells))
-    sums = nums.agg(F.count_if("_m").alias("_marked"), *(x for c in cells for x in (F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}")))).first().asDict()
+    texts = F.array(*(F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) for c in cells))
+    kinds = [k for k in (False, True) if average in (k, None)]
+    named = lambda words: F.exists(texts, lambda x: _any_word(x, words))
+    marks = {k: named(AVERAGE_WORDS if k else TOTAL_WORDS).alias(f"_m{int(k)}") for k in kinds}
+    nums = df.select(tuple_id, *marks.values(), *(V.to_number(F.col(c).cast("string"), spaces=True).alias(c) for c in cells))
+    marked = [F.count_if(f"_m{int(k)}").alias(f"_n{int(k)}") for k in kinds]
+    sums = nums.agg(*marked, *(x for c in cells for x in (F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}")))).first().asDict()
     found = []
-    for c in cells if sums["_marked"] else ():
-        others = F.lit(float(sums[f"s_{c}"] or 0.0)) - F.col(c)
-        n = int(sums[f"n_{c}"] or 0) - 1
-        if n <= 0:
-            continue
-        want = others / n if average else others
-        fix = F.format_string("%.2f", want) if average else F.round(want, 6)
-        found.append(F.when(F.col("_m") & (F.abs(F.col(c) - want) > tolerance), F.struct(F.lit(c).alias("attr"), fix.cast("string").alias("fix"))))
-    empty = F.array().cast("array<struct<attr:string,fix:string>>")
-    hits = nums.where("_m").select(tuple_id, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull()) if found else empty).alias("h"))
-    code = "AGGREGATION_AVERAGE_ROW" if average else "AGGREGATION_TOTAL_ROW"
-    return violations(hits, table, F.col(tuple_id), F.col("h.attr"), "AGGREGATION", code, "error", "differs from the other rows", F.col("h.fix"))
+    for k in kinds:
+        code = "AGGREGATION_AVERAGE_ROW" if k else "AGGREGATION_TOTAL_ROW"
+        for c in cells if sums[f"_n{int(k)}"] else ():
+            others = F.lit(float(sums[f"s_{c}"] or 0.0)) - F.col(c)
+            n = int(sums[f"n_{c}"] or 0) - 1
+            if n <= 0:
+                continue
+            want = others / n if k else others
+            fix = F.format_string("%.2f", want) if k else F.round(want, 6)
+            found.append(F.when(F.col(f"_m{int(k)}") & (F.abs(F.col(c) - want) > tolerance), F.struct(F.lit(c).alias("attr"), F.lit(code).alias("code"), fix.cast("string").alias("fix"))))
+    empty = F.array().cast("array<struct<attr:string,code:string,fix:string>>")
+    hits = nums.select(tuple_id, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull()) if found else empty).alias("h"))
+    out = violations(hits, table, F.col(tuple_id), F.col("h.attr"), "AGGREGATION", "", "error", "differs from the other rows", F.col("h.fix"), extra_code=F.col("h.code"))
+    return out
 
 
 def _any_word(c: Column, words: Sequence[str]) -> Column:

@@ -92,7 +92,7 @@ def repair_loop(spark, d):
     from ..sources.shared import shared_table
 
     s = parse_schema({"tables": [{"name": "orders", "attributes": {"o_orderstatus": {"type": "string", "domain": ["F", "O", "P"]}, "o_open": {"type": "boolean"}, "o_totalprice": {"type": "float", "min": 0}}}]})
-    _, left, _ = P.repair_loop(orders(spark, d), lambda rows: R.verify(rows, s, "orders"), ["o_orderstatus", "o_open", "o_totalprice"], shared_table)
+    _, left, _ = P.repair_loop(shared_table(orders(spark, d), "orders"), lambda rows: R.verify(rows, s, "orders"), ["o_orderstatus", "o_open", "o_totalprice"], shared_table)
     return left.groupBy("attr", "rule_code").agg(F.count("*").alias("n"))
 
 
