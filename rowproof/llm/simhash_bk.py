@@ -109,6 +109,37 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col:
     return map_texts(docs, text_col, keep, run, ", ".join(f"fp{k} long" for k in range(count)) + ", node long")
 
 
+def sketch(shingles: np.ndarray) -> bytes | None:
+    """How many of a set's shingles fall into each of half as many buckets (by their last bits); None if a bucket overflows."""
+    buckets = 1 << max(6, (len(shingles) // 2 - 1).bit_length() if len(shingles) > 2 else 0)
+    counts = np.bincount((shingles & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+
+
+def may_be_similar(x: bytes | None, y: bytes | None, least: float) -> bool:
+    """False only if the sets of two sketches cannot be similar enough: buckets bound what they have in common."""
+    if x is None or y is None:
+        return True
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    total = int(a.sum() + b.sum())
+    m = min(len(a), len(b))
+    common = int(np.minimum(a.reshape(-1, m).sum(0), b.reshape(-1, m).sum(0)).sum())
+    return common >= least / (1 + least) * total - 1e-9
+
+
+def possible_links(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b) whose sketches allow the similarity: a safe filter before texts move.  sketches: node, sketch."""
+    s = lambda name, to: sketches.select(F.col("node").alias(name), F.col("sketch").alias(to))
+    both = pairs.join(s("a", "x"), "a").join(s("b", "y"), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            ok = pa.array([may_be_similar(x.as_py(), y.as_py(), least) for x, y in zip(t.column("x"), t.column("y"))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column("a").filter(ok), t.column("b").filter(ok)], names=["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def similar_links(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """Those links (a, b) whose texts' full shingle sets are at least so similar.  texts: node, text."""
     t = lambda name, to: texts.select(F.col("node").alias(name), F.col("text").alias(to))
@@ -466,18 +497,25 @@ def similar_components(rows: DataFrame, nodes: DataFrame, found: DataFrame, word
 
     The fingerprints' links (found) are tested first and join most near copies.  What they miss shares a
     shingle of the two prefixes: such pairs of different roots are tested too, first with one node of every
-    shared shingle, then all of those that are still in different components.  No pair is left out.
+    shared shingle, then all of those that are still in different components.  No pair is left out, but sketches
+    refuse pairs that cannot be similar enough before texts move.
     """
     shared = written(shared_prefixes(rows, "text", words, least, n), "simhash-shared", 8 * n)
     wanted = found.select(F.explode(F.array("a", "b")).alias("node")).union(shared.select("node")).distinct()
     wanted = written(wanted.join(nodes.select("node", "text_hash"), "node").select("node", "text_hash"), "simhash-wanted", n)
     texts = rows.select("text_hash", "text").join(broadcast_if_small(wanted), "text_hash").select("node", "text").dropDuplicates(["node"])
     texts = written(texts, "simhash-texts", 8 * n)
-    good = written(similar_links(found, texts, words, least), "simhash-good", n)
+    sketches = map_texts(texts, "text", ("node",), lambda ts: {"sketch": [sketch(np.unique(shingle_hashes(t, words))) for t in ts]}, "sketch binary")
+    sketches = written(sketches, "simhash-sketches", 2 * n)
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        likely = written(possible_links(pairs, sketches, least), "simhash-likely", n)
+        return written(similar_links(likely, texts, words, least), "simhash-good", n)
+
+    good = tested(found)
     roots = written(components(good, "simhash", n), "simhash-roots", n)
     for star in (True, False):
-        pairs = prefix_pairs(shared, roots, least, star)
-        more = written(similar_links(pairs, texts, words, least), "simhash-good", n)
+        more = tested(prefix_pairs(shared, roots, least, star))
         if more.head(1):
             good = good.union(more)
             roots = written(components(good, "simhash", n), "simhash-roots", n)

@@ -140,6 +140,22 @@ def test_near_duplicate_recall_by_band(spark):
     assert {0.8, 0.85, 0.9, 0.95} <= set(bands)
 
 
+def test_sketches_never_refuse_a_similar_pair():
+    rng = np.random.default_rng(1)
+    refused = 0
+    for k in range(600):
+        a = np.unique(rng.integers(0, 2**64, rng.integers(1, 700), dtype=np.uint64))
+        keep = rng.random(len(a)) < rng.uniform(0.5, 1)
+        b = np.unique(np.concatenate([a[keep], rng.integers(0, 2**64, rng.integers(0, 60), dtype=np.uint64)]))
+        if not len(b):
+            continue
+        ok = simhash_bk.may_be_similar(simhash_bk.sketch(a), simhash_bk.sketch(b), 0.8)
+        assert ok or simhash_bk.jaccard(a, b) < 0.8
+        refused += not ok
+    assert refused > 100
+    assert simhash_bk.sketch(np.zeros(0, np.uint64)) is not None and simhash_bk.sketch(np.arange(1, 2**20, 2**10, dtype=np.uint64)) is None
+
+
 def test_hot_shingles_are_dealt_out_without_loss(spark, monkeypatch):
     """With groups limited to ten nodes, a family of ninety gives the same components."""
     rng = random.Random(8)
