@@ -261,7 +261,8 @@ def shared_prefixes(docs: DataFrame, text_col: str, words: int, least: float, n:
 
     rows = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "key long, node long, size long")
     rows = rows.groupBy("key", "node").agg(F.min("size").alias("size"))  # a set's repeats are one node
-    several = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # size is asked for on both sides, so that both read one shuffle and the texts are mapped once
+    several = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("s")).where("n > 1 and s >= 0").select("key")
     return rows.join(several, "key", "left_semi")
 
 
