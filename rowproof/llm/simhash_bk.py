@@ -471,7 +471,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exact = least is not None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     n = docs.count()
-    fps = written(fingerprints(rows, ("id", "text_hash"), "text", words, count, exact).select("id", "text_hash", *names, "node"), "simhash-fps", n)
+    fps = written(fingerprints(rows, ("id", "text_hash"), "text", words, count, exact).select("id", "text_hash", *names, "node"), "simhash-fps")  # as many tasks as the texts have
     key = ["node"] if exact else names
     nodes = fps.groupBy(*key).agg(F.min("id").alias("m"), *([F.min(n).alias(n) for n in names] + [F.min("text_hash").alias("text_hash")] if exact else []))
     # a node is one shingle set, else one text class; its number is fp0 where that is unique, which with one fingerprint it always is
