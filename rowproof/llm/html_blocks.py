@@ -2,8 +2,8 @@
 
 The page is cut into blocks at block-level tags.  A block's features are its word count and link density,
 those of the blocks before and after it, how surely an enclosing element is boilerplate (menu, header, footer,
-sidebar, notice, advert, form, comments) and whether one is main (article, main).  The tree is grown here, by
-Gini impurity, on the labelled blocks of the small pages in LABELLED, whose neighbours are their real ones: it
+sidebar, notice, advert, form, comments) and whether one is main (article, main), if the page has any.  The tree is grown here, by
+Gini impurity, on the labelled blocks of the small pages in PAGES, whose neighbours are their real ones: it
 tells a heading from a menu entry, or a linked sentence from a list of links, by what stands beside it.
 
 Edge cases: null html is empty; unclosed and stray tags are tolerated; a page cut in the middle of a tag or
@@ -50,7 +50,7 @@ WEAK_WORDS = frozenset(
 ABOUT = ("no-", "with-", "without-", "has-", "is-")
 
 #: Small labelled pages.  A block: enclosing elements, words/words in links, 1 if main text.
-LABELLED = (
+PAGES = (
     "nav,ul,li 1/1 0; nav,ul,li 2/2 0; nav,ul,li 1/1 0; div.ad 14/0 0; article,h1 9/0 1; article,p 60/0 1; article,p 1/0 1; article,p 45/4 1; footer 12/1 0",
     "header 3/3 0; header 6/0 0; main,h1 5/0 1; main,p 2/0 1; main,p 120/0 1; main,p 4/4 1; main,p 80/2 1; main,ul,li 6/0 1; main,ul,li 9/0 1; aside,h3 2/0 0; aside,p 60/0 0; footer 30/0 0",
     "article,h1 7/0 1; article,div.comments,p 40/0 0; article,div.comments,p 90/0 0; article,p 300/10 1; article,p.advert 25/0 0; article,p 50/0 1; article,form,p 30/0 0; article,p 12/9 1; article,p 70/0 1",
@@ -63,12 +63,13 @@ LABELLED = (
     "p 18/0 1; p 22/0 1; p 3/0 1; p 31/3 1; p 7/0 1; p 200/12 1; p 3/3 0; p 2/2 0; p 4/0 0; p 3/3 0",
     "div,p 3/3 0; div,p 15/0 1; div,p 60/0 1; div,p 20/0 1; div,a 2/2 0; div,p 9/0 0; div,a 2/2 0; div.widget,p 20/0 0; div,a 2/2 0; div,p 11/1 0; div,a 4/4 0",
     "article,h1 5/5 1; article,p 10/0 1; article,p 8/0 1; article,p 20/0 1; article,p 8/8 1", "article,p 30/0 1; article,p 2/2 1; article,p 9/0 1; article,h2 3/3 1; article,p 15/0 1; article,p 12/12 1",
+    "div,p 1/0 0; article,h1 5/0 1; article,p 60/0 1; div,p 30/0 0; div,p 12/0 0", "div,h2 3/0 0; main,p 80/0 1; main,p 20/0 1; div,p 45/0 0; div,p 9/0 0; div,a 2/2 0",
     "h1 5/0 1; p 36/0 1", "p 12/0 1", "div.banner,p 12/0 0; article,p 40/0 1; div.social,a 1/1 0; div.social,a 1/1 0",
 )
 FEATURES = ("boilerplate", "main", "words", "density", "words_before", "density_before", "words_after", "density_after")
 
 
-def labelled_blocks(pages: tuple[str, ...] = LABELLED) -> list[tuple]:
+def labelled_blocks(pages: tuple[str, ...] = PAGES) -> list[tuple]:
     """The labelled pages as rows for the tree: FEATURES and the label."""
     out = []
     for page in pages:
@@ -211,7 +212,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, float, bool]]:
         if text:
             words = "".join(text).split()
             if words:
-                boiler = 1.0 if bad or soft else 0.5 if weak else 0.0
+                boiler = 1.0 if bad or soft else 0.5 if weak and not good else 0.0  # a weak word outside a main element says nothing in it
                 out.append((" ".join(words), len(words), min(linked, len(words)), boiler, good > 0))
                 wraps.append(outer if good and not bad and len(soft) == len(outer) > 0 else None)
         text.clear()
@@ -282,9 +283,13 @@ def blocks(page: str | None) -> list[tuple[str, int, int, float, bool]]:
 
 
 def features(found: list[tuple]) -> list[tuple]:
-    """FEATURES of each block; beyond the page's ends stand empty blocks."""
+    """FEATURES of each block; beyond the page's ends stand empty blocks.
+
+    main is 1 within a main element, -1 outside of those that the page has, and 0 if it has none.
+    """
+    outside = -1 if any(good and bad < 1 for *_, bad, good in found) else 0
     sizes = [(0, 0.0), *((n, k / n) for _, n, k, _, _ in found), (0, 0.0)]
-    return [(bad, int(good), *sizes[i], *sizes[i - 1], *sizes[i + 1]) for i, (*_, bad, good) in enumerate(found, 1)]
+    return [(bad, 1 if good else outside, *sizes[i], *sizes[i - 1], *sizes[i + 1]) for i, (*_, bad, good) in enumerate(found, 1)]
 
 
 def main_text(page: str | None, tree: tuple) -> str:
@@ -292,9 +297,13 @@ def main_text(page: str | None, tree: tuple) -> str:
     return "\n\n".join(b[0] for b, row in zip(found, features(found)) if tree_says(tree, row) >= 0.5)
 
 
-def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), labelled: tuple[str, ...] = LABELLED) -> DataFrame:
+#: The tree's training rows: FEATURES and the label of every block of PAGES.
+LABELLED = labelled_blocks()
+
+
+def extract_main_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), labelled: list[tuple] = LABELLED) -> DataFrame:
     """keep columns, text and n_chars (code points) of every page; a map over rows without a shuffle."""
-    tree = grow_tree(labelled_blocks(labelled))
+    tree = grow_tree(list(labelled))
 
     def texts(page: list) -> dict[str, list]:
         got = [main_text(h, tree) for h in page]
