@@ -35,10 +35,12 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: counts and places of the base phrases, base labels, labels and score; a null text is empty."""
     return license_scan.license_digest(license_scan.license_scan(_table(spark, sf_dir, "documents")))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: held_out, score and predicted at 0.3; the model sees only labelled rows outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_zstd.train_quality(docs, _table(spark, sf_dir, "labels"))
     scored = quality_zstd.score_quality(docs, model)
@@ -46,20 +48,24 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the id that stays for its text, the group's size and the digest of the normalised text; null is empty."""
     out = exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), digest=True)
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per page: its main text (empty if none) and the text's length in code points."""
     return html_blocks.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its fingerprint and the smallest id reachable over links; the empty text has fingerprint zero."""
     out = simhash_bk.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), simhash_bk.hex_fingerprint(F.col("fp0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: held_out, score and predicted at 0.7; the model sees only labelled rows outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = toxicity_fm.train_toxicity(docs, _table(spark, sf_dir, "labels"))
     scored = toxicity_fm.score_toxicity(docs, machine)
@@ -67,10 +73,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per use of a document in the mixture of sources, with its epoch, block and position."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: counts of base spans by kind, their digest, and all spans with those that the field adds; a null text is empty."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii_crf.find_personal_data(docs, pii_crf.train_field(docs))
     rank = F.create_map(*(x for i, k in enumerate(pii_crf.KINDS) for x in (F.lit(k), F.lit(i))))
