@@ -1,4 +1,4 @@
-"""DuckDB SQL for those of the ten queries that SQL can express."""
+"""DuckDB SQL for those of the twelve queries that SQL can express."""
 
 from .license_rules import rules
 
@@ -83,4 +83,32 @@ WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\
      r AS (SELECT *, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
                   row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST) AS rn FROM t)
 SELECT doc_id, keep_id, group_size, rn = 1 AS kept, h AS text_sha256 FROM r""",
+    "op11_target_resample": r"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+w AS (SELECT rid, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM d),
+bw AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+hx AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM w UNION SELECT w FROM bw)),
+bk AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+  lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 10000 AS b FROM hx, tab),
+s AS (SELECT b, count(*) AS s FROM w JOIN bk USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM bw JOIN bk USING (w) GROUP BY b),
+al AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS ss, coalesce((SELECT sum(t) FROM t), 0) AS tt),
+gain AS (SELECT r.b, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (ss + 10000) AS DOUBLE) / CAST((coalesce(s, 0) + 1) * (tt + 10000) AS DOUBLE))) AS BIGINT) AS g
+  FROM (SELECT unnest(range(10000)) AS b) r LEFT JOIN s USING (b) LEFT JOIN t USING (b), al),
+f AS (SELECT rid, count(*) AS n, sum(g) AS g FROM w JOIN bk USING (w) JOIN gain USING (b) GROUP BY rid),
+sc AS (SELECT doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(g, 0) AS BIGINT) AS weight,
+  CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN f USING (rid)),
+x AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM sc),
+o AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) END AS r, count(*) FILTER (n_features >= 20) OVER () AS n FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM o""",
+    "op12_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) q),
+e AS (SELECT *, regexp_replace(text, '(<|\[)(\\*(?:/?s>|/?INST\]|/?SYS\]|/?ROLE\]|TEXT\]))', '\1\\\2', 'g') AS shown, regexp_replace(role, '(<|\[)(\\*(?:/?s>|/?INST\]|/?SYS\]|/?ROLE\]|TEXT\]))', '\1\\\2', 'g') AS name FROM c),
+r AS (SELECT *, CASE role WHEN 'assistant' THEN ' ' || shown || '</s>' WHEN 'system' THEN '[SYS] ' || shown || ' [/SYS]' WHEN 'user' THEN '[INST] ' || shown || ' [/INST]'
+  ELSE '[ROLE] ' || name || ' [TEXT] ' || shown || ' [/ROLE]' END AS piece FROM e)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(length(piece)) AS BIGINT) AS formatted_chars FROM r GROUP BY conv_id""",
 }

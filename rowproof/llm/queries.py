@@ -1,4 +1,4 @@
-"""The ten operators as queries over the standard tables, and their oracle SQL."""
+"""The twelve operators as queries over the standard tables, and their oracle SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, html_blocks, license_scan, mixing, pii_crf, quality_zstd, simhash_bk, toxicity_fm, url_reputation
+from . import chat_grammar, decontam, exact_dedup, html_blocks, license_scan, mixing, pii_crf, quality_zstd, simhash_bk, target_resample, toxicity_fm, url_reputation
 from .common import fold
 
 # The contract's host rules.
@@ -89,8 +89,22 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"))
 
 
+def op11_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: features, weight towards the benchmark texts, noisy score and rank among those drawn."""
+    drawn = target_resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per conversation, and one for a conversation -1 whose texts hold marks: digests of what is read back."""
+    said = "</s>[INST] ok [/INST]"
+    given = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], given.schema)
+    return chat_grammar.chat_digest(chat_grammar.format_chat(given.union(own))).withColumnRenamed("conv", "conv_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_decontamination, op2_url_reputation, op3_license_scan, op4_quality, op5_exact_dedup, op6_html_extraction, op7_simhash, op8_toxicity, op9_mixing, op10_personal_data]
+    found = [op1_decontamination, op2_url_reputation, op3_license_scan, op4_quality, op5_exact_dedup, op6_html_extraction, op7_simhash, op8_toxicity, op9_mixing, op10_personal_data, op11_target_resample, op12_chat_format]
     return {f.__name__: f for f in found}
 
 
