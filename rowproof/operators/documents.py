@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,8 +41,11 @@ def chunk_bounds(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[t
         start = end - overlap
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """One row a chunk: id, idx, start, stop, chunk.  Bounds come from Python, the texts are cut by Spark."""
+def chunks(docs: DataFrame, id_col: str, text_col: str = "text", size: int = CHUNK, overlap: int = OVERLAP, keep: Sequence[str] = ()) -> DataFrame:
+    """One row a chunk: id, columns to keep, idx, start, stop, chunk.  Bounds come from Python, the texts are cut by Spark.
+
+    Works on streams as well; a null text is one empty chunk.
+    """
 
     @F.pandas_udf("array<struct<start:int,stop:int>>")
     def bounds(texts: pd.Series) -> pd.Series:
@@ -50,8 +53,8 @@ def chunks(docs: DataFrame, id_col: str, text_col: str = "text", size: int = CHU
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     cut = F.when(F.length(text) <= size, F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("stop")))).otherwise(bounds(text))
-    rows = docs.select(F.col(id_col), text.alias("_t"), F.posexplode(cut).alias("idx", "b"))
-    return rows.select(id_col, "idx", "b.start", "b.stop", F.substring(F.col("_t"), F.col("b.start") + 1, F.col("b.stop") - F.col("b.start")).alias("chunk"))
+    rows = docs.select(F.col(id_col), *keep, text.alias("_t"), F.posexplode(cut).alias("idx", "b"))
+    return rows.select(id_col, *keep, "idx", "b.start", "b.stop", F.substring(F.col("_t"), F.col("b.start") + 1, F.col("b.stop") - F.col("b.start")).alias("chunk"))
 
 
 def split_paragraphs(text: str, words: int = BATCH_WORDS, chars: int = BATCH_CHARS) -> list[str]:

@@ -49,9 +49,12 @@ def materialise(df: DataFrame, table: Table) -> DataFrame:
     return df.select(*(cast(a).alias(a.name) for a in table.attrs if a.name in df.columns))
 
 
-def batch_verify(df: DataFrame, schema: Schema, table: str, families: list[str] | None = None, as_of: dt.date = dt.date(2024, 1, 1)) -> DataFrame:
-    """Violations of a table, one per cell and type, categorised."""
-    return verify.categorise(verify.dedup(verify.normalise(verify.verify(df, schema, table, families=families, as_of=as_of))))
+def batch_verify(df: DataFrame, schema: Schema, table: str, families: list[str] | None = None, as_of: dt.date = dt.date(2024, 1, 1), tables: dict[str, DataFrame] | None = None, formats: dict[str, str] | None = None, strict: bool = False, order: str = "_seq") -> DataFrame:
+    """Violations of a table, one per cell and type, categorised.
+
+    tables: the others, for references, joined limits and spellings; formats: patterns of a rule file, by attribute.
+    """
+    return verify.categorise(verify.dedup(verify.normalise(verify.verify(df, schema, table, tables, families, as_of, strict, formats, order))))
 
 
 def fix_violations(df: DataFrame, violations: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -54,9 +54,12 @@ _BLANK = f"(CASE WHEN instr(reverse({_PART}), chr(10) || chr(10)) > 0 THEN 2000
 _STOP = f"CASE WHEN length(text) <= start + 2000 THEN length(text) WHEN {_BLANK} > 1000 THEN start + {_BLANK} + 2 WHEN 1999 - length(regexp_extract({_PART}, '[^。！？.!?]*$')) > 1000 THEN start + 2000 - length(regexp_extract({_PART}, '[^。！？.!?]*$')) ELSE start + 2000 END"
 
 
-@query(f"""WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS idx, CAST(0 AS BIGINT) AS start, CAST({_STOP.replace('start', '0')} AS BIGINT) AS stop FROM documents
+CHUNKS_SQL = f"""WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS idx, CAST(0 AS BIGINT) AS start, CAST({_STOP.replace('start', '0')} AS BIGINT) AS stop FROM documents
 UNION ALL SELECT doc_id, text, idx, start, CAST({_STOP} AS BIGINT) FROM (SELECT doc_id, text, idx + 1 AS idx, stop - 100 AS start FROM c WHERE stop < length(text)) n)
-SELECT doc_id, CAST(idx AS INT) AS idx, CAST(start AS INT) AS start, CAST(stop AS INT) AS stop, substr(text, start + 1, stop - start) AS chunk FROM c""")
+SELECT doc_id, CAST(idx AS INT) AS idx, CAST(start AS INT) AS start, CAST(stop AS INT) AS stop, substr(text, start + 1, stop - start) AS chunk FROM c"""
+
+
+@query(CHUNKS_SQL)
 def doc_chunk(spark, d):
     return D.chunks(table(spark, d, "documents"), "doc_id", size=2000, overlap=100)
 
