@@ -216,7 +216,7 @@ def normalise_number(c: Column) -> Column:
     """struct(value, decimals): commas and blanks dropped, trailing zeros not counted."""
     t = F.replace(F.replace(strip(c), F.lit(","), F.lit("")), F.lit(" "), F.lit(""))
     fraction = F.when(F.contains(t, F.lit(".")), F.rtrim(F.substring_index(t, ".", -1), F.lit("0"))).otherwise("")
-    return F.struct(F.when(t.rlike(NUMBER), t.try_cast("double")).alias("value"), F.length(fraction).alias("decimals"))
+    return F.named_struct(F.lit("value"), F.when(t.rlike(NUMBER), t.try_cast("double")), F.lit("decimals"), F.length(fraction))
 
 
 def string_pattern(c: Column) -> Column:

@@ -18,6 +18,14 @@ LEAST_SIMILARITY = 0.3
 PARTS = 64
 
 
+def dashed_date(c: Column) -> Column:
+    return F.regexp_replace(V.collapse_spaces(c), r"[-/\s]+", "-")
+
+
+def is_truth(c: Column) -> Column:
+    return F.lower(c).isin("true", "yes", "是", "1")
+
+
 def compare(expected: Column, generated: Column) -> Column:
     """struct(match, match_type, similarity) of two cells' texts."""
 
@@ -38,9 +46,6 @@ def compare(expected: Column, generated: Column) -> Column:
         words = F.when(F.lower(a) == F.lower(b), result(True, "case_insensitive", 1.0)).when(V.descriptive_match(a, b), result(True, "keyword_match", 0.85))
         return F.when(sim >= limit, result(True, "string_similar", sim)).otherwise(words.otherwise(result(False, "none", sim)))
 
-    dashed = lambda c: F.regexp_replace(V.collapse_spaces(c), r"[-/\s]+", "-")
-    truth = lambda c: F.lower(c).isin("true", "yes", "是", "1")
-
     def by_type(t: Column) -> Column:
         is_a = lambda kind: (t["e"] == kind) | (t["g"] == kind)
         numbers = F.struct(V.normalise_number(expected)["value"].alias("e"), V.normalise_number(generated)["value"].alias("g"))
@@ -48,8 +53,8 @@ def compare(expected: Column, generated: Column) -> Column:
         return (
             F.when((t["e"] == "null") & (t["g"] == "null"), result(True, "exact", 1.0)).when(is_a("null"), none)
             .when(is_a("numeric"), V.let(numbers, numeric)).when(is_a("string"), strings)
-            .when(is_a("date"), F.when(dashed(expected) == dashed(generated), result(True, "date_normalized", 1.0)).otherwise(none))
-            .otherwise(F.when(truth(expected) == truth(generated), result(True, "boolean", 1.0)).otherwise(none))
+            .when(is_a("date"), F.when(dashed_date(expected) == dashed_date(generated), result(True, "date_normalized", 1.0)).otherwise(none))
+            .otherwise(F.when(is_truth(expected) == is_truth(generated), result(True, "boolean", 1.0)).otherwise(none))
         )
 
     return V.let(F.struct(V.value_type(expected).alias("e"), V.value_type(generated).alias("g")), by_type)
