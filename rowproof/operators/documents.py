@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..functions.empties import strip
 from ..functions.values import word_estimate
 from ..sources.numbering import with_row_number, with_running_total
@@ -177,20 +178,50 @@ def needs_location(docs: DataFrame, text_col: str = "text", words: int = LOCATE_
     return docs.where(word_estimate(F.coalesce(F.col(text_col), F.lit(""))) > words)
 
 
-def span_position(text: Column, span: Column, anchor: int = 100) -> Column:
-    """struct(start, stop): exact, else by the span's first characters, else the whole text."""
-    at = F.instr(text, span)
-    head = F.substring(span, 1, anchor)
-    near = F.when(F.length(span) > anchor, F.instr(text, head)).otherwise(0)
+# What shows, in a span's first 200 characters, that the prompt was copied.
+PROMPT_MARKS = ("=== 目标表格信息", "=== 任务要求", "=== 文档内容", "=== 输出要求", "字段定义:", "relevance_score")
+
+
+def _folded(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), r"\s+", " ")
+
+
+def _loosely(span: Column) -> Column:
+    """A pattern for the span in any case and with any white space where it has some."""
+    words = F.transform(F.split(span, r"\s+"), lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    return F.concat(F.lit("(?iu)"), F.array_join(words, "\\s+"))
+
+
+def span_position(text: Column, span: Column, anchor: int = 100, least: int = 21) -> Column:
+    """struct(start, stop) in the text as it is: exact, else stripped, else in any case and white space, else by
+    the span's first characters (if it has at least least), else the whole text.
+
+    The first occurrence counts.  A place by first characters is as long as the span, or ends with the text.
+    """
+    bare = strip(span)
     whole = F.struct(F.lit(0).alias("start"), F.length(text).alias("stop"))
-    found = lambda p: F.struct((p - 1).alias("start"), F.least(p - 1 + F.length(span), F.length(text)).alias("stop"))
-    return F.when((span != "") & (at > 0), found(at)).when(near > 0, found(near)).otherwise(whole)
+    found = lambda at, n: F.struct((at - 1).cast("int").alias("start"), F.least(at - 1 + n, F.length(text)).cast("int").alias("stop"))
+
+    def loose(pattern: Column, size: Column | None, otherwise: Column) -> Column:
+        hit = lambda p: F.when(p["at"] > 0, found(p["at"], F.length(p["hit"]) if size is None else size)).otherwise(otherwise)
+        return V.let(F.struct(F.regexp_instr(text, pattern).alias("at"), F.call_function("regexp_extract", text, pattern, F.lit(0)).alias("hit")), hit)
 
+    by_head = F.when(F.length(bare) >= least, loose(_loosely(F.substring(bare, 1, anchor)), F.length(bare), whole)).otherwise(whole)
+    return (
+        F.when(bare == "", whole).when(F.contains(text, span), found(F.instr(text, span), F.length(span)))
+        .when(F.contains(text, bare), found(F.instr(text, bare), F.length(bare))).otherwise(loose(_loosely(bare), None, by_head))
+    )
 
-def span_valid(text: Column, span: Column, anchor: int = 100) -> Column:
-    """The span occurs exactly, stripped, up to white space, or by its first characters."""
-    flat = lambda c: F.regexp_replace(c, r"\s+", " ")
-    return (span != "") & (F.contains(text, span) | F.contains(text, strip(span)) | F.contains(flat(text), flat(strip(span))) | F.contains(text, F.substring(strip(span), 1, anchor)))
+
+def span_valid(text: Column, span: Column, anchor: int = 100, short: int = 30) -> Column:
+    """The span occurs in the text, up to case and white space; a span of at least short characters need only
+    begin so, with its first anchor characters.  A span that begins with marks of the prompt is refused, an empty one too.
+    """
+    bare = strip(span)
+    marked = F.exists(F.array(*(F.lit(m) for m in PROMPT_MARKS)), lambda m: F.contains(F.substring(span, 1, 200), m))
+    folded = _folded(bare)
+    wanted = F.when(F.length(folded) < short, folded).otherwise(F.substring(folded, 1, anchor))
+    return F.coalesce((bare != "") & ~marked & (F.contains(text, bare) | F.contains(_folded(text), wanted)), F.lit(False))
 
 
 def segment_source(segments: DataFrame, bounds: DataFrame, group: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.empties import is_blank, is_blank_or_nullword, strip
+from ..sources.numbering import with_previous
 from ..sources.shared import shared_table
 from .matching import containing, few_edits
 
@@ -139,15 +140,21 @@ def summary_rows(df: DataFrame, table: str, cells: Sequence[str], average: bool
     marks = {k: named(AVERAGE_WORDS if k else TOTAL_WORDS).alias(f"_m{int(k)}") for k in kinds}
     nums = df.select(tuple_id, *marks.values(), *(V.to_number(F.col(c).cast("string"), spaces=True).alias(c) for c in cells))
     marked = [F.count_if(f"_m{int(k)}").alias(f"_n{int(k)}") for k in kinds]
-    sums = nums.agg(*marked, *(x for c in cells for x in (F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}")))).first().asDict()
+    # decimals, so that a sum does not hang on the order of rows; doubles where a number does not fit
+    exact = lambda c: F.col(c).try_cast("decimal(30,6)")
+    totals = lambda c: (F.sum(exact(c)).alias(f"s_{c}"), F.sum(c).alias(f"d_{c}"), F.count_if(F.col(c).isNotNull() & exact(c).isNull()).alias(f"o_{c}"), F.count(c).alias(f"n_{c}"))
+    sums = nums.agg(*marked, *(x for c in cells for x in totals(c))).first().asDict()
     found = []
     for k in kinds:
         code = "AGGREGATION_AVERAGE_ROW" if k else "AGGREGATION_TOTAL_ROW"
         for c in cells if sums[f"_n{int(k)}"] else ():
-            others = F.lit(float(sums[f"s_{c}"] or 0.0)) - F.col(c)
             n = int(sums[f"n_{c}"] or 0) - 1
             if n <= 0:
                 continue
+            if sums[f"o_{c}"] or sums[f"s_{c}"] is None:
+                others = F.lit(float(sums[f"d_{c}"] or 0.0)) - F.col(c)
+            else:
+                others = (F.lit(sums[f"s_{c}"]).cast("decimal(38,6)") - exact(c)).cast("double")
             want = others / n if k else others
             fix = F.format_string("%.2f", want) if k else F.round(want, 6)
             found.append(F.when(F.col(f"_m{int(k)}") & (F.abs(F.col(c) - want) > tolerance), F.struct(F.lit(c).alias("attr"), F.lit(code).alias("code"), fix.cast("string").alias("fix"))))
@@ -193,19 +200,14 @@ def join_limit(df: DataFrame, table: str, group: str, fk: str, ref: DataFrame, r
 
 
 def sequence_gaps(df: DataFrame, table: str, attr: str, order: str = "_seq", days: int = 365, tuple_id: str = "tuple_id") -> DataFrame:
-    """Dates more than days after the one before them.
+    """Times more than days whole elapsed days after the one before them; of equal times the first row is reported.
 
-    Inherently global; the dates are first reduced to one row a day, and the window runs over years: the last
-    day of each year before is looked up among at most one row a year.
+    Times are reduced to distinct ones, and each range partition of these is told the last time before it.
     """
     dated = df.select(F.col(tuple_id), F.col(order).alias("_o"), V.parse_date(F.col(attr).cast("string")).alias("_t")).where("_t is not null")
-    first = dated.groupBy(F.to_date("_t").alias("d")).agg(F.min(F.struct("_t", "_o", tuple_id)).alias("f"))
-    first = first.withColumn("y", F.year("d"))
-    years = first.groupBy("y").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    prior = years.withColumn("prior", F.lag("hi").over(Window.partitionBy(F.lit(0)).orderBy("y"))).select("y", "prior")  # one row a year
-    w = Window.partitionBy("y").orderBy("d")
-    gaps = first.join(F.broadcast(prior), "y").withColumn("p", F.coalesce(F.lag("d").over(w), F.col("prior"))).where(F.datediff("d", "p") > days)
-    return violations(gaps, table, F.col(f"f.{tuple_id}"), attr, "TEMPORAL", "TEMPORAL_GAP", "info", F.concat(F.datediff("d", "p").cast("string"), F.lit(" days after the date before")))
+    first = dated.groupBy("_t").agg(F.min(F.struct("_o", tuple_id)).alias("f"))
+    gaps = with_previous(first, "_t", "p").withColumn("n", F.extract(F.lit("DAY"), F.col("_t") - F.col("p"))).where(F.col("n") > days)
+    return violations(gaps, table, F.col(f"f.{tuple_id}"), attr, "TEMPORAL", "TEMPORAL_GAP", "info", F.concat(F.col("n").cast("string"), F.lit(" days after the date before")))
 
 
 # Graphs: edges are distinct (src, dst)
@@ -312,23 +314,55 @@ def similar_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return near.where(V.similar_entities(F.col("a"), F.col("b")))
 
 
-def entity_consistency(tables: dict[str, DataFrame], field: str, tuple_id: str = "tuple_id", only: str | None = None) -> DataFrame:
-    """Values of a shared field that are similar to another one but not the longest form of their group.
+def entity_groups(pairs: DataFrame) -> DataFrame:
+    """(value, leader): greedy groups of similar values, those that come first leading; pairs: a, b, both ways, different.
+
+    A value leads if no smaller value that leads or is undecided is similar to it; one whose smallest such value
+    leads belongs to it; the others wait for the next round.  Each round decides at least the smallest value.
+    """
+    pairs = shared_table(pairs.select("a", "b"), "entity-pairs")
+    state = shared_table(pairs.select(F.col("a").alias("value"), F.lit(None).cast("string").alias("leader")).distinct(), "entity-state")
+    while True:
+        live = state.where("leader is null or leader = value").select(F.col("value").alias("b"), F.col("leader").isNotNull().alias("leads"))
+        first = pairs.where("b < a").join(live, "b").groupBy("a").agg(F.min(F.struct("b", "leads")).alias("f"))
+        after = state.join(first, state["value"] == first["a"], "left").select("value", F.coalesce("leader", F.when(F.col("f").isNull(), F.col("value")).when(F.col("f.leads"), F.col("f.b"))).alias("leader"))
+        state = shared_table(after, "entity-state")
+        if not state.where("leader is null").head(1):
+            return state
+
 
-    only: the table whose violations are asked for.
+def entity_consistency(tables: dict[str, DataFrame], field: str, tuple_id: str = "tuple_id", only: str | None = None) -> DataFrame:
+    """Values of a shared field that are similar to one of another table but not the longest form of their group.
 
-    Groups are stars: a value belongs to the longest (then smallest) value similar to it.
+    Each two tables are looked at by themselves: their values form greedy groups, a group counts if both tables
+    have a value in it, and its longest (then smallest) form is the canonical one.  only: the table whose
+    violations are asked for.
     """
-    values = shared_values(tables, field).select("value").distinct()
-    pairs = similar_pairs(values, values)
-    better = pairs.where((F.length("b") > F.length("a")) | ((F.length("b") == F.length("a")) & (F.col("b") < F.col("a"))))
-    canon = better.groupBy("a").agg(F.min_by("b", F.struct((-F.length("b")).alias("n"), "b")).alias("canon"))
+    held = {name: df for name, df in tables.items() if field in df.columns}
+    text = strip(F.col(field).cast("string"))
+    values = {name: df.select(text.alias("value")).where("value <> ''").distinct() for name, df in held.items()}
+    canon: dict[str, list[DataFrame]] = {name: [] for name in held}
+    names = list(held)
+    for i, x in enumerate(names):
+        for y in names[i + 1 :]:
+            if only not in (None, x, y):
+                continue
+            both = values[x].select("value", F.lit(1).alias("x"), F.lit(0).alias("y")).union(values[y].select("value", F.lit(0), F.lit(1))).groupBy("value").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+            groups = entity_groups(similar_pairs(both.select("value"), both.select("value"))).join(both, "value")
+            best = groups.groupBy("leader").agg(F.min(F.struct((-F.length("value")).alias("n"), "value")).alias("best"), F.max("x").alias("in_x"), F.max("y").alias("in_y")).where("in_x = 1 and in_y = 1")
+            forms = groups.select("value", "leader").join(best, "leader").select(F.col("value").alias("_form"), F.col("best.value").alias("canon")).where("_form <> canon")
+            for name in (x, y):
+                canon[name].append(forms)
     out = None
-    for name, df in tables.items():
-        if field in df.columns and only in (None, name):
-            hit = df.join(canon, F.col(field).cast("string") == F.col("a"))
-            one = violations(hit, name, F.col(tuple_id), field, "VALUE", "VALUE_ENTITY", "warn", "another spelling of the same entity", F.col("canon"))
-            out = one if out is None else out.unionByName(one)
+    for name in names if only is None else [n for n in names if n == only]:
+        if not canon[name]:
+            continue
+        forms = reduce(DataFrame.union, canon[name]).distinct()
+        one = violations(held[name].join(forms, text == F.col("_form")), name, F.col(tuple_id), field, "VALUE", "VALUE_ENTITY", "warn", "another spelling of the same entity", F.col("canon"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:  # one table alone: nothing to be consistent with
+        name, df = next(iter(held.items()))
+        out = violations(df.limit(0), name, F.col(tuple_id), field, "VALUE", "VALUE_ENTITY", "warn", "", None)
     return out
 
 

@@ -182,9 +182,17 @@ def without(v: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def affected_anchors(v: DataFrame, rows: DataFrame, anchor: str, entities: DataFrame, entity_key: str) -> DataFrame:
-    """Entities that the violating rows (or the rows a violation lists) refer to."""
+    """Entities that the violating rows (or the rows a violation lists) refer to.
+
+    A violation of a group that lists no members (too many, or a sum over a join) names the group: its rows are
+    those with the group's value in the violation's attribute.
+    """
     hit = v.select(F.explode(F.coalesce("affected_tuple_ids", F.array("tuple_id"))).alias("tuple_id")).distinct()
-    keys = rows.join(hit, "tuple_id", "left_semi").select(F.col(anchor).alias("_k")).distinct()
+    found = rows.join(hit, "tuple_id", "left_semi").select(F.col(anchor).alias("_k"))
+    if "attr" in v.columns:
+        named = v.where("affected_tuple_ids is null").select("attr", F.regexp_extract("tuple_id", "(?s)^(?:AGGREGATION|GROUP)_(.*)$", 1).alias("_value"), F.col("tuple_id").rlike("^(AGGREGATION|GROUP)_").alias("_of_group"))
+        named = named.where("_of_group").select("attr", "_value").distinct()
+        cells = F.explode(F.array(*(F.struct(F.lit(c).alias("attr"), F.col(c).cast("string").alias("_value")) for c, t in rows.dtypes if "<" not in t))).alias("c")
+        found = found.union(rows.select(F.col(anchor).alias("_k"), cells).select("_k", "c.attr", "c._value").join(named, ["attr", "_value"], "left_semi").select("_k"))
+    keys = found.distinct()
     return entities.join(keys, F.col(entity_key) == F.col("_k"), "left_semi")
-
-

@@ -38,6 +38,20 @@ def doc_validate_span(spark, d):
     return frame(spark, d, SPANS).select("doc_id", D.span_valid(F.col("text"), F.col("span")).alias("valid"))
 
 
+# spans in capitals with doubled blanks, beginnings of spans, and spans after a mark of the prompt
+VARIANTS = """SELECT doc_id, text, raw, CASE WHEN doc_id % 5 = 0 THEN concat('relevance_score ', raw) WHEN doc_id % 5 = 1 THEN concat(' ', raw, '  @@@ ~~~') WHEN doc_id % 5 = 2 THEN 'zzz no such span in here zzz' ELSE upper(replace(raw, ' ', '  ')) END AS span
+FROM (SELECT doc_id, text, trim(substr(text, 11, 140)) AS raw FROM {documents}) q WHERE length(raw) >= 110 AND NOT contains(raw, chr(10)) AND NOT contains(raw, '  ') AND NOT contains(raw, 'ß')"""
+
+
+@query(f"""SELECT doc_id, doc_id % 5 NOT IN (0, 2) AS valid, CASE WHEN doc_id % 5 IN (0, 2) THEN 0 ELSE instr(lower(text), lower(CASE WHEN doc_id % 5 = 1 THEN substr(raw, 1, 100) ELSE raw END)) - 1 END AS start,
+CASE WHEN doc_id % 5 IN (0, 2) THEN length(text) WHEN doc_id % 5 = 1 THEN least(instr(lower(text), lower(substr(raw, 1, 100))) - 1 + length(trim(span)), length(text)) ELSE instr(lower(text), lower(raw)) - 1 + length(raw) END AS stop FROM ({VARIANTS}) q""", start="INT", stop="INT")
+def doc_span_variants(spark, d):
+    """Spans that differ from the text in case and white space, with their true places."""
+    v = frame(spark, d, VARIANTS)
+    at = v.select("doc_id", D.span_valid(F.col("text"), F.col("span")).alias("valid"), D.span_position(F.col("text"), F.col("span")).alias("p"))
+    return at.select("doc_id", "valid", "p.start", "p.stop")
+
+
 BOUNDS = "SELECT source, CAST(doc_id AS STRING) AS name, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(text) AS n FROM {documents}"
 
 

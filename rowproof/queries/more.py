@@ -13,16 +13,23 @@ from ..plans.schema import parse_schema
 from .base import frame, query, table
 from .verification import customers, orders
 
-SPELLED = "SELECT CAST(p_partkey AS STRING) AS tuple_id, CASE WHEN p_partkey % 4 = 0 THEN concat(p_name, ' Corp.') WHEN p_partkey % 9 = 0 THEN concat(p_name, ' Inc.') ELSE p_name END AS maker FROM {part}"
-
-
-@query(f"""WITH r AS ({SPELLED}), v AS (SELECT DISTINCT maker AS x, trim(replace(replace(maker, 'Corp.', ''), 'Inc.', '')) AS core FROM r),
-p AS (SELECT a.x AS a, b.x AS b FROM v a, v b WHERE a.x <> b.x AND (contains(a.x, b.x) OR contains(b.x, a.x) OR contains(a.core, b.core) OR contains(b.core, a.core)
- OR (1 - levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)) > 0.9 AND least(length(a.x), length(b.x)) >= 5))),
-c AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY length(b) DESC, b) AS n FROM p WHERE length(b) > length(a) OR (length(b) = length(a) AND b < a))
-SELECT tuple_id, b AS suggested_fix FROM r JOIN c ON maker = a WHERE n = 1""")
+SPELLED = "SELECT CAST(p_partkey AS STRING) AS tuple_id, CASE WHEN p_partkey % 4 = 0 THEN concat(p_name, ' Corp.') WHEN p_partkey % 9 = 0 THEN concat(p_name, ' Inc.') WHEN p_partkey % 5 = 0 THEN concat('only ', p_brand, CAST(p_partkey % 3 AS STRING)) ELSE p_name END AS maker FROM {part}"
+NAMED = "SELECT DISTINCT concat('d-', p_name) AS tuple_id, CASE WHEN length(p_name) % 2 = 0 THEN concat(p_name, ' Ltd.') ELSE p_name END AS maker FROM {part}"
+_SIMILAR = """(contains(a.x, b.x) AND length(b.x) >= 3 OR contains(b.x, a.x) AND length(a.x) >= 3 OR contains(a.core, b.core) OR contains(b.core, a.core) OR (1 - levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)) > 0.9 AND least(length(a.x), length(b.x)) >= 5))"""
+
+
+@query(f"""WITH RECURSIVE r AS ({SPELLED}), s AS ({NAMED}), v AS (SELECT x, row_number() OVER (ORDER BY x) AS i, trim(replace(replace(replace(x, 'Corp.', ''), 'Inc.', ''), 'Ltd.', '')) AS core FROM (SELECT maker AS x FROM r UNION SELECT maker FROM s) u),
+p AS (SELECT a.i AS a, list(b.i) AS bs FROM v a, v b WHERE a.x <> b.x AND {_SIMILAR} GROUP BY a.i),
+w(i, led) AS (SELECT CAST(0 AS BIGINT), CAST(MAP {{}} AS MAP(BIGINT, BIGINT)) UNION ALL SELECT w.i + 1, CASE WHEN list_contains(map_keys(led), w.i + 1) THEN led
+  ELSE map_concat(MAP([w.i + 1] || list_filter(coalesce(bs, []), lambda b: NOT list_contains(map_keys(led), b)), list_transform([w.i + 1] || list_filter(coalesce(bs, []), lambda b: NOT list_contains(map_keys(led), b)), lambda z: w.i + 1)), led) END
+  FROM w LEFT JOIN p ON p.a = w.i + 1 WHERE w.i < (SELECT count(*) FROM v)),
+g AS (SELECT v.x, m.value AS leader, v.x IN (SELECT maker FROM r) AS in_r, v.x IN (SELECT maker FROM s) AS in_s FROM (SELECT unnest(map_entries(led)) AS m FROM w ORDER BY i DESC LIMIT (SELECT count(*) FROM v)) l JOIN v ON v.i = l.m.key),
+c AS (SELECT leader, arg_min(x, {{'n': -length(x), 'x': x}}) AS canon FROM g GROUP BY leader HAVING bool_or(in_r) AND bool_or(in_s)),
+f AS (SELECT x, canon FROM g JOIN c USING (leader) WHERE x <> canon)
+SELECT 'part' AS tbl, tuple_id, canon AS suggested_fix FROM r JOIN f ON maker = x UNION ALL SELECT 'names', tuple_id, canon FROM s JOIN f ON maker = x""")
 def verify_entity_spelling(spark, d):
-    return S.entity_consistency({"part": frame(spark, d, SPELLED)}, "maker").select("tuple_id", "suggested_fix")
+    """Two tables that name the same makers, and names that one table has alone."""
+    return S.entity_consistency({"part": frame(spark, d, SPELLED), "names": frame(spark, d, NAMED)}, "maker").select("tbl", "tuple_id", "suggested_fix")
 
 
 @query("SELECT tuple_id FROM {CUS} t WHERE _seq % 40 = 0")

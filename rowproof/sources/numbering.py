@@ -39,6 +39,15 @@ def with_running_total(df: DataFrame, order: str, value: str, name: str) -> Data
     return rows.withColumn(name, inside + F.col("_off")).drop("_p", "_h", "_off")
 
 
+def with_previous(df: DataFrame, order: str, name: str = "_previous") -> DataFrame:
+    """Adds the value of the row before in the order of a column (not null): each range partition is told the last value of those before."""
+    rows = _in_order(df, order)
+    last = rows.groupBy("_p").agg(F.max(order).alias("_last"))
+    before = F.max("_last").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+    rows = rows.join(F.broadcast(last.select("_p", before.alias("_before"))), "_p")
+    return rows.withColumn(name, F.coalesce(F.lag(order).over(_window(order)), F.col("_before"))).drop("_p", "_h", "_before")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows out where the source has far fewer partitions than the cluster has cores (one small file).
 
