@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,80 +76,95 @@ def split_paragraphs(text: str, words: int = BATCH_WORDS, chars: int = BATCH_CHA
     return [*parts, "\n\n".join(now)] if now else parts
 
 
+def _successors(w: np.ndarray, c: np.ndarray, words: int, chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a batch that begins at each document, where the next one begins; and the sizes before each document.
+
+    A batch takes documents up to its first one of any size, whatever that is, then while both limits hold.
+    """
+    before_w, before_c = np.concatenate([[0], np.cumsum(w)]), np.concatenate([[0], np.cumsum(c)])
+    n = len(w)
+    fits = np.minimum(np.searchsorted(before_w[1:], before_w[:-1] + words, "right"), np.searchsorted(before_c[1:], before_c[:-1] + chars, "right"))
+    sized = np.where((w > 0) | (c > 0), np.arange(n), n)
+    first = np.minimum.accumulate(sized[::-1])[::-1]
+    return np.minimum(np.maximum(fits, first + 1), n), before_w, before_c
+
+
 def batches(docs: DataFrame, id_col: str, order: str, text_col: str = "text", words: int = BATCH_WORDS, chars: int = BATCH_CHARS, shard: int = SHARD_DOCS) -> DataFrame:
     """id, batch: documents in order, a new batch wherever both limits would not hold.
 
     The packing is sequential by definition.  Documents (only their sizes) are dealt into shards of consecutive
-    ones.  The batch that is open where a shard begins can take a few of its first documents; for every number
-    of them that can occur, the shard's task packs the rest and reports what is open at its end.  The driver
-    walks from shard to shard over these reports, a few numbers a shard, and a second pass numbers the batches.
+    ones.  The batch that is open where a shard begins takes some of its first documents; for every number of
+    them that can occur, the shard's task reports how many batches follow and what is open at its end, all from
+    one backward pass over the places where the next batch would begin.  An open batch ends at a document of
+    some size, so a shard reports at most as many rows as sized documents go into one batch, however many
+    empty ones there are.  The driver walks from shard to shard over these reports, and a second pass numbers
+    the batches.  Time is linear in the documents.
     """
     sized = docs.select(id_col, F.col(order).alias("_o"), word_estimate(F.coalesce(F.col(text_col), F.lit(""))).alias("w"), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("c"))
     rows = with_row_number(sized, "_o").withColumn("_s", F.floor(F.col("_row") / shard).cast("long"))
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def packed(w: list[int], c: list[int], entry: int) -> tuple[list[int], int, int]:
-        """Batch (1, 2, ...) of the documents from entry on, and the sizes of the last one."""
-        out, n, a, b = [], 0, 0, 0
-        for x, y in zip(w[entry:], c[entry:]):
-            if not n or ((a or b) and (a + x > words or b + y > chars)):
-                n, a, b = n + 1, 0, 0
-            a, b = a + x, b + y
-            out.append(n)
-        return out, a, b
-
-    def taken(w: list[int], c: list[int], a: int, b: int) -> int:
-        """How many first documents still go into an open batch of sizes a, b."""
-        k = 0
-        while k < len(w) and not ((a or b) and (a + w[k] > words or b + c[k] > chars)):
-            a, b, k = a + w[k], b + c[k], k + 1
-        return k
+    columns = ["_s", "entry", "n", "a", "b", "w", "c", "before_w", "before_c", "size"]
 
     def report(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_row")
-        w, c = part["w"].tolist(), part["c"].tolist()
-        out = []
-        for entry in range(taken(w, c, 0, 0) + 1):  # an open batch takes at most as many as an empty one
-            got, a, b = packed(w, c, entry)
-            out.append((part["_s"].iloc[0], entry, max(got, default=0), a, b, w[entry] if entry < len(w) else 0, c[entry] if entry < len(c) else 0, len(w)))
-        return pd.DataFrame(out, columns=["_s", "entry", "n", "a", "b", "w", "c", "size"])
-
-    reports = rows.groupBy("_s").applyInPandas(report, "_s long, entry long, n long, a long, b long, w long, c long, size long")
-    plan, a, b, base, now, shape = [], 0, 0, 0, None, {}
+        w, c = part["w"].to_numpy(), part["c"].to_numpy()
+        size, (successor, before_w, before_c) = len(w), _successors(w, c, words, chars)
+        count, last = [0] * (size + 1), [size] * (size + 1)  # batches from here on, and where the last begins
+        for i, j in zip(range(size - 1, -1, -1), successor[::-1].tolist()):
+            count[i], last[i] = count[j] + 1, i if j == size else last[j]
+        most = int(successor[0])  # an open batch takes at most as many as an empty one
+        some = np.flatnonzero((w[: most + 1] > 0) | (c[: most + 1] > 0))
+        entries = sorted({0, most, *some.tolist(), *(some[:1] + 1).tolist()} - set(range(most + 1, size + 2)))
+        full = lambda x, e: int(x[e]) if e < size else 0
+        out = [(part["_s"].iloc[0], e, count[e], int(before_w[-1] - before_w[last[e]]), int(before_c[-1] - before_c[last[e]]), full(w, e), full(c, e), int(before_w[e]), int(before_c[e]), size) for e in entries]
+        return pd.DataFrame(out, columns=columns)
+
+    reports = rows.groupBy("_s").applyInPandas(report, ", ".join(f"{c} long" for c in columns))
+    plan, a, b, base, now, entries = [], 0, 0, 0, None, []
 
     def walked() -> None:
         """One shard: where its first new batch begins, and the number of the batch that is open before."""
         nonlocal a, b, base
-        k = 0
-        while k < shape[0][-1] and not ((a or b) and (a + shape[k][3] > words or b + shape[k][4] > chars)):
-            a, b, k = a + shape[k][3], b + shape[k][4], k + 1
+        size = entries[0]["size"]
+        for r in entries:
+            x, y = a + r["before_w"], b + r["before_c"]
+            if r["entry"] < size and (x or y) and (x + r["w"] > words or y + r["c"] > chars):
+                break
+        else:  # all documents go into the open batch
+            r = None
+        k = r["entry"] if r else size
         plan.append((now, k, max(base, 1)))
-        if k < shape[0][-1]:
+        if r:
             base = max(base, 1) if k else base
-            base, a, b = base + shape[k][0], shape[k][1], shape[k][2]
+            base, a, b = base + r["n"], r["a"], r["b"]
         else:
-            base = max(base, 1)
+            base, a, b = max(base, 1), a + entries[0]["total_w"], b + entries[0]["total_c"]
 
-    for r in reports.orderBy("_s", "entry").toLocalIterator():  # a few rows a shard
+    totals = rows.groupBy("_s").agg(F.sum("w").alias("total_w"), F.sum("c").alias("total_c"))
+    for r in reports.join(totals, "_s").orderBy("_s", "entry").toLocalIterator():
         if r["_s"] != now and now is not None:
             walked()
-            shape = {}
+            entries = []
         now = r["_s"]
-        shape[r["entry"]] = (r["n"], r["a"], r["b"], r["w"], r["c"], r["size"])
+        entries.append(r)
     if now is not None:
         walked()
-    starts = {s: (k, n) for s, k, n in plan}
 
     def number(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_row")
         k, open_batch = int(part["_k"].iloc[0]), int(part["_n"].iloc[0])
-        got, _, _ = packed(part["w"].tolist(), part["c"].tolist(), k)
+        successor = _successors(part["w"].to_numpy(), part["c"].to_numpy(), words, chars)[0].tolist()
+        starts, at = [], k
+        while at < len(successor):
+            starts.append(at)
+            at = successor[at]
         before = open_batch if k or part["_s"].iloc[0] else 0
-        return pd.DataFrame({id_col: part[id_col], "batch": [open_batch] * k + [before + n for n in got]})
+        place = np.searchsorted(np.array(starts, dtype="int64"), np.arange(len(part)), "right")
+        return pd.DataFrame({id_col: part[id_col], "batch": np.where(np.arange(len(part)) < k, open_batch, before + place)})
 
-    if not starts:
+    if not plan:
         return docs.select(id_col, F.lit(None).cast("long").alias("batch")).limit(0)
-    places = docs.sparkSession.createDataFrame([(s, k, n) for s, (k, n) in starts.items()], "_s long, _k long, _n long")
+    places = docs.sparkSession.createDataFrame(plan, "_s long, _k long, _n long")
     return rows.join(F.broadcast(places), "_s").groupBy("_s").applyInPandas(number, f"{id_col} {kind}, batch long")
 
 
