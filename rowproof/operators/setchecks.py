@@ -7,6 +7,7 @@ back, so that a hot key can be split by adaptive execution.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from functools import reduce
 
@@ -19,6 +20,8 @@ from ..sources.numbering import with_previous
 from ..sources.shared import shared_table
 from .matching import containing, few_edits
 
+LOG = logging.getLogger(__name__)
+
 #: Members that a violation lists in one row.
 LISTED = 100_000
 OUT = ("tbl", "tuple_id", "attr", "constraint_type", "rule_code", "severity", "description", "suggested_fix", "business_rule_id", "affected_tuple_ids")
@@ -96,27 +99,70 @@ def relation_nulls(df: DataFrame, table: str, attr: str, tuple_id: str = "tuple_
     return violations(df.where(F.col(attr).isNull()), table, F.col(tuple_id), attr, "REFERENCE", "REFERENCE_NULL", "error", "null in a relation that allows none")
 
 
+#: Bounds of similarity at which nearest sets are looked for, one after another; at 0 any common character counts.
+TIERS = (0.75, 0.5, 0.25, 0.0)
+
+
+def nearest_sets(x: DataFrame, y: DataFrame, tiers: Sequence[float] = TIERS) -> tuple[DataFrame, int]:
+    """(x, nearest, score) of the y most similar to each x, and how many pairs were compared; x, y: texts of distinct characters.
+
+    y also has nearest, by which equal scores are decided.  Sets with a Jaccard similarity of at least t share
+    one of their rarest characters, all but t of each, and their sizes differ by the factor t at most; so each
+    tier joins on few rare characters, an x leaves once its best is at the tier or above, and only what is left
+    meets wider prefixes.  An x that shares no character has no row.
+    """
+    split = lambda c: F.filter(F.split(F.col(c), ""), lambda ch: ch != "")
+    often = y.select(F.explode(split("y")).alias("ch")).groupBy("ch").agg(F.count("*").alias("often"))
+
+    def ranked(df: DataFrame, c: str) -> DataFrame:
+        """Sets with their characters, rarest first: at most one row a character of the alphabet is grouped."""
+        each = df.select(c, F.explode(split(c)).alias("ch")).join(often, "ch", "left")
+        listed = each.groupBy(c).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "ch"))).alias("l"))
+        return listed.select(c, F.transform("l", lambda e: e["ch"]).alias(f"{c}s"))
+
+    ys = shared_table(ranked(y, "y").join(y, "y"), "nearest-of")
+    left = shared_table(ranked(x, "x"), "nearest-for")
+    found, compared = [], 0
+    for t in tiers:
+        if not left.head(1):
+            break
+        prefix = lambda c: F.explode(F.slice(c, F.lit(1), F.least(F.size(c), F.size(c) - F.ceil(F.size(c) * t - 1e-9).cast("int") + 1))).alias("ch")  # noqa: E731, B023
+        near = left.select("x", "xs", prefix("xs")).join(ys.select("y", "ys", "nearest", prefix("ys")), "ch")
+        near = near.where((F.size("ys") >= F.size("xs") * t - 1e-9) & (F.size("xs") >= F.size("ys") * t - 1e-9)).dropDuplicates(["x", "y"])
+        common = F.size(F.array_intersect("xs", "ys"))
+        scored = near.select("x", "nearest", (common / (F.size("xs") + F.size("ys") - common)).alias("s"))
+        best = shared_table(scored.groupBy("x").agg(F.min(F.struct((-F.col("s")).alias("s"), "nearest")).alias("b"), F.count("*").alias("n")), "nearest-best")
+        compared += best.agg(F.sum("n")).first()[0] or 0
+        settled = best.where(-F.col("b.s") >= t).select("x", "b.nearest", (-F.col("b.s")).alias("score"))
+        found.append(settled)
+        left = shared_table(left.join(settled, "x", "left_anti"), "nearest-for")
+    LOG.info("nearest sets: %s pairs compared", compared)
+    if not found:
+        return x.select("x", F.lit(None).cast("string").alias("nearest"), F.lit(None).cast("double").alias("score")).limit(0), 0
+    return reduce(DataFrame.union, found), compared
+
+
 def nearest_reference(lost: DataFrame, attr: str, ref: DataFrame, ref_attr: str) -> DataFrame:
     """(attr value, nearest, score) for the distinct values of lost.
 
     Values equal in any case come first (score 2), then the best character-set Jaccard; the smallest value on
-    ties, and with score 0 where none shares a character.  Scores hang on the sets of characters alone, so the
-    join is one of distinct sets: values of digits have at most 1023 of them, however many values there are.
+    ties, and with score 0 where none shares a character.  Scores hang on the sets of characters alone, so
+    distinct sets are compared: values of digits have at most 1023 of them, however many values there are.
     """
     chars = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), ""), lambda x: x != "")))
     a = lost.select(F.col(attr).cast("string").alias("value")).where("value is not null").distinct()
     b = ref.select(F.col(ref_attr).cast("string").alias("nearest")).where("nearest is not null").distinct()
     same = b.groupBy(F.lower("nearest").alias("_low")).agg(F.min("nearest").alias("_same"))
-    a = a.select("value", F.concat_ws("", chars(F.col("value"))).alias("x")).join(same, F.lower(strip(F.col("value"))) == F.col("_low"), "left").select("value", "x", "_same")
-    x = a.where("_same is null").select("x").distinct()
-    y = shared_table(b.groupBy(F.concat_ws("", chars(F.col("nearest"))).alias("y")).agg(F.min("nearest").alias("nearest")), "nearest-sets")
-    letters = lambda df, c: df.select("*", F.explode(F.split(F.col(c), "")).alias("ch")).where("ch <> ''")
-    common = letters(x, "x").join(letters(y, "y"), "ch").groupBy("x", "y", "nearest").agg(F.count("*").alias("m"))
-    score = F.col("m") / (F.length("x") + F.length("y") - F.col("m"))
-    best = common.groupBy("x").agg(F.min(F.struct((-score).alias("s"), "nearest")).alias("best"))
-    smallest = y.agg(F.min("nearest")).first()[0]
+    a = shared_table(a.select("value", F.concat_ws("", chars(F.col("value"))).alias("x")).join(same, F.lower(strip(F.col("value"))) == F.col("_low"), "left").select("value", "x", "_same"), "nearest-lost")
+    x = a.where("_same is null and x <> ''").select("x").distinct()
+    if not x.head(1):
+        smallest, best = (b.agg(F.min("nearest")).first()[0] if a.where("_same is null").head(1) else None), x.select("x", F.lit(None).cast("string").alias("near"), F.lit(None).cast("double").alias("s"))
+    else:
+        y = shared_table(b.groupBy(F.concat_ws("", chars(F.col("nearest"))).alias("y")).agg(F.min("nearest").alias("nearest")), "nearest-sets")
+        smallest = y.agg(F.min("nearest")).first()[0]
+        best = nearest_sets(x, y)[0].select("x", F.col("nearest").alias("near"), F.col("score").alias("s"))
     out = a.join(best, "x", "left")
-    return out.select("value", F.coalesce("_same", F.col("best.nearest"), F.lit(smallest)).alias("nearest"), F.round(F.when(F.col("_same").isNotNull(), 2.0).otherwise(F.coalesce(-F.col("best.s"), F.lit(0.0))), 6).alias("score"))
+    return out.select("value", F.coalesce("_same", "near", F.lit(smallest)).alias("nearest"), F.round(F.when(F.col("_same").isNotNull(), 2.0).otherwise(F.coalesce("s", F.lit(0.0))), 6).alias("score"))
 
 
 def foreign_key_with_fix(df: DataFrame, table: str, attr: str, ref: DataFrame, ref_attr: str, tuple_id: str = "tuple_id") -> DataFrame:

@@ -99,3 +99,17 @@ def test_anchors_of_groups_too_large_to_list(spark, monkeypatch):
     assert {r["id"] for r in R.affected_anchors(v, rows, "owner", owners, "id").collect()} == {0, 1, 2}
     sums = S.join_limit(rows, "x", "grp", "owner", owners.withColumn("credits", F.lit(3.0)), "id", "credits", 10)
     assert {r["id"] for r in R.affected_anchors(sums, rows.where("owner = 1"), "owner", owners, "id").collect()} == {1}
+
+
+def test_nearest_sets_equal_brute_force_with_few_comparisons(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789äöüßéèêçñåæø数据研究中心公司有限集团"
+    names = sorted({"".join(rng.choices(letters, weights=[60 // (i + 1) + 1 for i in range(len(letters))], k=rng.randint(3, 14))) for _ in range(3000)})
+    sets = sorted({"".join(sorted(set(n))) for n in names})
+    y = spark.createDataFrame([(t, f"n-{t}") for t in sets], "y string, nearest string")
+    asked = sorted({"".join(sorted(set(t) ^ set(rng.choices(letters, k=rng.randint(0, 2))))) for t in rng.sample(sets, 200)} - {""}) + ["!", "ab!"]
+    got, compared = S.nearest_sets(spark.createDataFrame([(t,) for t in asked], "x string"), y)
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {a: min((-jaccard(a, b), f"n-{b}") for b in sets) for a in asked}
+    assert {r["x"]: (r["nearest"], round(r["score"], 9)) for r in got.collect()} == {a: (n, round(-s, 9)) for a, (s, n) in want.items() if s < 0}
+    assert compared < len(asked) * len(sets) / 4
