@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -299,6 +300,24 @@ def map_extract(docs: DataFrame, extract, schema: str) -> DataFrame:
     return docs.mapInPandas(run, schema)
 
 
+def map_warm(docs: DataFrame, snapshot: DataFrame, violations: DataFrame, anchor: str, extract, schema: str) -> DataFrame:
+    """Runs an injected extractor again, warm: with what it extracted before and what was found wrong with it.
+
+    extract(documents, rows, violations), three pandas frames of one anchor (such as an entity's id), gives the
+    anchor's new rows.  All three sides have the column anchor.  Anchors without documents keep out: there is
+    nothing to read again; those without earlier rows or violations get empty frames (a cold start).
+    """
+    tagged = lambda df, kind: df.select(anchor, F.lit(kind).alias("kind"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))
+    columns = {"row": snapshot.columns, "violation": violations.columns}
+    told = tagged(snapshot, "row").union(tagged(violations, "violation")).join(docs.select(anchor).distinct(), anchor, "left_semi")
+
+    def run(own: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
+        frames = (pd.DataFrame(list(map(json.loads, earlier["json"][earlier["kind"] == k])), columns=names) for k, names in columns.items())
+        return extract(own, *frames)
+
+    return docs.groupBy(anchor).cogroup(told.groupBy(anchor)).applyInPandas(run, schema)
+
+
 def map_relations(anchors: DataFrame, key: str, extract, schema: str, size: int = 20) -> DataFrame:
     """Runs an injected relation extractor on anchored batches: a pandas frame of size anchors (or fewer) at a time.
 

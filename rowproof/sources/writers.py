@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,22 @@ def append_snapshot(rows: DataFrame, path: str, run_id: str, table: str, stage:
     out.write.mode("append").partitionBy("run_id", "tbl", "stage").parquet(path)
 
 
+def store(rows: DataFrame, path: str, run_id: str, table: str) -> None:
+    """Violations or fixes of one run and table: replaces what was stored for these, and nothing else."""
+    out = rows.drop("run_id", "tbl").withColumns({"run_id": F.lit(run_id), "tbl": F.lit(table)})
+    if not out.head(1):
+        clear(rows, path, run_id, table)
+    else:
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "tbl").parquet(path)
+
+
+def clear(like: DataFrame, path: str, run_id: str, table: str) -> None:
+    """Empties one run and table; like: any frame with the stored columns.  A dynamic overwrite without rows would keep them."""
+    if not all(re.fullmatch(r"[\w.-]+", part) for part in (run_id, table)):
+        raise ValueError("run and table must be plain names")
+    like.drop("run_id", "tbl").limit(0).write.mode("overwrite").parquet(f"{path}/run_id={run_id}/tbl={table}")
+
+
 def overwrite_json(df: DataFrame, path: str) -> None:
     """Violations or fixes as JSON lines."""
     df.write.mode("overwrite").json(path)
