@@ -13,7 +13,8 @@ sum over the groups' totals, one row a group, gives each group its place.  Per-s
 aggregates.
 
 Edge cases: a null source is the source ''; texts without words hold 0 tokens and ride along in whole
-blocks; with one source, or no tokens, weights are the shares; ties and null ids go in the order of hash,
+blocks; a source of nothing but such texts has no weight and is used once, as a whole; blocks hold at most
+about BLOCK_TOKENS documents too; with one source, or no tokens, weights are the shares; ties and null ids go in the order of hash,
 then id; an empty table gives no rows.
 """
 
@@ -86,9 +87,9 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     a = mixing_exponent(some, entropy, repeats, budget)
     z = some.agg(F.sum(F.pow(F.col("tokens").cast("double"), F.lit(a)))).first()[0] or 1.0
     goal = F.floor(F.round(F.pow(F.col("tokens").cast("double"), F.lit(a)) / F.lit(z) * F.lit(float(budget)), 3)).cast("long")
-    plan = some.select("source", F.col("tokens").alias("total"), goal.alias("goal"))
-    plan = plan.withColumn("whole", F.floor(F.col("goal") / F.col("total")).cast("long")).withColumn("rest", F.col("goal") - F.col("whole") * F.col("total"))
-    plan = plan.withColumn("blocks", F.ceil(F.col("total") / BLOCK_TOKENS).cast("long"))
+    plan = totals.select("source", F.col("tokens").alias("total"), "n", F.when(F.col("tokens") > 0, goal).otherwise(F.lit(0)).cast("long").alias("goal"))
+    plan = plan.withColumn("whole", F.coalesce(F.floor(F.try_divide("goal", "total")), F.lit(1)).cast("long")).withColumn("rest", F.col("goal") - F.col("whole") * F.col("total"))
+    plan = plan.withColumn("blocks", F.ceil(F.greatest("total", "n") / BLOCK_TOKENS).cast("long"))
     plan = written(plan, "mix-plan")  # one narrow row a source
 
     number = lambda h: F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
@@ -106,7 +107,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     in_group = Window.partitionBy("source", "epoch", "group").orderBy("order", "part")
     uses = uses.join(groups, ["source", "epoch", "group"]).withColumn("block", (F.col("n_before") + F.row_number().over(in_group)).cast("long"))
     before = F.col("size_before") + F.coalesce(F.sum("size").over(in_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    uses = uses.withColumn("room", F.when(F.col("epoch") < F.col("whole"), F.col("size")).otherwise(F.col("rest") - before)).where("room > 0")
+    uses = uses.withColumn("room", F.when(F.col("epoch") < F.col("whole"), F.col("size")).otherwise(F.col("rest") - before)).where("room > 0 or epoch < whole")
     uses = written(uses.select("source", "part", "epoch", "block", "size", "room"), "mix-uses")
     placed = rows.join(plan.select("source", "blocks"), "source").withColumn("part", part % F.col("blocks")).join(uses, ["source", "part"])
     inside = Window.partitionBy("source", "part", "epoch").orderBy(_hash(F.lit(seed), F.col("id"), F.col("epoch")), "id", "tokens")

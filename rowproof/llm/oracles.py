@@ -60,7 +60,8 @@ FROM fit JOIN h USING (host)""",
     "op9_mixing": r"""
 WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+')) AS BIGINT) AS tokens FROM documents),
-tot AS (SELECT source, sum(tokens) AS total FROM t GROUP BY source HAVING sum(tokens) > 0),
+every AS (SELECT source, sum(tokens) AS total, count(*) AS n FROM t GROUP BY source),
+tot AS (SELECT source, total, n FROM every WHERE total > 0),
 al AS (SELECT sum(total) AS b, count(*) AS k FROM tot),
 sh AS (SELECT source, total, total / b AS p FROM tot, al),
 e(i, lo, hi) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM
@@ -68,15 +69,15 @@ e(i, lo, hi) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL SELECT
 r(i, lo, hi) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END FROM
   (SELECT i, lo, hi, (lo + hi) / 2 AS mid, (SELECT max(pow(p, (lo + hi) / 2) / p) / sum(pow(p, (lo + hi) / 2)) FROM sh) > 4.0 AS ok FROM r WHERE i < 40) q),
 x AS (SELECT CASE WHEN (SELECT k FROM al) < 2 THEN 1.0 ELSE round(greatest((SELECT lo FROM e WHERE i = 40), (SELECT lo FROM r WHERE i = 40)), 4) END AS a),
-w AS (SELECT source, total, CAST(floor(round(pow(CAST(total AS DOUBLE), a) / (SELECT sum(pow(CAST(total AS DOUBLE), a)) FROM tot, x) * b, 3)) AS BIGINT) AS goal FROM tot, x, al),
-pl AS (SELECT source, goal // total AS whole, goal - (goal // total) * total AS rest, CAST(ceil(total / 32768) AS BIGINT) AS blocks FROM w),
+w AS (SELECT source, total, n, CASE WHEN total > 0 THEN CAST(floor(round(pow(CAST(total AS DOUBLE), a) / (SELECT sum(pow(CAST(total AS DOUBLE), a)) FROM tot, x) * b, 3)) AS BIGINT) ELSE 0 END AS goal FROM every, x, al),
+pl AS (SELECT source, CASE WHEN total > 0 THEN goal // total ELSE 1 END AS whole, CASE WHEN total > 0 THEN goal - (goal // total) * total ELSE 0 END AS rest, CAST(ceil(greatest(total, n) / 32768) AS BIGINT) AS blocks FROM w),
 dealt AS (SELECT t.*, whole, rest, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % blocks AS part FROM t JOIN pl USING (source)),
 bl AS (SELECT source, part, sum(tokens) AS size, any_value(whole) AS whole, any_value(rest) AS rest FROM dealt GROUP BY ALL),
 us AS (SELECT *, unnest(range(0, CAST(whole + 1 AS BIGINT))) AS epoch FROM bl),
 ord AS (SELECT *, row_number() OVER v AS block, coalesce(sum(size) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM us WINDOW v AS (PARTITION BY source, epoch ORDER BY md5('mix:' || source || ':' || part || ':' || epoch), part)),
-room AS (SELECT source, part, epoch, block, size, CASE WHEN epoch < whole THEN size ELSE rest - before END AS room FROM ord),
+room AS (SELECT source, part, epoch, block, size, whole, CASE WHEN epoch < whole THEN size ELSE rest - before END AS room FROM ord),
 pos AS (SELECT d.doc_id, d.source, d.tokens, r.epoch, r.block, r.size, r.room, row_number() OVER v AS position, sum(d.tokens) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM dealt d JOIN room r ON d.source = r.source AND d.part = r.part AND r.room > 0 WINDOW v AS (PARTITION BY d.source, d.part, r.epoch ORDER BY md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || r.epoch), d.doc_id, d.tokens))
+  FROM dealt d JOIN room r ON d.source = r.source AND d.part = r.part AND (r.room > 0 OR r.epoch < r.whole) WINDOW v AS (PARTITION BY d.source, d.part, r.epoch ORDER BY md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || r.epoch), d.doc_id, d.tokens))
 SELECT doc_id, source, tokens, epoch, block, position FROM pos WHERE room >= size OR upto <= room""",
     "op5_exact_dedup": r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents),

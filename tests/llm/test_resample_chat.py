@@ -138,3 +138,15 @@ def test_a_long_conversation_comes_in_parts(spark):
     digest = C.chat_digest(C.format_chat(df, part_chars=500)).first()
     whole = C.chat_digest(C.format_chat(df)).first()
     assert digest == whole and digest["n_turns"] == 3000
+
+
+def test_mixing_keeps_sources_of_empty_texts(spark):
+    from rowproof.llm import mixing
+
+    rows = [(i, "some words here " * (i % 5 + 1), "a") for i in range(50)] + [(100 + i, "", "b") for i in range(20)] + [(200 + i, None, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).collect()
+    assert {r["id"] for r in got} == {r[0] for r in rows}
+    assert sorted(r["id"] for r in got if r["source"] != "a") == [r[0] for r in rows[50:]]  # each once
+    empty = mixing.mix_sources(df.where("source is null or source = 'b'")).collect()
+    assert len(empty) == 25 and {r["epoch"] for r in empty} == {0}
