@@ -67,8 +67,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, without later copies: of equal texts the row with the smallest id stays.
 
-    Rows meet the list of lost ones by id, and only rows with a listed id are hashed to tell texts of one id
-    apart.  The text moves once, at every size alike (the list grows with the data, so it is never broadcast),
+    Rows meet the list of lost ones by id and full hash, which is taken of every text: an id on many texts then
+    is no hot key.  The text moves once, at every size alike (the list grows with the data, so it is never broadcast),
     and a hot text is spread by id.  Null texts are empty ones, null ids meet null ids, whole repeated rows
     leave one; an empty table stays empty.
     """
