@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,7 +24,7 @@ ASCII_SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of a narrow table that share a file.
 ROWS_PER_FILE = 250_000
 
-_scratch: list[str] = []
+_scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("rowproof_scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,13 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside go to a folder of their own, which is removed at the end: by then their readers must have run."""
+    """Tables written inside go to a folder of their own, which is removed at the end: by then their readers must have run.
+
+    The folder belongs to the calling thread's context, so pipelines in several threads keep to their own.
+    """
     path = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    before = _scratch.set(path)
     try:
         yield
     finally:
-        _scratch.remove(path)
+        _scratch.reset(before)
         jvm = spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
@@ -54,13 +58,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage ends there, executors may be lost.
 
-    rows: about how many rows there are, if known.  A table that is small for its partitions then takes few
-    files: two a core, or as many as keep ROWS_PER_FILE rows each.
+    rows: about how many rows a narrow table has, if known.  It then takes few files: two a core, or as many as
+    keep ROWS_PER_FILE rows each.  The rows are dealt to them by a shuffle, so the stage that makes them, which may
+    join whole texts, keeps the tasks that it has.
     """
     spark = df.sparkSession
-    path = f"{_scratch[-1] if _scratch else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
-        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // ROWS_PER_FILE))
+        df = df.repartition(max(2 * spark.sparkContext.defaultParallelism, rows // ROWS_PER_FILE))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

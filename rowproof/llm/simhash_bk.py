@@ -505,9 +505,9 @@ def similar_components(rows: DataFrame, nodes: DataFrame, found: DataFrame, word
     wanted = found.select(F.explode(F.array("a", "b")).alias("node")).union(shared.select("node")).distinct()
     wanted = written(wanted.join(nodes.select("node", "text_hash"), "node").select("node", "text_hash"), "simhash-wanted", n)
     texts = rows.select("text_hash", "text").join(broadcast_if_small(wanted), "text_hash").select("node", "text").dropDuplicates(["node"])
-    texts = written(texts, "simhash-texts", 8 * n)
+    texts = written(texts, "simhash-texts")  # wide: in as many tasks as adaptive execution gives their shuffle
     sketches = map_texts(texts, "text", ("node",), lambda ts: {"sketch": [sketch(np.unique(shingle_hashes(t, words))) for t in ts]}, "sketch binary")
-    sketches = written(sketches, "simhash-sketches", 2 * n)
+    sketches = written(sketches, "simhash-sketches")
 
     def tested(pairs: DataFrame) -> DataFrame:
         likely = written(possible_links(pairs, sketches, least), "simhash-likely", n)

@@ -6,6 +6,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rowproof.llm import common, decontam, exact_dedup, html_blocks, license_rules, license_scan, mixing, pii_crf, simhash_bk
@@ -237,6 +238,31 @@ def test_exact_dedup_hashes_survivors_only(spark):
     assert (got[3]["keep_id"], got[3]["group_size"], got[None]["kept"], got[4]["group_size"]) == (2, 3, False, 1)
     kept = exact_dedup.keep_first(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5, 7]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    keyed = [line for line in plan.splitlines() if "Exchange" in line or "Sort [" in line]
+    assert keyed and not any("sha2" in line for line in keyed)  # the full hash is no key: it is taken where all else agrees
+
+
+def test_rows_of_equal_beginning_and_length_stay(spark):
+    same = "x" * 100
+    rows = [(1, same), (1, same[:-1] + "y"), (1, same), (2, same), (2, same[:-1] + "z"), (None, same), (None, same[:-1] + "y")]
+    kept = exact_dedup.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"][-1]) for r in kept.collect()) == [(1, "x"), (1, "y"), (2, "z")]
+
+
+def test_heavy_stages_keep_their_tasks(spark):
+    """A table's few files are dealt by a shuffle after the rows are made; scratch folders of two threads are their own."""
+    import threading
+
+    made = spark.range(0, 1000, 1, 40).select(F.spark_partition_id().alias("task"))
+    with common.scratch(spark):
+        table = common.written(made, "some", 10)
+        assert table.distinct().count() == 40 and len(table.inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+        other = []
+        thread = threading.Thread(target=lambda: other.append(common._scratch.get()))
+        thread.start()
+        thread.join()
+        assert other == [None]
 
 
 def test_mixing_orders_many_blocks_by_groups(spark, monkeypatch):
