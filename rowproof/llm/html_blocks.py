@@ -2,7 +2,10 @@
 
 The page is cut into blocks at block-level tags.  A block's features are its word count and link density,
 those of the blocks before and after it, how surely an enclosing element is boilerplate (menu, header, footer,
-sidebar, notice, advert, form, comments) and whether one is main (article, main), if the page has any.  The tree is grown here, by
+sidebar, notice, advert, form, comments), whether one is main (article, main), if the page has any, and which
+share of the page's words stands in the element around it that perhaps is boilerplate: a wrapper of nearly the
+whole page is none.  A class or id says so surely only if its head noun does ('story-comments', 'ad-slot'); a word
+that qualifies another ('comments-open', 'overlay-networks') is a hint.  The tree is grown here, by
 Gini impurity, on the labelled blocks of the small pages in PAGES, whose neighbours are their real ones: it
 tells a heading from a menu entry, or a linked sentence from a list of links, by what stands beside it.
 
@@ -36,11 +39,23 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BOILER_TAGS = frozenset("nav footer aside form button menu dialog fieldset".split())
 MAIN_TAGS = frozenset(("article", "main"))
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-#: Words that mark boilerplate wherever they stand in a class or id, as whole or between hyphens.
+#: Words that mark boilerplate as a whole class or id, or as its head: the last word but for those of HOLDERS.
 STRONG_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promotion navbar submenu breadcrumb breadcrumbs masthead sidebar "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login paywall searchbox comment comments commentlist reply replies respond disqus pagination".split()
 )
+#: Words that name a box or its place, after the word that tells what is in it.
+HOLDERS = frozenset(
+    "list lists section area box block container wrapper wrap inner outer item items body text content title heading header footer head slot unit bar form panel pane "
+    "message banner button link links top bottom left right center middle inline main small large fixed sticky primary secondary wide mobile desktop".split()
+)
+#: Of these words, those that an article element or an id within a main element may bear.
+COMMENT_WORDS = frozenset("comment comments commentlist respond disqus".split())
+#: A heading that opens reader comments, in the languages of the pages at hand.
+COMMENT_HEADING = re.compile(r"(?:\(?\d+\)? )?(?:(?:reader |readers' |user |leave a |post a |add a |all )?(?:comments?|reply|replies)|(?:leser)?kommentare?|commentaires?|comentarios?)(?: \(?\d+\)?)?:?", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of an article of its own beside which an article inside it is a reader's comment.
+OWN_WORDS = 20
 #: Words that do so only as a whole class or id, and only outside a main element: a hint that the tree weighs.
 WEAK_WORDS = frozenset(
     "banner nav navigation menu header topbar footer foot bottombar side aside widget widgets rail alert subscription form search discussion share sharing social "
@@ -65,8 +80,18 @@ PAGES = (
     "article,h1 5/5 1; article,p 10/0 1; article,p 8/0 1; article,p 20/0 1; article,p 8/8 1", "article,p 30/0 1; article,p 2/2 1; article,p 9/0 1; article,h2 3/3 1; article,p 15/0 1; article,p 12/12 1",
     "div,p 1/0 0; article,h1 5/0 1; article,p 60/0 1; div,p 30/0 0; div,p 12/0 0", "div,h2 3/0 0; main,p 80/0 1; main,p 20/0 1; div,p 45/0 0; div,p 9/0 0; div,a 2/2 0",
     "h1 5/0 1; p 36/0 1", "p 12/0 1", "div.banner,p 12/0 0; article,p 40/0 1; div.social,a 1/1 0; div.social,a 1/1 0",
+    "nav,a 2/2 0; div.comments-open,h1 7/0 1; div.comments-open,p 60/0 1; div.comments-open,p 2/0 1; div.comments-open,p 45/3 1; div.comments-open,h2 3/0 1; div.comments-open,p 70/0 1; footer 8/1 0",
+    "div.ad-free,h1 5/0 1; div.ad-free,p 12/0 1; div.ad-free,p 50/0 1; div.ad-free,p 4/4 1; div.ad-free,p 66/5 1; div.ad-free,a 2/2 0; div.ad-free,a 3/3 0; div.ad-free,a 2/2 0",
+    "div,h1 6/0 1; div,p 80/0 1; div,p 55/4 1; div.notice-of-copyright,p 24/0 0; div.widget,p 30/0 0; div.signup-offer,p 18/0 0; div.signup-offer,p 3/0 0",
+    "div.newsletter-archive,h2 4/0 1; div.newsletter-archive,p 22/0 1; div.newsletter-archive,p 31/0 1; div.newsletter-archive,p 5/0 1; div.newsletter-archive,p 28/2 1; div.banner,p 9/0 0",
+    "article,h1 5/0 1; article,p 60/0 1; article,p 8/0 1; article,aside,p 15/0 0; article,p 33/0 1; article,aside,p 10/0 0; article,div.promo,p 9/0 0; article,div.ad,p 9/0 0; article,p 50/0 1; article,div.comments,p 9/0 0; article,div.comments,p 17/0 0",
+    "main,h1 4/0 1; main,p 44/0 1; main,p 70/1 1; div.comments,h2 1/0 0; div.comments,p 9/0 0; div.comments,p 12/0 0; div.comments,p 30/0 0; div.comments,p 8/0 0; div.comments,p 64/0 0; div.comments,p 14/0 0; footer 12/0 0",
+    "header 4/0 0; header,p 12/0 0; div.cookies,p 16/0 0; div,h1 6/0 1; div,p 52/0 1; div,p 9/0 1; div,p 38/2 1; div.sidebar,p 14/0 0; div.sidebar,p 28/0 0; div.comments,p 11/0 0; div.comments,p 58/0 0; div.comments,p 13/0 0; footer 10/0 0",
+    "div,a 1/1 0; div,a 3/3 0; div,a 1/1 0; article,h1 4/0 1; article,p 40/0 1; article,p 64/2 1; article,p 6/1 1; article,p 70/6 1; article,p 11/0 1; article,h2 3/0 1; article,p 58/4 1; div,a 6/6 0; div,a 2/2 0",
+    "div,a 2/2 0; div,h1 5/0 1; div,p 61/3 1; div,p 48/1 1; div,p 7/1 1; div,p 33/0 1; div.tags,p 6/1 0; div.widget,p 14/0 0; div.related,p 12/1 0; div.widget,p 26/3 0; div.share,p 5/0 0; div.copyright,p 18/1 0",
+    "div.topbar,p 8/1 0; div.topbar,p 15/0 0; div,h1 5/0 1; div,p 9/1 1; div,p 47/2 1; div,p 4/0 1; div,p 66/5 1; div,p 12/1 1; div,p 29/0 1; div.widget,p 40/2 0; div.widget,p 3/0 0; div.tags,p 9/2 0",
 )
-FEATURES = ("boilerplate", "main", "words", "density", "words_before", "density_before", "words_after", "density_after")
+FEATURES = ("boilerplate", "main", "words", "density", "words_before", "density_before", "words_after", "density_after", "share")
 
 
 def labelled_blocks(pages: tuple[str, ...] = PAGES) -> list[tuple]:
@@ -112,8 +137,19 @@ def tree_says(tree: tuple, row: tuple) -> float:
     return tree[1]
 
 
+def _named(name: str) -> int:
+    """3 if a class or id names boilerplate by its head, 4 if a word of it hints at that, else 0."""
+    if name.startswith(ABOUT):
+        return 0
+    parts = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+    if STRONG_WORDS.isdisjoint(parts):
+        return 4 if name in WEAK_WORDS else 0
+    head = next((w for w in reversed(parts) if w not in HOLDERS and not w[0].isdigit()), "")
+    return 3 if head in STRONG_WORDS else 4
+
+
 def _kind(tag: str, raw: str, in_main: bool) -> int:
-    """1 boilerplate, 2 main, 3 boilerplate by a strong word of its class or id only, 4 perhaps boilerplate by a weak word, 0 neither."""
+    """1 boilerplate, 2 main, 3 boilerplate by its class or id only, 4 perhaps boilerplate by a word of them, 0 neither."""
     if tag in BOILER_TAGS or (tag == "header" and not in_main):
         return 1
     soft = weak = False
@@ -127,11 +163,13 @@ def _kind(tag: str, raw: str, in_main: bool) -> int:
                     return 1
                 if value in ("main", "article"):
                     return 3 if soft and value == "article" else 2
-            elif tag not in ("body", "html", "article", "main") and m[1].lower() in ("class", "id"):
+            elif tag not in ("body", "html", "main") and (by := m[1].lower()) in ("class", "id"):
                 for name in value.split():
-                    if not name.startswith(ABOUT):
-                        soft = soft or not STRONG_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", name))
-                        weak = weak or name in WEAK_WORDS
+                    kind = _named(name)
+                    if kind == 3 and (tag == "article" or (by == "id" and in_main and tag != "div")) and COMMENT_WORDS.isdisjoint(name.split("-")):
+                        kind = 4  # an article tells what it has, an id within one may be the anchor of a chapter
+                    soft |= kind == 3
+                    weak |= kind == 4
     return 3 if soft else 2 if tag in MAIN_TAGS else 4 if weak and not in_main else 0
 
 
@@ -183,13 +221,17 @@ def tokens(page: str) -> Iterator[tuple[int, int, str]]:
         at = page.find("<", end)
 
 
-def blocks(page: str | None) -> list[tuple[str, int, int, float, bool]]:
-    """(text, words, words in links, boilerplate around: 1, perhaps 0.5 or 0, within main) of each non-empty block, in page order.
+def blocks(page: str | None) -> list[tuple[str, int, int, float, bool, float]]:
+    """(text, words, words in links, boilerplate around: 1, perhaps 0.5 or 0, within main, share) of each non-empty block, in page order.
 
-    A strong class or id word marks all that is inside as boilerplate.  If that leaves no main element of the
-    page, the wrappers around the main element with most words are pardoned in main elements.
+    A class or id that names boilerplate marks all that is inside.  If that leaves no main element of the
+    page, the wrappers around the main element with most words are pardoned in main elements.  share: of the
+    words that nothing surely marks, those in the outermost element around the block that perhaps is boilerplate.
+    An article within another that has text of its own, and what follows a heading such as 'Comments' in the
+    heading's parent (unless that is a main element or the page), are reader comments.
     """
     out: list[tuple[str, int, int, float, bool]] = []
+    hints: list[int] = []  # of each block: the number of the outermost element around it that perhaps is boilerplate, or 0
     wraps: list[tuple[int, ...] | None] = []  # of each block in a main element marked by words outside it only: the marked wrappers
     if not page:
         return out
@@ -197,6 +239,9 @@ def blocks(page: str | None) -> list[tuple[str, int, int, float, bool]]:
     text: list[str] = []
     linked = bad = good = weak = opened = 0
     link = -1  # how many block elements were open when the open link began
+    tags: dict[str, int] = {}  # how many block elements of a name are open
+    hint = hinted = articles = own = 0  # own: words in one open article, but for those that are surely none of it
+    heads = -1  # how many blocks there were when the open heading began
     soft: list[int] = []  # numbers of the open wrappers that are marked by a word
     outer: tuple[int, ...] = ()  # those around the outermost open main element
 
@@ -208,28 +253,45 @@ def blocks(page: str | None) -> list[tuple[str, int, int, float, bool]]:
             linked += len(piece.split())
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, own
         if text:
             words = "".join(text).split()
             if words:
                 boiler = 1.0 if bad or soft else 0.5 if weak and not good else 0.0  # a weak word outside a main element says nothing in it
                 out.append((" ".join(words), len(words), min(linked, len(words)), boiler, good > 0))
+                hints.append(hint if boiler == 0.5 else 0)
+                own += len(words) if articles == 1 and boiler < 1 else 0
                 wraps.append(outer if good and not bad and len(soft) == len(outer) > 0 else None)
         text.clear()
         linked = 0
 
     def close(n: int) -> None:
-        nonlocal bad, good, weak, link
-        for _, kind in stack[n:]:
+        nonlocal bad, good, weak, link, articles, own
+        for name, kind in stack[n:]:
+            tags[name] -= 1
             bad -= kind == 1
             good -= kind == 2
             weak -= kind == 4
+            if name == "article" and kind == 2:
+                articles -= 1
+                own = own if articles else 0
             if kind == 3:
                 soft.pop()
         del stack[n:]
         if link > n:
             link = -1  # a link ends with the element it began in
 
+    def comments_from_here() -> None:
+        """The open heading's parent holds comments, from the heading on."""
+        nonlocal bad, weak
+        k = len(stack) - 2
+        if k >= 0 and stack[k][0] in ("section", "div") and stack[k][1] in (0, 4):
+            weak -= stack[k][1] == 4
+            bad += 1
+            stack[k] = (stack[k][0], 1)
+            out[-1] = (*out[-1][:3], 1.0, out[-1][4])
+            hints[-1] = 0
+
     at = 0
     for start, end, tag in tokens(page):
         if start > at:
@@ -250,17 +312,33 @@ def blocks(page: str | None) -> list[tuple[str, int, int, float, bool]]:
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+            if tag in HEADINGS and heads >= 0 and tags.get(tag):
+                if len(out) == heads + 1 and COMMENT_HEADING.fullmatch(out[-1][0]):
+                    comments_from_here()
+                heads = -1
+            if tags.get(tag):  # else a stray end tag; what is walked over here is closed, so the walk is paid for
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
         else:
             if tag in ("p", "li", "td", "tr", "dt", "dd") and stack and stack[-1][0] == tag:
                 close(len(stack) - 1)  # these end where the next one begins
             raw = page[start:end]
             if not raw.endswith("/>"):
                 kind = _kind(tag, raw, good > 0)
+                if tag == "article" and kind == 2:
+                    if articles and own >= OWN_WORDS:
+                        kind = 1
+                    else:
+                        articles += 1
+                if tag in HEADINGS:
+                    heads = len(out)
                 stack.append((tag, kind))
+                tags[tag] = tags.get(tag, 0) + 1
+                if kind == 4 and not weak:
+                    hinted += 1
+                    hint = hinted
                 bad += kind == 1
                 weak += kind == 4
                 if kind == 2:
@@ -279,7 +357,11 @@ def blocks(page: str | None) -> list[tuple[str, int, int, float, bool]]:
                 words[w] = words.get(w, 0) + b[1]
         pardoned = set(max(words, key=words.get))
         out = [(*b[:3], 0.0 if w and pardoned.issuperset(w) else b[3], b[4]) for w, b in zip(wraps, out)]
-    return out
+    held = [0] * (hinted + 1)
+    for h, b in zip(hints, out):
+        held[h] += b[1] if b[3] < 1 else 0
+    unmarked = sum(held)
+    return [(*b, held[h] / unmarked if h else 0.0) for h, b in zip(hints, out)]
 
 
 def features(found: list[tuple]) -> list[tuple]:
@@ -287,9 +369,9 @@ def features(found: list[tuple]) -> list[tuple]:
 
     main is 1 within a main element, -1 outside of those that the page has, and 0 if it has none.
     """
-    outside = -1 if any(good and bad < 1 for *_, bad, good in found) else 0
-    sizes = [(0, 0.0), *((n, k / n) for _, n, k, _, _ in found), (0, 0.0)]
-    return [(bad, 1 if good else outside, *sizes[i], *sizes[i - 1], *sizes[i + 1]) for i, (*_, bad, good) in enumerate(found, 1)]
+    outside = -1 if any(good and bad < 1 for *_, bad, good, _ in found) else 0
+    sizes = [(0, 0.0), *((n, k / n) for _, n, k, *_ in found), (0, 0.0)]
+    return [(bad, 1 if good else outside, *sizes[i], *sizes[i - 1], *sizes[i + 1], share) for i, (*_, bad, good, share) in enumerate(found, 1)]
 
 
 def main_text(page: str | None, tree: tuple) -> str:

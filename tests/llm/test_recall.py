@@ -95,6 +95,55 @@ def test_odd_pages(page, want):
     assert html_blocks.main_text(page, tree) == "\n\n".join(w.strip() for w in want)
 
 
+STORY = "Some plain words of a paragraph that is long enough to be the text of a story, with more in it. " * 3
+BODY = f"<h1>The title of a story</h1><p>{STORY}</p><p>{STORY}</p><p>Short one.</p><p>{STORY}</p>"
+LIKED = "<p>I liked this a lot, thank you for it.</p>"
+
+
+@pytest.mark.parametrize(
+    "page, same",
+    [
+        (f"<div class='story comments-open'>{BODY}</div>", BODY),
+        (f"<div class='content ad-free'>{BODY}</div>", BODY),
+        (f"<div id='page' class='newsletter-archive'>{BODY}</div>", BODY),
+        (f"<article>{BODY}<section id='overlay-networks'><p>{STORY}</p></section></article>", f"{BODY}<p>{STORY}</p>"),
+        (f"<article>{BODY}<section id='reply'><p>{STORY}</p></section></article>", f"{BODY}<p>{STORY}</p>"),
+        (f"<article>{BODY}<div class='notice-board-history'><p>{STORY}</p></div></article>", f"{BODY}<p>{STORY}</p>"),
+        (f"<article>{BODY}<article class='comment'>{LIKED}</article></article>", BODY),
+        (f"<article>{BODY}<article>{LIKED}</article></article>", BODY),
+        (f"<article>{BODY}</article><section><h2>Comments</h2><article>{LIKED}</article><article>{LIKED}</article></section>", BODY),
+        (f"<article>{BODY}</article><div><h3>2 Kommentare</h3><article>{LIKED}</article></div>", BODY),
+        (f"<article><article>{BODY}</article></article>", BODY),
+        (f"<article>{BODY}<div class='story-comments'>{LIKED}</div><div class='newsletter-signup-box'>{LIKED}</div><div class='ad-slot-2'>{LIKED}</div></article>", BODY),
+        (f"<article><h2>Comments</h2>{BODY}</article>", f"<h2>Comments</h2>{BODY}"),
+    ],
+)
+def test_words_of_classes_are_weighed(page, same):
+    tree = html_blocks.grow_tree(html_blocks.labelled_blocks())
+    assert html_blocks.main_text(page, tree) == html_blocks.main_text(f"<article>{same}</article>", tree) != ""
+
+
+def test_pages_without_main_element():
+    """Generated pages without article or main, of which half have a wrapper with a word of boilerplate: words found and words wrongly kept."""
+    rng = random.Random(17)
+    tree = html_blocks.grow_tree(html_blocks.labelled_blocks())
+    say = lambda lo, hi, stem: " ".join(f"{stem}{rng.randrange(10**6)}" for _ in range(rng.randint(lo, hi)))
+    hit = all_main = kept = 0
+    for k in range(60):
+        link = lambda: f"<a href='#'>{say(1, 3, 'x')}</a>"  # noqa: B023,E731
+        text = f"<h1>{say(4, 9, 'm')}</h1>" + "".join(f"<h2>{say(2, 5, 'm')}</h2>" if rng.random() < 0.15 else f"<p>{say(20, 90, 'm')}</p>" for _ in range(rng.randint(4, 12)))
+        wrapper = rng.choice(["story comments-open", "ad-free", "newsletter-archive", "promo-disabled page", "popup-blocker-guide"]) if k % 2 else rng.choice(["", "content", "post", "entry"])
+        after = "".join(
+            rng.sample([f"<div class='sidebar'><p>{say(10, 40, 'x')}</p></div>", f"<div class='post-comments'><p>{say(5, 60, 'x')}</p><p>{say(5, 60, 'x')}</p></div>", f"<div class='related'>{link()}<hr>{link()}<hr>{link()}</div>", f"<div class='cookie-notice'>{say(8, 20, 'x')}</div>"], 2)
+        )
+        page = f"<nav><ul>{''.join(f'<li>{link()}</li>' for _ in range(5))}</ul></nav><div class='{wrapper}'>{text}</div>{after}<footer>{say(3, 12, 'x')}</footer>"
+        got = html_blocks.main_text(page, tree).split()
+        kept += len(got)
+        hit += sum(w[0] == "m" for w in got)
+        all_main += sum(w[0] == "m" for w in html_blocks.re.sub("<[^>]*>", " ", text).split())
+    assert hit >= 0.98 * all_main and hit >= 0.98 * kept, (hit, all_main, kept)
+
+
 def test_the_tree_uses_neighbours_and_fits_its_blocks():
     rows = html_blocks.labelled_blocks()
     tree = html_blocks.grow_tree(rows)
@@ -115,7 +164,7 @@ def test_long_and_broken_pages_are_read_in_linear_time():
     import time
 
     began = time.process_time()
-    for page in ("<p>" + "<a '" * 200_000, '<p title="' * 100_000, "<" * 300_000, "<p a=\"" + "x' " * 200_000, "<div class=x>" * 50_000, "<!--" * 100_000, "<script>" * 100_000):
+    for page in ("<p>" + "<a '" * 200_000, '<p title="' * 100_000, "<" * 300_000, "<p a=\"" + "x' " * 200_000, "<div class=x>" * 50_000, "<!--" * 100_000, "<script>" * 100_000, "<div>" * 50_000 + "</b2>" * 50_000):
         html_blocks.blocks(page)
     assert time.process_time() - began < 20
 
