@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rowproof.llm import common, decontam, exact_dedup, html_blocks, license_rules, license_scan, mixing, pii_crf, simhash_bk
+from rowproof.llm import common, decontam, exact_dedup, html_blocks, license_rules, license_scan, mixing, pii_crf, simhash_bk, toxicity_fm
 from rowproof.llm import queries as Q
 
 
@@ -266,7 +266,31 @@ def test_toxic_documents_are_found(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = [(labels[r["doc_id"]], r["predicted"]) for r in Q.op8_toxicity(spark, sf).collect() if r["held_out"] and labels.get(r["doc_id"]) is not None]
     hit, miss, false = (sum(g == x for g in got) for x in ((1, 1), (1, 0), (0, 1)))
-    assert hit / (hit + miss) >= 0.8 and hit / (hit + false) >= 0.95
+    assert hit / (hit + miss) >= 0.9 and hit / (hit + false) >= 0.95
+
+
+def test_toxicity_cut_has_about_the_largest_f1():
+    """The cut against all cuts, with ties and weights; the map from logits to scores keeps their order."""
+    rng = random.Random(5)
+    for _ in range(50):
+        n = rng.randint(2, 30)
+        z = np.array([rng.choice([-2.0, -1.5, 0.0, 0.25, 3.0, rng.uniform(-3, 3)]) for _ in range(n)])
+        y = np.array([1.0, 0.0] + [float(rng.random() < 0.4) for _ in range(n - 2)])
+        weight = np.where(y == 1, 1.0, 3.0)
+
+        def f1(cut):
+            called = z >= cut
+            return 2 * (weight * y)[called].sum() / (weight[called].sum() + (weight * y).sum())
+
+        best = max(map(f1, z))
+        cut = toxicity_fm._cut(z, y, weight)
+        assert f1(cut) >= best - toxicity_fm.SLACK and not any(f1(x) >= best - toxicity_fm.SLACK for x in z if x < cut)
+    bad, good = ["you awful zorb people", "zorb scum awful"], ["a calm day", "the river runs", "people like tea"]
+    sample = [(1, t) for t in bad * 6] + [(0, t) for t in good * 6]
+    machine = toxicity_fm.fit_machine(sample)
+    assert all(s >= toxicity_fm.AT for s in machine.scores(bad)) and all(s < toxicity_fm.AT for s in machine.scores([*good, "", None]))
+    few = toxicity_fm.fit_machine(sample[10:])  # two labels of class 1: nothing is moved
+    assert few.bias == toxicity_fm._learn(toxicity_fm._all_terms([t for _, t in sample[10:]]), np.array([y for y, _ in sample[10:]], float), toxicity_fm.WIDTH, 7).bias
 
 
 def test_fit_samples_are_whole_and_bounded(spark):
