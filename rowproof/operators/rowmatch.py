@@ -32,12 +32,14 @@ from ..sources.shared import shared_table
 from .evaluate import LEAST_SIMILARITY, compare, dashed_date, is_truth
 
 #: Contents in a block of gold and of made rows; a pair of blocks is one call.  Few blocks of made rows, as each brings lists.
-GOLD_BLOCK, MADE_BLOCK = 512, 4096
+GOLD_BLOCK, MADE_BLOCK = 256, 16_384
 #: Length of the first lists, and how many of a list are scored exactly before the walk.
 LISTED, DEPTH = 256, 8
 KINDS = ("null", "numeric", "date", "boolean", "string")
 #: Fields with at most so many pairs of different texts have all of them scored beforehand.
 PAIRS = 20_000
+#: Entries of a list that come to the walk in one row.
+PIECE = 256
 #: Columns of an array of hashed 2-grams.
 GRAMS = 512
 
@@ -100,6 +102,21 @@ def _few_texts(gold: DataFrame, made: DataFrame, n: int) -> dict[int, dict[tuple
     return found
 
 
+def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which texts of a are which of b, compared by number."""
+    code = pd.factorize(np.concatenate([a, b]))[0]
+    return code[: len(a), None] == code[None, len(a) :]
+
+
+def _largest(ub: np.ndarray, k: int) -> np.ndarray:
+    """Which k entries of each row are the largest (ties: the first), all where there are fewer."""
+    if ub.shape[1] <= k:
+        return np.ones(ub.shape, bool)
+    last = np.partition(ub, ub.shape[1] - k, axis=1)[:, [ub.shape[1] - k]]
+    above, level = ub > last, ub == last
+    return above | level & (np.cumsum(level, axis=1) <= k - above.sum(1, keepdims=True))
+
+
 def _bounds(g: pd.DataFrame, m: pd.DataFrame, few: dict[int, dict[tuple[str, str], float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all pairs: the bound of the score, rounded as scores are; the sum of what is exact; the fields that are not, as bits."""
     known, most, open_ = np.zeros((len(g), len(m))), np.zeros((len(g), len(m))), np.zeros((len(g), len(m)), np.int64)
@@ -107,16 +124,24 @@ def _bounds(g: pd.DataFrame, m: pd.DataFrame, few: dict[int, dict[tuple[str, str
         a, b = ({k: np.array([r[i][k] for r in side["f"]], float if k in "kn" else object) for k in "kntdx"} for side in (g, m))
         ka, kb = a["k"][:, None], b["k"][None, :]
         either = lambda code: (ka == code) | (kb == code)
-        e, v = a["n"][:, None], b["n"][None, :]
-        with np.errstate(all="ignore"):
-            near = np.where(e != 0, np.maximum(0.0, 1 - np.abs(e - v) / np.abs(e)), 0.0)
-        number = np.where(np.isnan(e) | np.isnan(v), 0.0, np.where(e == v, 1.0, np.nan_to_num(near, nan=1.0)))
-        same = lambda k: (a[k][:, None] == b[k][None, :]).astype(float)
-        exact = np.select([(ka == 0) & (kb == 0), either(0), either(1), either(2)], [1.0, 0.0, number, same("d")], same("x"))
+        same = lambda k: _equal(a[k], b[k])
+        kinds = set(a["k"].tolist()) | set(b["k"].tolist())
+        # later kinds give way to earlier ones; only what occurs is computed
+        exact = same("x").astype(float) if kinds == {4} or len(kinds) > 1 else np.zeros((len(g), len(m)))
+        if 2 in kinds:
+            exact = np.where(either(2), same("d"), exact)
+        if 1 in kinds:
+            e, v = a["n"][:, None], b["n"][None, :]
+            with np.errstate(all="ignore"):
+                near = np.where(e != 0, np.maximum(0.0, 1 - np.abs(e - v) / np.abs(e)), 0.0)
+            number = np.where(np.isnan(e) | np.isnan(v), 0.0, np.where(e == v, 1.0, np.nan_to_num(near, nan=1.0)))
+            exact = number if kinds == {1} else np.where(either(1), number, exact)
+        if 0 in kinds:
+            exact = np.where((ka == 0) & (kb == 0), 1.0, np.where(either(0), 0.0, exact))
         texts = either(4) & ~either(0) & ~either(1)
         bound = exact
         if texts.any():
-            alike = same("t")
+            alike = same("t").astype(float)
             ta, ia = np.unique(a["t"].astype(str), return_inverse=True)
             tb, ib = np.unique(b["t"].astype(str), return_inverse=True)
             if i in few:
@@ -132,7 +157,7 @@ def _bounds(g: pd.DataFrame, m: pd.DataFrame, few: dict[int, dict[tuple[str, str
 
 
 def _lists(gold: DataFrame, made: DataFrame, k: int, least: float, few: dict[int, dict[tuple[str, str], float]]) -> DataFrame:
-    """grp, g, m (contents), known, open, and t, tm: the bound and name of the best content that g's list leaves out."""
+    """grp, g (content), l (its list: u = -bound, m, known, open), and t, tm: the bound and name of the best content left out."""
 
     blocks = lambda d, size: d.where("seq = c").groupBy("grp").agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
     n_gold, n_made = blocks(gold, GOLD_BLOCK), blocks(made, MADE_BLOCK)
@@ -148,9 +173,7 @@ def _lists(gold: DataFrame, made: DataFrame, k: int, least: float, few: dict[int
             return pd.DataFrame({"grp": [], "g": [], "m": [], "ub": [], "known": [], "open": []})
         m = m.sort_values("m")
         ub, known, open_ = _bounds(g, m, few)
-        order = np.argsort(-ub, axis=1, kind="stable")[:, : k + 1]  # ties: the smallest
-        row, at = np.nonzero(np.take_along_axis(ub, order, 1) >= least)
-        col = order[row, at]
+        row, col = np.nonzero(_largest(ub, k + 1) & (ub >= least))  # ties: the smallest
         return pd.DataFrame({"grp": g["grp"].iloc[0], "g": g["g"].to_numpy()[row], "m": m["m"].to_numpy()[col], "ub": ub[row, col], "known": known[row, col], "open": open_[row, col]})
 
     gs = blocked(gold, n_gold, "gb", n_made, "mb", "g").groupBy("grp", "gb", "mb")
@@ -158,10 +181,14 @@ def _lists(gold: DataFrame, made: DataFrame, k: int, least: float, few: dict[int
     near = gs.cogroup(ms).applyInPandas(top, "grp string, g long, m long, ub double, known double, open long")
     # of all blocks the k best, and the next one
     entry = F.struct((-F.col("ub")).alias("u"), "m", "known", "open")
-    listed = near.groupBy("grp", "g").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k + 1).alias("l"))
+    listed = near.groupBy("grp", "g").agg(F.array_sort(F.collect_list(entry)).alias("l"))
     rest = F.get("l", F.lit(k))
-    each = listed.select("grp", "g", (-rest["u"]).alias("t"), rest["m"].alias("tm"), F.posexplode(F.slice("l", 1, k)).alias("place", "e"))
-    return each.select("grp", "g", "e.m", "place", (-F.col("e.u")).alias("ub"), "e.known", "e.open", "t", "tm")
+    return listed.select("grp", "g", F.slice("l", 1, k).alias("l"), (-rest["u"]).alias("t"), rest["m"].alias("tm"))
+
+
+def _entries(lists: DataFrame, some: Column) -> DataFrame:
+    """grp, g, m, known, open of some entries of each list."""
+    return lists.select("grp", "g", F.explode(some).alias("e")).select("grp", "g", "e.m", "e.known", "e.open")
 
 
 def _exact(lists: DataFrame, gold: DataFrame, made: DataFrame, n: int) -> DataFrame:
@@ -178,19 +205,23 @@ def _exact(lists: DataFrame, gold: DataFrame, made: DataFrame, n: int) -> DataFr
 
 
 def _scored(lists: DataFrame, gold: DataFrame, made: DataFrame, n: int, depth: int, least: float) -> DataFrame:
-    """Lists with score and sure: pairs that hold no two different texts, and the first depth of a list, are exact, others bounds."""
-    exact = _exact(lists.where((F.col("open") != 0) & (F.col("place") < depth)), gold, made, n)
-    both = lists.join(exact.withColumnRenamed("score", "exact"), ["grp", "g", "m"], "left")
-    score = F.coalesce("exact", "ub")
-    sure = F.col("exact").isNotNull() | (F.col("open") == 0)
-    return both.select("grp", "g", "m", F.when(score >= least, score).alias("score"), sure.alias("sure"), "t", "tm")
+    """Lists of c, s, sure: pairs that hold no two different texts, and the first depth of a list, are exact, others bounds."""
+    exact = _exact(_entries(lists, F.slice("l", 1, depth)).where("open <> 0"), gold, made, n)
+    exact = exact.groupBy("grp", "g").agg(F.map_from_entries(F.collect_list(F.struct("m", "score"))).alias("exact"))
+
+    def entry(e: Column) -> Column:
+        met = F.try_element_at("exact", e["m"])
+        return F.struct(e["m"].alias("c"), F.coalesce(met, -e["u"]).alias("s"), (met.isNotNull() | (e["open"] == 0)).alias("sure"))
+
+    scored = F.filter(F.transform("l", entry), lambda e: e["s"] >= least)
+    return lists.join(exact, ["grp", "g"], "left").select("grp", "g", scored.alias("l"), "t", "tm")
 
 
 def _verified(picks: DataFrame, lists: DataFrame, gold: DataFrame, made: DataFrame, n: int) -> DataFrame:
     """The picks up to the first of a table whose score is less than the bound it was picked by."""
     unsure = picks.where("not sure")
-    listed = lists.join(unsure.select("grp", F.col("gc").alias("g"), F.col("mc").alias("m")).distinct(), ["grp", "g", "m"], "left_semi")
-    exact = _exact(listed, gold, made, n).select("grp", F.col("g").alias("gc"), F.col("m").alias("mc"), F.col("score").alias("exact"))
+    picked = lists.join(unsure.select("grp", F.col("gc").alias("g"), F.col("mc").alias("_m")).distinct(), ["grp", "g"])
+    exact = _exact(_entries(picked, F.filter("l", lambda e: e["m"] == F.col("_m"))), gold, made, n).select("grp", F.col("g").alias("gc"), F.col("m").alias("mc"), F.col("score").alias("exact"))
     wrong = unsure.join(exact, ["grp", "gc", "mc"]).where("exact < score").groupBy("grp").agg(F.min("g").alias("wrong"))
     return picks.join(wrong, "grp", "left").where("wrong is null or g < wrong").select("grp", "g", "m", "score")
 
@@ -223,31 +254,35 @@ def _walk(scored: DataFrame, gold: DataFrame, made: DataFrame) -> DataFrame:
             return part
 
         for part in batches:
-            for grp, kind, g, gc, c, m, score, sure, t, tm in part.itertuples(index=False, name=None):
+            for grp, kind, g, gc, _, m, c, s, sure, t, tm in part.itertuples(index=False, name=None):
                 if grp != table:
                     settle()
                     table, waiting, gone, row, stopped = grp, {}, {}, None, False
                 if kind == 0:
-                    waiting.setdefault(c, []).append(m)
-                    gone[c] = 0
+                    waiting.setdefault(gc, []).append(m)
+                    gone[gc] = 0
                     continue
                 if g != row:
                     settle()
                     row, content, entries, bound = g, gc, [], None
-                if not np.isnan(score):
-                    entries.append((score, c, sure))
+                entries += zip(s.tolist(), c.tolist(), sure.tolist())
                 if not np.isnan(t):
                     bound = (-t, tm)
             yield emitted()
         settle()
         yield emitted()
 
-    none = lambda t: F.lit(None).cast(t)
+    none = F.lit(None).cast("double")
     no = F.lit(-1).cast("long")
-    rows = made.select("grp", F.lit(0).alias("kind"), no.alias("g"), no.alias("gc"), "c", F.col("seq").alias("m"), none("double").alias("score"), F.lit(True).alias("sure"), none("double").alias("t"), no.alias("tm"))
+    lists = {"c": "array<long>", "s": "array<double>", "sure": "array<boolean>"}
+    empty = [F.array().cast(t).alias(name) for name, t in lists.items()]
+    rows = made.select("grp", F.lit(0).alias("kind"), no.alias("g"), F.col("c").alias("gc"), F.lit(0).alias("piece"), F.col("seq").alias("m"), *empty, none.alias("t"), no.alias("tm"))
     asked = gold.select("grp", "seq", F.col("c").alias("g")).join(scored, ["grp", "g"], "left")
-    asked = asked.select("grp", F.lit(1).alias("kind"), F.col("seq").alias("g"), F.col("g").alias("gc"), F.coalesce("m", no).alias("c"), no.alias("m"), "score", F.coalesce("sure", F.lit(True)).alias("sure"), "t", F.coalesce("tm", no).alias("tm"))
-    ordered = rows.unionByName(asked).repartition("grp").sortWithinPartitions("grp", "kind", "g", "m")
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("l") - 1) / PIECE).cast("int"))), lambda i: F.slice("l", i * PIECE + 1, PIECE))
+    asked = asked.withColumn("l", F.coalesce("l", F.array().cast("array<struct<c:long,s:double,sure:boolean>>"))).select("*", F.posexplode(pieces).alias("piece", "part"))
+    parts = [F.col(f"part.{name}").alias(name) for name in lists]
+    asked = asked.select("grp", F.lit(1).alias("kind"), F.col("seq").alias("g"), F.col("g").alias("gc"), "piece", no.alias("m"), *parts, "t", F.coalesce("tm", no).alias("tm"))
+    ordered = rows.unionByName(asked).repartition("grp").sortWithinPartitions("grp", "kind", "g", "piece", "m")
     return ordered.mapInPandas(run, "grp string, g long, m long, score double, sure boolean, gc long, mc long")
 
 
