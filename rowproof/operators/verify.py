@@ -121,8 +121,11 @@ def execution_order(v: DataFrame) -> Column:
 
 
 def dedup(v: DataFrame) -> DataFrame:
-    """One violation for each cell and constraint type: the first in execution order (then by code and text)."""
-    w = Window.partitionBy("id").orderBy(execution_order(v), "rule_code", "description")
+    """One violation for each cell and constraint type: the first in execution order (then by code and text).
+
+    The id is a hash of 32 bits, which different cells share in a large table: the cell itself is the key.
+    """
+    w = Window.partitionBy("id", "tbl", "tuple_id", "attr", "constraint_type").orderBy(execution_order(v), "rule_code", "description")
     return v.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
