@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from jobs import nightly_verification as N
+from jobs.settings import load
 from rowproof.operators import repair as P
 from rowproof.operators import verify as R
 from rowproof.plans.schema import parse_schema
@@ -29,3 +31,12 @@ def test_repair_loop_fixes_and_reports_both(spark):
     fixed, left, fixes = P.repair_loop(rows, lambda r: R.verify(r, s, "orders"), ["o_orderstatus", "o_totalprice"], shared_table)
     assert {r["tuple_id"] for r in fixes.collect()} == {"t-3462", "t-129507"} and {r["o_orderstatus"] for r in fixed.collect()} == {"F"}
     assert {(r["tuple_id"], r["id"]) for r in left.collect()} == {("t-9849", "v-eb90a406"), ("t-333329", "v-eb90a406")}
+
+
+def test_nightly_verification(spark, tmp_path):
+    orders(spark, f"{tmp_path}/in", [(15227, "F", 1.0), (142778, "F", 1.0)])
+    settings = load("nightly_verification")
+    done = N.verify_run(spark, f"{tmp_path}/in", f"{tmp_path}/out", settings)
+    assert done["orders"] == {"read": 2, "violations": 2, "fixes": 2, "rows": 2}
+    got = [r for r in N.read_back(spark, f"{tmp_path}/out", settings).collect() if r["output"] == "rows" and r["attr"] == "o_orderdate"]
+    assert {(r["tuple_id"], r["value"]) for r in got} == {("orders-15227", "1995-01-01"), ("orders-142778", "1995-01-01")}
