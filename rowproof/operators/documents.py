@@ -7,8 +7,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import values as V
 from ..functions.empties import strip
@@ -22,6 +25,8 @@ CHUNK, OVERLAP, BATCH_WORDS, BATCH_CHARS, LOCATE_WORDS = 100_000, 500, 50_000, 1
 SENTENCE_ENDS = "。！？.!?"
 #: Documents packed by one task.
 SHARD_DOCS = 100_000
+#: Bytes of texts that Python cuts at once.
+HELD_BYTES = 2**20
 
 
 def chunk_bounds(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
@@ -332,15 +337,32 @@ def map_relations(anchors: DataFrame, key: str, extract, schema: str, size: int
     return numbered.groupBy("batch").applyInPandas(run, schema)
 
 
-def split_long(docs: DataFrame, id_col: str, text_col: str = "text", words: int = BATCH_WORDS, chars: int = BATCH_CHARS) -> DataFrame:
-    """id, part, text: documents over a limit in parts of whole paragraphs, others as they are."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def _cut(batches: Iterator[pa.RecordBatch], words: int, chars: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the texts of (_id, _t), a batch for at most HELD_BYTES of texts or for one."""
+    for b in batches:
+        sizes, at = pc.binary_length(b.column(1)).to_pylist(), 0
+        while at < b.num_rows:
+            n, held = 1, sizes[at]
+            while at + n < b.num_rows and held + sizes[at + n] <= HELD_BYTES:
+                held += sizes[at + n]
+                n += 1
+            parts = [split_paragraphs(t.as_py(), words, chars) or [""] for t in b.column(1).slice(at, n)]
+            ids = b.column(0).take(pa.array([at + i for i, ps in enumerate(parts) for _ in ps], pa.int64()))
+            places = pa.array([k for ps in parts for k in range(len(ps))], pa.int32())
+            yield pa.RecordBatch.from_arrays([ids, places, pa.array([p for ps in parts for p in ps], pa.string())], names=["_id", "part", "text"])
+            at += n
+
 
-    @F.pandas_udf("array<string>")
-    def parts(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_paragraphs(t, words, chars) or [""])
+def split_long(docs: DataFrame, id_col: str, text_col: str = "text", words: int = BATCH_WORDS, chars: int = BATCH_CHARS) -> DataFrame:
+    """id, part, text: documents over a limit in parts of whole paragraphs, others as they are.
 
+    A task's Python holds an Arrow batch (64 MB by Spark's default) and the parts of HELD_BYTES of its texts, or of one.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
     long = (word_estimate(text) > words) | (F.length(text) > chars)
-    rows = docs.select(F.col(id_col), text.alias("_t"), long.alias("_long"))
-    cut = rows.where("_long").select(id_col, F.posexplode(parts("_t")).alias("part", "text"))
-    return rows.where("not _long").select(id_col, F.lit(0).alias("part"), F.col("_t").alias("text")).unionByName(cut)
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t"), long.alias("_long"))
+    kind = docs.schema[id_col].dataType
+    out = StructType([StructField("_id", kind), StructField("part", IntegerType()), StructField("text", StringType())])
+    parts = rows.where("_long").select("_id", "_t").mapInArrow(lambda batches: _cut(batches, words, chars), out)
+    whole = rows.where("not _long").select("_id", F.lit(0).alias("part"), F.col("_t").alias("text"))
+    return whole.unionByName(parts).withColumnRenamed("_id", id_col)
