@@ -247,9 +247,23 @@ def span_valid(text: Column, span: Column, anchor: int = 100, short: int = 30) -
 
 
 def segment_source(segments: DataFrame, bounds: DataFrame, group: str) -> DataFrame:
-    """Segments with the document whose [start, stop) holds their start; both sides share a group."""
-    b = bounds.select(F.col(group).alias("_g"), F.col("start").alias("_s"), F.col("stop").alias("_e"), F.col("name").alias("source"))
-    return segments.join(b, (F.col(group) == F.col("_g")) & (F.col("start") >= F.col("_s")) & (F.col("start") < F.col("_e")), "left").drop("_g", "_s", "_e")
+    """Segments with the document whose [start, stop) holds their start; both sides share a group.
+
+    An interval is keyed by its level, the least power of two that is as long, and by the one or two blocks of
+    that width which it touches; a start meets, at each level that occurs, the intervals of its own block.
+    Disjoint intervals are at most three in a block, whatever a group's size; overlapping ones are all found.
+    """
+    start = F.col("start").cast("long")
+    b = bounds.where("start < stop").select(F.col(group).alias("_g"), F.col("start").cast("long").alias("_s"), F.col("stop").cast("long").alias("_e"), F.col("name").alias("source"))
+    # the binary digits of length - 1
+    b = b.withColumn("_l", F.when(F.col("_e") - F.col("_s") == 1, 0).otherwise(F.length(F.bin(F.col("_e") - F.col("_s") - 1))))
+    block = lambda c: F.call_function("shiftright", c, F.col("_l"))
+    b = b.withColumn("_b", F.explode(F.sequence(block(F.col("_s")), block(F.col("_e") - 1))))
+    levels = sorted(r["_l"] for r in b.select("_l").distinct().collect())  # at most 64 numbers
+    at = segments.select(F.col(group).alias("_g"), start.alias("_at")).where("_g is not null and _at is not null").distinct()
+    at = at.select("_g", "_at", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("_l")).withColumn("_b", block(F.col("_at")))
+    held = at.join(b, ["_g", "_l", "_b"]).where("_s <= _at and _at < _e").select("_g", "_at", "source")
+    return segments.join(held, (F.col(group) == F.col("_g")) & (start == F.col("_at")), "left").drop("_g", "_at")
 
 
 def too_vague(segments: DataFrame, group: str, most: float = 0.5) -> DataFrame:

@@ -57,9 +57,10 @@ BOUNDS = "SELECT source, CAST(doc_id AS STRING) AS name, CAST(coalesce(sum(lengt
 
 @query(f"WITH b AS ({BOUNDS}), s AS (SELECT source, doc_id AS seg, CAST(doc_id * 17 AS BIGINT) AS start FROM documents) SELECT s.source AS src, seg, s.start, b.name AS document FROM s LEFT JOIN b ON s.source = b.source AND s.start >= b.start AND s.start < b.start + b.n")
 def doc_segment_source(spark, d):
-    bounds = frame(spark, d, BOUNDS).withColumn("stop", F.col("start") + F.col("n"))
-    seg = table(spark, d, "documents").select(F.col("source").alias("src"), F.col("doc_id").alias("seg"), (F.col("doc_id") * 17).alias("start"))
-    return D.segment_source(seg, bounds.withColumnRenamed("source", "src"), "src").select("src", "seg", "start", F.col("source").alias("document"))
+    docs = table(spark, d, "documents").withColumnRenamed("source", "src")  # a null text takes no place
+    bounds = D.boundaries(docs.where("text is not null").withColumn("name", F.col("doc_id").cast("string")), "name", "doc_id", group="src")  # sorts lengths, not texts
+    seg = docs.select("src", F.col("doc_id").alias("seg"), (F.col("doc_id") * 17).alias("start"))
+    return D.segment_source(seg, bounds, "src").select("src", "seg", "start", F.col("source").alias("document"))
 
 
 # a chunk ends after the last blank line past its middle, else after the last sentence end there, else at its size
