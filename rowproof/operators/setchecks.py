@@ -178,7 +178,8 @@ TOTAL_WORDS, AVERAGE_WORDS = ("总计", "total", "合计", "sum"), ("平均", "a
 def summary_rows(df: DataFrame, table: str, cells: Sequence[str], average: bool | None = False, tuple_id: str = "tuple_id", tolerance: float = 0.01) -> DataFrame:
     """Rows whose cells name a total (or average): each numeric cell against the sum (mean) of all other rows.
 
-    One row of sums over the table, and leave-one-out by subtraction.  average=None looks for both in one pass.
+    One row of counts of such rows, then, if there are any, one of sums over the table, and leave-one-out by
+    subtraction.  average=None looks for both in one pass.
     """
     texts = F.array(*(F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) for c in cells))
     kinds = [k for k in (False, True) if average in (k, None)]
@@ -189,7 +190,9 @@ def summary_rows(df: DataFrame, table: str, cells: Sequence[str], average: bool
     # decimals, so that a sum does not hang on the order of rows; doubles where a number does not fit
     exact = lambda c: F.col(c).try_cast("decimal(30,6)")
     totals = lambda c: (F.sum(exact(c)).alias(f"s_{c}"), F.sum(c).alias(f"d_{c}"), F.count_if(F.col(c).isNotNull() & exact(c).isNull()).alias(f"o_{c}"), F.count(c).alias(f"n_{c}"))
-    sums = nums.agg(*marked, *(x for c in cells for x in totals(c))).first().asDict()
+    sums = nums.agg(*marked).first().asDict()
+    if any(sums.values()):  # reading all cells as numbers is dear
+        sums |= nums.agg(*(x for c in cells for x in totals(c))).first().asDict()
     found = []
     for k in kinds:
         code = "AGGREGATION_AVERAGE_ROW" if k else "AGGREGATION_TOTAL_ROW"
