@@ -2,7 +2,11 @@
 
 Gold rows in order take their most similar unused made row (at least LEAST similar; ties: the smallest).  A
 row's similarity is the mean over fields of the cells' similarity, and nearly all pairs of rows are a little
-similar, so comparing all pairs of cells as texts would be the product of the tables.  Instead:
+similar, so comparing all pairs of cells as texts would be the product of the tables.  Instead a first walk takes
+each row's partner of highest bound from an index of the unused rows (`rowindex.py`): cells of fields with few
+values by the scores of all their pairs, numbers of one field by their neighbours, other cells by a bound of their
+kinds.  A pick stands if its score, compared exactly afterwards, is its bound, as no other row can then be better.
+The rows from the first pick that does not stand are matched by lists:
 
 * distinct contents stand for rows; a content is named by its first row;
 * features of cells (kind, number, folded text) give an upper bound of a pair's score by array arithmetic, in
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..sources.shared import shared_table
-from .evaluate import LEAST_SIMILARITY, compare, dashed_date, is_truth
+from .evaluate import LEAST_SIMILARITY, compare, dashed_date, is_truth, row_similarity
+from .rowindex import Unused
 
 #: Contents in a block of gold and of made rows; a pair of blocks is one call.  Few blocks of made rows, as each brings lists.
 GOLD_BLOCK, MADE_BLOCK = 512, 4096
@@ -42,6 +47,12 @@ PAIRS = 20_000
 PIECE = 256
 #: Columns of an array of hashed 2-grams.
 GRAMS = 512
+#: A table whose made rows fall into more groups is not walked by an index.
+GROUPS = 4096
+
+
+def _code(kind: Column) -> Column:
+    return F.array_position(F.array(*(F.lit(k) for k in KINDS)), kind).cast("int") - 1
 
 
 def _features(c: Column) -> Column:
@@ -49,9 +60,8 @@ def _features(c: Column) -> Column:
 
     def by_kind(kind: Column) -> Column:
         other = F.when(kind == "date", dashed_date(c)).when(kind == "boolean", is_truth(c).cast("string"))
-        code = F.array_position(F.array(*(F.lit(k) for k in KINDS)), kind).cast("int") - 1
         dated = F.when(kind.isin("date", "boolean"), dashed_date(c))
-        parts = {"k": code, "n": V.normalise_number(c)["value"], "t": F.lower(V.collapse_spaces(c)), "d": F.coalesce(dated, F.lit("")), "x": F.coalesce(other, F.lit(""))}
+        parts = {"k": _code(kind), "n": V.normalise_number(c)["value"], "t": F.lower(V.collapse_spaces(c)), "d": F.coalesce(dated, F.lit("")), "x": F.coalesce(other, F.lit(""))}
         return F.named_struct(*(x for name, part in parts.items() for x in (F.lit(name), part)))
 
     return V.let(V.value_type(c), by_kind)
@@ -286,6 +296,68 @@ def _walk(scored: DataFrame, gold: DataFrame, made: DataFrame) -> DataFrame:
     return ordered.mapInPandas(run, "grp string, g long, m long, score double, sure boolean, gc long, mc long")
 
 
+def _few_cells(gold: DataFrame, made: DataFrame, n: int) -> tuple[dict[int, dict[tuple[str, str], float]], int | None]:
+    """Scores of all pairs of cells of the fields that have at most PAIRS of them; of the others, the one with most numbers."""
+    cell = lambda i: F.get("v", F.lit(i))
+    counts = [F.count_distinct(cell(i)).alias(f"n{i}") for i in range(n)] + [F.count_if(V.value_type(cell(i)) == "numeric").alias(f"c{i}") for i in range(n)]
+    sizes = [d.agg(*counts).first() for d in (gold, made)]
+    few = {i: {} for i in range(n) if sizes[0][f"n{i}"] * sizes[1][f"n{i}"] <= PAIRS}
+    if few:
+        # a bounded product: at most PAIRS rows a field
+        pairs = reduce(DataFrame.union, (gold.select(cell(i).alias("a")).distinct().crossJoin(made.select(cell(i).alias("b")).distinct()).select(F.lit(i).alias("i"), "a", "b") for i in few))
+        for r in pairs.select("i", "a", "b", row_similarity([(F.col("a"), F.col("b"))]).alias("s")).collect():
+            few[r["i"]][r["a"], r["b"]] = r["s"]
+        few = {i: scores for i, scores in few.items() if np.isfinite(list(scores.values())).all()}  # infinite numbers have no score
+    numbers = {i: sizes[1][f"c{i}"] for i in range(n) if i not in few and sizes[1][f"c{i}"]}
+    return few, max(numbers, key=numbers.get, default=None)
+
+
+def _indexed(gold: DataFrame, made: DataFrame, n: int, least: float) -> DataFrame:
+    """grp, g, m, score (its bound) of gold rows in order (m null: no partner), from an index of each table's unused made rows."""
+    few, by = _few_cells(gold, made, n)
+    many = [i for i in range(n) if i not in few]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, unused, stopped = object(), None, False
+        for part in batches:
+            out = []
+            for grp, kind, seq, cells, kinds, x in part.itertuples(index=False, name=None):
+                if grp != table:
+                    table, unused, stopped = grp, Unused(few, many, by), False
+                cells, kinds = tuple(cells), tuple(kinds)
+                if stopped:
+                    continue
+                if kind == 0:
+                    unused.add(seq, cells, kinds, x)
+                    stopped = unused.odd or len(unused.groups) > GROUPS
+                    continue
+                if by is not None and not kinds[many.index(by)] & 1 and not np.isfinite(x):
+                    stopped = True  # no number that can be sorted
+                    continue
+                best = unused.take(cells, kinds, x, least)
+                out.append((grp, seq, best[1] if best else None, best[0] if best else None))
+            yield pd.DataFrame(out, columns=["grp", "g", "m", "score"]).astype({"m": "Int64"})
+
+    def narrow(rows: DataFrame, kind: int) -> DataFrame:
+        number = lambda i: V.normalise_number(F.get("v", F.lit(i)))["value"]
+        kinds = [_code(V.value_type(F.get("v", F.lit(i)))) * 2 + number(i).isNull().cast("int") for i in many]
+        x = F.lit(None).cast("double") if by is None else number(by)
+        return rows.select("grp", F.lit(kind).alias("kind"), "seq", F.array(*(F.get("v", F.lit(i)) for i in few)).cast("array<string>").alias("cells"), F.array(*kinds).cast("array<int>").alias("kinds"), x.alias("x"))
+
+    ordered = narrow(made, 0).unionByName(narrow(gold, 1)).repartition("grp").sortWithinPartitions("grp", "kind", "seq")
+    return ordered.mapInPandas(run, "grp string, g long, m long, score double")
+
+
+def _stand(picks: DataFrame, gold: DataFrame, made: DataFrame, n: int) -> DataFrame:
+    """The picks up to the first of a table whose score is not the bound it was picked by."""
+    cells = lambda d, k, v: d.select("grp", F.col("seq").alias(k), F.col("v").alias(v))
+    both = picks.where("m is not null").join(cells(gold, "g", "a"), ["grp", "g"]).join(cells(made, "m", "b"), ["grp", "m"])
+    both = both.repartition(both.sparkSession.sparkContext.defaultParallelism, "g")  # few bytes, much work
+    exact = F.round(row_similarity([(F.get("a", F.lit(i)), F.get("b", F.lit(i))) for i in range(n)]), 9)
+    wrong = both.where(exact != F.col("score")).groupBy("grp").agg(F.min("g").alias("wrong"))
+    return picks.join(wrong, "grp", "left").where("wrong is null or g < wrong").select("grp", "g", "m", "score")
+
+
 def match_rows(gold: DataFrame, made: DataFrame, fields: Sequence[str], group: str | None = None, least: float = LEAST_SIMILARITY, listed: int = LISTED) -> DataFrame:
     """(grp, g, m, score): gold rows in order take their best unused made row; columns _seq (unique) and fields.
 
@@ -295,17 +367,19 @@ def match_rows(gold: DataFrame, made: DataFrame, fields: Sequence[str], group: s
     if not fields:
         raise ValueError("rows without common fields cannot be matched")
     gold, made = (shared_table(_contents(d, fields, group), "match-rows") for d in (gold, made))
-    found, n, depth = [], len(fields), DEPTH
-    few = _few_texts(gold, made, n)
+    n, depth = len(fields), DEPTH
+    done = shared_table(_stand(shared_table(_indexed(gold, made, n, least), "match-index"), gold, made, n), "match-done")
+    found, few = [done], None
     while True:
-        lists = shared_table(_lists(gold, made, listed, least, few), "match-lists")
-        picks = shared_table(_walk(_scored(lists, gold, made, n, depth, least), gold, made), "match-walk")
-        done = shared_table(_verified(picks, lists, gold, made, n), "match-done")
-        found.append(done)
         gold = _left(gold, done.select("grp", F.col("g").alias("seq")))
         if not gold.head(1):
             return reduce(DataFrame.union, found).where("m is not null")
         made = _left(made, done.where("m is not null").select("grp", F.col("m").alias("seq")))
+        few = _few_texts(gold, made, n) if few is None else few
+        lists = shared_table(_lists(gold, made, listed, least, few), "match-lists")
+        picks = shared_table(_walk(_scored(lists, gold, made, n, depth, least), gold, made), "match-walk")
+        done = shared_table(_verified(picks, lists, gold, made, n), "match-done")
+        found.append(done)
         listed, depth = listed * 4, depth * 4
 
 
