@@ -4,9 +4,11 @@ import random
 
 import pytest
 
+from compare import connect, same
 from rowproof.operators import evaluate as E
 from rowproof.operators import rowmatch as R
 from rowproof.operators.rowindex import Unused, rounded, similarity
+from rowproof.queries import oracle_sql, queries
 
 NUMBERS = [-3.0, -1.0, 0.0, 0.5, 1.0, 1.0, 2.0, 4.0, 7.25, 100.0, 1e4]
 
@@ -68,3 +70,8 @@ def test_too_many_groups_and_odd_numbers_go_to_lists(spark, monkeypatch):
     monkeypatch.setattr(R, "GROUPS", 2)
     assert sorted(map(tuple, R.match_rows(gold, made, FIELDS).collect())) == sorted(map(tuple, want))
     assert sorted(map(tuple, R.match_rows(odd, made, FIELDS).collect())) == sorted(map(tuple, mixed))
+
+
+def test_eval_matched_cells_without_lists(spark, sf, monkeypatch):
+    monkeypatch.delattr(R, "_lists")
+    same(queries()["eval_matched_cells"](spark, sf), connect(sf), oracle_sql()["eval_matched_cells"])
